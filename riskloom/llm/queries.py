@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jaccard_join import jaccard_join
 from .substring_dedup import substring_dedup
 
 
@@ -17,8 +18,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_jaccard_join": op3_jaccard_join,
 }
 
 #: A word list of a text, as the contract has it (DuckDB); null has none.
@@ -37,4 +43,15 @@ k AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS kept, count(*) AS
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n_kept, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "op3_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, list_aggregate(list_slice(w, i, i + 3), 'string_agg', ' ') AS k FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id
+      JOIN n u ON u.doc_id = x.doc_id JOIN n v ON v.doc_id = y.doc_id
+      GROUP BY x.doc_id, y.doc_id, u.n, v.n HAVING 100 * count(*) >= 85 * (u.n + v.n - count(*))),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) c ON c.a = d.doc_id""",
 }
