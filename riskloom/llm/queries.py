@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import spans as S
+from .bpe import bpe
+from .decontaminate import decontaminate
 from .jaccard_join import jaccard_join
+from .langid import language_id
+from .pii import pii_scan
+from .quality import RULES, quality
+from .secrets import secret_scan
 from .substring_dedup import substring_dedup
+from .urlfilter import url_filter
+from .warc import read_bundles, write_bundles
+
+#: The contract's url rules (host, path, verdict).
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +30,60 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan(_table(spark, sf_dir, "documents"))
+    counts = [S.count_of("base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return out.select("doc_id", *counts, F.sha2(S.text_of("base"), 256).alias("base_sha256"), S.text_of("spans").alias("spans"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_bundles(write_bundles(_table(spark, sf_dir, "pages")))
+
+
+def op8_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii_scan(_table(spark, sf_dir, "documents"))
+    counts = [S.count_of("base", k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return out.select("doc_id", *counts, F.sha2(S.text_of("base"), 256).alias("base_sha256"), S.text_of("spans").alias("spans"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontaminate": op2_decontaminate,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_language_id": op5_language_id,
+    "op6_quality": op6_quality,
+    "op7_warc": op7_warc,
+    "op8_pii_scan": op8_pii_scan,
+    "op9_url_filter": op9_url_filter,
+    "op10_bpe": op10_bpe,
 }
 
 #: A word list of a text, as the contract has it (DuckDB); null has none.
@@ -54,4 +113,48 @@ l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.k = y.k AND x.d
 r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) c ON c.a = d.doc_id""",
+    "op2_decontaminate": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+s AS (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+k AS (SELECT DISTINCT item_id, n, list_aggregate(list_slice(w, i, i + n - 1), 'string_agg', ' ') AS k FROM s),
+l AS (SELECT DISTINCT n FROM k),
+p AS (SELECT d.doc_id, l.n, d.w, unnest(range(1, CAST(len(d.w) - l.n + 2 AS BIGINT))) AS i FROM d, l WHERE len(d.w) >= l.n),
+x AS (SELECT doc_id, n, i, list_aggregate(list_slice(w, i, i + n - 1), 'string_agg', ' ') AS k FROM p),
+m AS (SELECT x.doc_id, x.i, x.n, k.item_id FROM x JOIN k ON x.n = k.n AND x.k = k.k),
+h AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
+       sha256(coalesce(t.s, '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
+    "op6_quality": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+l AS (SELECT doc_id, x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+u AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines FROM l GROUP BY doc_id),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM p),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM g),
+c AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS j FROM r WHERE n > 1) GROUP BY doc_id),
+m AS (SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(length(regexp_replace(d.text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(d.text, '[^!]', '', 'g')) AS BIGINT) AS n_bangs,
+             coalesce(u.n_lines, 0) AS n_lines, coalesce(u.n_dup_lines, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+      FROM d LEFT JOIN u ON u.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR {" OR ".join(f"({r})" for r in RULES.values())}) AS kept FROM f""",
+    "op7_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS s FROM p),
+m AS (SELECT s, max(page_id) AS top FROM q WHERE n >= 1000 GROUP BY s)
+SELECT q.page_id, CAST(q.n AS BIGINT) AS payload_bytes, q.s AS payload_digest,
+       CASE WHEN m.top > q.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN m.top > q.page_id THEN m.top END AS refers_to
+FROM q LEFT JOIN m ON m.s = q.s AND q.n >= 1000""",
+    "op9_url_filter": r"""
+WITH a AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS pos FROM pages),
+b AS (SELECT page_id, CASE WHEN pos > 0 THEN substr(url, pos + 3) ELSE '' END AS rest FROM a),
+c AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM b),
+r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+m AS (SELECT c.page_id, c.host, c.path, r.h || r.p AS rule, r.v, row_number() OVER (PARTITION BY c.page_id ORDER BY length(r.h || r.p) DESC NULLS LAST) AS n
+      FROM c LEFT JOIN r ON (c.host = r.h OR c.host LIKE '%.' || r.h) AND starts_with(c.path, r.p))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE n = 1""",
 }
