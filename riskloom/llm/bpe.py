@@ -146,13 +146,13 @@ def bpe(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_
     """The kept columns and n_tokens, ids (binary), decoded (string) for each row of docs (column text)."""
     tune(docs.sparkSession)
     path = path or default_path()
-    docs = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    docs = docs.select(*keep, F.col("text").cast("string").alias("_scanned"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            for chunk in K.chunks(b):
+            for chunk in K.chunks(b, len(keep)):
                 ids = [c.encode(t) if t else b"" for t in chunk.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*chunk.columns[: len(keep)], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.string())],

@@ -40,15 +40,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of what df reads (file sizes for a plain scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of the tables that df reads; 0 for those of unknown size."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
 
 
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions: the session's number, or more where the input asks for it."""
     spark = df.sparkSession
-    size = min(input_bytes(df), 1 << 50)
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BYTES_PER_PARTITION)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(df) // BYTES_PER_PARTITION)
 
 
 def small(df: DataFrame, rows: int) -> bool:

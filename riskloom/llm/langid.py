@@ -207,12 +207,12 @@ def language_id(docs: DataFrame, train_on: DataFrame | None = None, keep: tuple[
     tune(docs.sparkSession)
     base = docs if train_on is None else train_on
     model = train(base.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), rows)
-    docs = docs.select(*keep, (~_learning()).alias("held_out"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(*keep, (~_learning()).alias("held_out"), F.col("text").cast("string").alias("_scanned"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk in K.chunks(b):
+            for chunk in K.chunks(b, b.num_columns - 1):
                 lang, score = model.predict(chunk.column(chunk.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*chunk.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "held_out", "lang_pred", "score"])
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import spans as S
 from .bpe import bpe
 from .decontaminate import decontaminate
@@ -84,6 +86,7 @@ QUERIES = {
     "op8_pii_scan": op8_pii_scan,
     "op9_url_filter": op9_url_filter,
     "op10_bpe": op10_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: A word list of a text, as the contract has it (DuckDB); null has none.
@@ -157,4 +160,4 @@ r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), (
 m AS (SELECT c.page_id, c.host, c.path, r.h || r.p AS rule, r.v, row_number() OVER (PARTITION BY c.page_id ORDER BY length(r.h || r.p) DESC NULLS LAST) AS n
       FROM c LEFT JOIN r ON (c.host = r.h OR c.host LIKE '%.' || r.h) AND starts_with(c.path, r.p))
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE n = 1""",
-}
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

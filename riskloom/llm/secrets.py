@@ -101,13 +101,13 @@ def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "[secret]
 def secret_scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), bits: float = BITS) -> DataFrame:
     """The kept columns and base, spans (arrays of kind, start, end; spans: base and novel), redacted (the text without them) for each row of docs (column text)."""
     tune(docs.sparkSession)
-    docs = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    docs = docs.select(*keep, F.col("text").cast("string").alias("_scanned"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
         for b in batches:
-            for chunk in K.chunks(b):
+            for chunk in K.chunks(b, len(keep)):
                 base, spans, clean = [], [], []
                 for text in chunk.column(len(keep)).to_pylist():
                     found = base_spans(text) if text else []

@@ -113,12 +113,12 @@ def windows(h: np.ndarray, width: int, seed: int) -> np.ndarray:
         return mix(out)
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about CHUNK_BYTES of text each."""
+def chunks(batch: pa.RecordBatch, column: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about CHUNK_BYTES of text each; column: the text's place, by default that named text."""
     n = batch.num_rows
     if not n:
         return
-    texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())
+    texts = batch.column(batch.schema.get_field_index("text") if column is None else column).cast(pa.large_string())
     off = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
     at = 0
     while at < n:
