@@ -16,8 +16,9 @@ and is then probed (binary search of one sorted set in the other, the exact chec
 
 **Records with L >= T** - only members of dense clusters - have nothing to merge.  Each is first
 probed against the smallest member of its long lists; what stays apart meets in blocks, each a local
-DivideSkip over the full key lists (heap merge of the short ones, binary search in the long ones),
-pairs already in one component being skipped.
+DivideSkip over the full key lists (heap merge of the short ones, binary search in the long ones) that
+probes its candidates at once and skips those in one component with the query.  The largest component of
+a size band is searched, but never queries.
 
 Exact copies are found by a digest of the set and stand for one record.  A list that grows long
 within one mapper's flush is sent as a mark, so a list held by a third of all documents stays small
@@ -51,8 +52,8 @@ SHINGLE = 4
 NUMERATOR, DENOMINATOR = 85, 100
 BAND = 1.5
 SHORT = 32
-#: Documents of a block in the local search of dense clusters.
-BLOCK = 1024
+#: Shingles of a block in the local search of dense clusters.
+BLOCK = 500_000
 BROADCAST_IDS = 200_000
 #: Entries of lists up to which the local search merges through a heap.
 MERGE = 512
@@ -260,9 +261,7 @@ def probe(rule: Rule):
                 if not len(s) or rule.den * len(s) < rule.num * len(t):
                     yes.append(False)
                     continue
-                at = np.searchsorted(t, s)
-                both = int((t[np.minimum(at, len(t) - 1)] == s).sum())
-                yes.append(bool(rule.linked(both, len(s), len(t))))
+                yes.append(bool(rule.linked(_overlap(s, t), len(s), len(t))))
             yield batch.select([0, 1]).filter(pa.array(yes, pa.bool_()))
 
     return run
@@ -294,44 +293,63 @@ def divide_skip(query: list[int], index: dict[int, np.ndarray], t: int) -> np.nd
     return docs[n >= t]
 
 
-def signatures(rule: Rule):
-    """(scheme, doc_id, n, set's keys) of dense records, for the blocks."""
+def scheme_rows(rule: Rule):
+    """A row for each scheme a dense record's set is written in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, cell, comp in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                s = np.frombuffer(cell.as_buffer(), dtype=np.uint64)
-                for scheme in rule.schemes(len(s)) if len(s) else []:
-                    keys, own = rule.keys(s, scheme)
-                    rows.append((scheme, doc, comp, len(s), own, keys.tobytes()))
-            yield P.batch(rows, pa.schema([("scheme", pa.int32()), ("doc_id", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("sig", pa.binary())]))
+            for doc, cell, comp in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                rows += [(scheme, doc, comp, len(cell) // 8, cell) for scheme in (rule.schemes(len(cell) // 8) if cell else [])]
+            yield P.batch(rows, pa.schema([("scheme", pa.int32()), ("doc_id", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("set", pa.binary())]))
 
     return run
 
 
+def _overlap(s: np.ndarray, t: np.ndarray) -> int:
+    at = np.searchsorted(t, s)
+    return int((t[np.minimum(at, len(t) - 1)] == s).sum())
+
+
 def block_search(rule: Rule):
-    """Local DivideSkip of one pair of blocks: candidate pairs of different components."""
+    """Local DivideSkip of one pair of blocks, candidates probed on the spot: links that join two components."""
     import pandas as pd
 
-    def run(pdf):
+    def run(key, pdf):
+        scheme = int(key[0])
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in right.set]
         lists: dict[int, list[int]] = {}
-        for i, sig in enumerate(right.sig):
-            for key in np.frombuffer(sig, dtype=np.uint64).tolist():
-                lists.setdefault(key, []).append(i)
+        for i, s in enumerate(sets):
+            for k in rule.keys(s, scheme)[0].tolist():
+                lists.setdefault(k, []).append(i)
         index = {k: np.array(v, dtype=np.int64) for k, v in lists.items()}
-        ids, comp, size = (right[c].to_numpy() for c in ("doc_id", "comp", "n"))
-        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for doc, c, n, own, sig in zip(left.doc_id, left.comp, left.n, left.own, left.sig, strict=True):
-            query = np.frombuffer(sig, dtype=np.uint64)
-            least = max(1, rule.keys_needed(own, n))
-            at = divide_skip(query.tolist(), index, least)
+        ids, size, comp = right.doc_id.to_numpy(), right.n.to_numpy(), right.comp.to_numpy()
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        a, b = [], []
+        for doc, c, cell in zip(left.doc_id, left.comp, left.set, strict=True):
+            s = np.frombuffer(cell, dtype=np.uint64)
+            n = len(s)
+            query, own = rule.keys(s, scheme)
+            at = divide_skip(query.tolist(), index, max(1, rule.keys_needed(own, n)))
             m = size[at]
             at = at[(comp[at] != c) & (rule.den * np.minimum(m, n) >= rule.num * np.maximum(m, n))]
-            a.append(np.minimum(ids[at], doc))
-            b.append(np.maximum(ids[at], doc))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+            for i in at.tolist():
+                x, y = root(int(c)), root(int(comp[i]))
+                if x == y:  # joined already, by this block's links
+                    continue
+                if rule.linked(_overlap(s, sets[i]), n, len(sets[i])):
+                    up[max(x, y)] = min(x, y)
+                    a.append(doc)
+                    b.append(ids[i])
+        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
     return run
 
@@ -399,20 +417,20 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: i
 
 def _dense_links(dense: DataFrame, comps: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Links between dense records of different components: blocks of keys, searched locally, then probed."""
-    sig = sets.join(dense.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    sig = sig.select("doc_id", "set", F.coalesce("component", "doc_id").alias("comp")).mapInArrow(signatures(rule), "scheme int, doc_id long, comp long, n long, own long, sig binary")
-    sig = cut(sig, "signatures")
+    rows = sets.join(dense.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    rows = rows.select("doc_id", "set", F.coalesce("component", "doc_id").alias("comp")).mapInArrow(scheme_rows(rule), "scheme int, doc_id long, comp long, n long, set binary")
+    rows = cut(rows, "dense")
     # the largest component of a scheme needs no search within itself: its members are the index, never queries
-    per = sig.groupBy("scheme", "comp").agg(F.count("*").alias("c"))
-    top = per.groupBy("scheme").agg(F.max_by("comp", F.struct("c", F.negate("comp"))).alias("top"), F.sum("c").alias("all"), F.count("*").alias("comps"))
-    top = top.where("comps > 1").withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int"))
-    sig = sig.join(F.broadcast(top), "scheme")  # a row for each size band: tens
+    per = rows.groupBy("scheme", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    top = per.groupBy("scheme").agg(F.max_by("comp", F.struct("c", F.negate("comp"))).alias("top"), F.sum("n").alias("all"), F.count("*").alias("comps"))
+    top = top.where("comps > 1").withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int")).select("scheme", "top", "blocks")
+    rows = rows.join(F.broadcast(top), "scheme")  # a row for each size band: tens
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    index = sig.withColumn("j", block).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
-    query = sig.where("comp <> top").withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
-    cols = ["scheme", "i", "j", "side", "doc_id", "comp", "n", "own", "sig"]
-    pairs = index.select(cols).unionAll(query.select(cols)).groupBy("scheme", "i", "j").applyInPandas(block_search(rule), "a long, b long").distinct()
-    return cut(_verified(cut(pairs, "densepairs"), sets, rule), "denselinks")
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    index = rows.withColumn("j", block).withColumn("i", each).withColumn("side", F.lit(1))
+    query = rows.where("comp <> top").withColumn("i", block).withColumn("j", each).withColumn("side", F.lit(0))
+    cols = ["scheme", "i", "j", "side", "doc_id", "comp", "n", "set"]
+    return cut(index.select(cols).unionAll(query.select(cols)).groupBy("scheme", "i", "j").applyInPandas(block_search(rule), "a long, b long"), "denselinks")
 
 
 def sizes(rule: Rule):
