@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 
-PER_PARTITION = 4
+PER_PARTITION = 2
+FLAG = 9
 FLUSH = 1_500_000
 SCHEMA = "bucket int, kind int, h binary, doc binary, pos binary"
 ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("h", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary())])
@@ -60,7 +61,7 @@ def buckets(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[dict[int,
     now, held = None, {}
 
     def made():
-        return {k: tuple(np.concatenate(x) for x in zip(*v, strict=True)) for k, v in held.items()}
+        return {k: tuple(None if x[0] is None else np.concatenate(x) for x in zip(*v, strict=True)) for k, v in held.items()}
 
     for b in batches:
         cols = [b.column(i) for i in range(5)]
@@ -70,33 +71,43 @@ def buckets(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[dict[int,
                 if held:
                     yield made()
                 now, held = at, {}
-            held.setdefault(cols[1][i].as_py(), []).append((K.unplanes(cols[2][i].as_py(), np.uint64 if wide else np.uint32), K.unpack_ids(cols[3][i].as_py()), K.unplanes(cols[4][i].as_py(), np.uint32)))
+            kind, h, doc, pos = (c[i].as_py() for c in cols[1:])
+            h = None if h is None else K.unplanes(h, np.uint64 if wide else np.uint32)
+            held.setdefault(kind, []).append((h, K.unpack_ids(doc), K.unpack_ids(pos) if kind == FLAG else K.unplanes(pos, np.uint32)))
     if held:
         yield made()
 
 
-def flags(doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(doc_id, places) rows, a row for each document."""
-    if not len(doc):
-        return
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order].astype(np.uint32)
-    edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
-    for lo in range(0, len(edges) - 1, 20_000):
-        some = edges[lo : lo + 20_001]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[some[:-1]]), pa.array([pos[a:e].tobytes() for a, e in zip(some[:-1].tolist(), some[1:].tolist(), strict=True)], type=pa.binary())], schema=FLAG_ARROW)
+def flags(doc: np.ndarray, pos: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """Marked places on their way to their documents: packed rows by document bucket, places as differences."""
+    bucket = bucket_of(K.mix(doc.astype(np.uint64)), n)
+    order = np.lexsort((pos, doc, bucket))
+    bucket, doc, pos = bucket[order], doc[order], pos[order].astype(np.int64)
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, dtype=np.int64)
+    rows = [(int(bucket[a]), FLAG, None, K.pack_ids(doc[a:e]), K.pack_ids(pos[a:e])) for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    for lo in range(0, len(rows), 256):
+        yield batch(rows[lo : lo + 256], ARROW)
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, places) of a partition of marks sorted by bucket: a row for each document."""
+    for kinds in buckets(batches, False):
+        _, doc, pos = kinds[FLAG]
+        order = np.lexsort((pos, doc))
+        doc, pos = doc[order], pos[order].astype(np.uint32)
+        edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
+        for lo in range(0, len(edges) - 1, 512):
+            some = edges[lo : lo + 513].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(doc[some[:-1]]), pa.array([K.pack_ids(np.unique(pos[a:e])) for a, e in zip(some[:-1], some[1:], strict=True)], type=pa.binary())], schema=FLAG_ARROW)
 
 
-def by_document(df: DataFrame, name: str) -> DataFrame:
-    """All places of a document in one row: at most its own number of words, in any number of copies."""
-    return df.groupBy("doc_id").agg(F.collect_list("places").alias(name))
+def by_document(df: DataFrame, parts: int) -> DataFrame:
+    """All marked places of a document in one row: at most its own number of words."""
+    return exchange(df, parts).mapInArrow(gathered, FLAG_SCHEMA)
 
 
-def places(cell) -> np.ndarray:
-    """Places of a collected cell (list of binaries or None)."""
-    if not cell:
-        return np.zeros(0, dtype=np.int64)
-    return np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in cell])).astype(np.int64)
+def places(cell: bytes | None) -> np.ndarray:
+    return K.unpack_ids(cell) if cell else np.zeros(0, dtype=np.int64)
 
 
 def first_of_groups(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -91,16 +91,22 @@ def anchors(width: int, buckets: int):
     return run
 
 
-def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def repeated(buckets: int):
     """Anchors that occur more than once."""
-    for kinds in P.buckets(batches, False):
-        if 1 in kinds:
-            yield from P.flags(*kinds[1][1:])
-        if 0 in kinds:
-            h, doc, pos = kinds[0]
-            order, _, size = P.first_of_groups(h, doc, pos)
-            again = order[size > 1]
-            yield from P.flags(doc[again], pos[again])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = P.Collector(lambda _, doc, pos: P.flags(doc, pos, buckets))
+        for kinds in P.buckets(batches, False):
+            if 1 in kinds:
+                yield from held.add(*kinds[1])
+            if 0 in kinds:
+                h, doc, pos = kinds[0]
+                order, _, size = P.first_of_groups(h, doc, pos)
+                again = order[size > 1]
+                yield from held.add(h[again], doc[again], pos[again])
+        yield from held.end()
+
+    return run
 
 
 def candidates(width: int, buckets: int):
@@ -141,20 +147,26 @@ def _same(h, doc, pos) -> np.ndarray:
     return same
 
 
-def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def later(buckets: int):
     """Windows that are not the first of their sequence."""
-    for kinds in P.buckets(batches, True):
-        if 1 in kinds:
-            yield from P.flags(*kinds[1][1:])
-        if 0 in kinds:
-            h, doc, pos = kinds[0]
-            order, first, _ = P.first_of_groups(h, doc, pos)
-            h, doc, pos = h[order], doc[order], pos[order]
-            # a repeated row repeats its own first occurrence; that is no earlier place
-            head = np.flatnonzero(first)
-            size = np.diff(np.r_[head, len(h)])
-            of_first = (doc == np.repeat(doc[head], size)) & (pos == np.repeat(pos[head], size))
-            yield from P.flags(doc[~of_first], pos[~of_first])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = P.Collector(lambda _, doc, pos: P.flags(doc, pos, buckets))
+        for kinds in P.buckets(batches, True):
+            if 1 in kinds:
+                yield from held.add(*kinds[1])
+            if 0 in kinds:
+                h, doc, pos = kinds[0]
+                order, first, _ = P.first_of_groups(h, doc, pos)
+                h, doc, pos = h[order], doc[order], pos[order]
+                # a repeated row repeats its own first occurrence; that is no earlier place
+                head = np.flatnonzero(first)
+                size = np.diff(np.r_[head, len(h)])
+                other = (doc != np.repeat(doc[head], size)) | (pos != np.repeat(pos[head], size))
+                yield from held.add(h[other], doc[other], pos[other])
+        yield from held.end()
+
+    return run
 
 
 def removal(width: int):
@@ -191,8 +203,8 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     parts = partitions(docs)
     n = parts * P.PER_PARTITION
     met = P.exchange(docs.mapInArrow(anchors(width, n), P.SCHEMA), parts)
-    hits = P.by_document(met.mapInArrow(repeated, P.FLAG_SCHEMA), "places")
+    hits = P.by_document(met.mapInArrow(repeated(parts), P.SCHEMA), parts)
     near = docs.join(hits, "doc_id", "left").select("doc_id", "text", "places")
     met = P.exchange(near.mapInArrow(candidates(width, n), P.SCHEMA), parts)
-    marks = P.by_document(met.mapInArrow(later, P.FLAG_SCHEMA), "places")
+    marks = P.by_document(met.mapInArrow(later(parts), P.SCHEMA), parts)
     return docs.join(marks, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(removal(width), "doc_id long, n_words long, n_removed long, kept_text string")
