@@ -229,7 +229,7 @@ def window_text(spark, sf_dir):
 
 @query("""WITH a AS (SELECT l_suppkey AS file, 'buf' || l_partkey % 7 AS name, l_orderkey * 8 + l_linenumber AS pos, CAST(l_quantity AS BIGINT) AS size FROM lineitem WHERE l_linenumber <= 2),
 u AS (SELECT l_suppkey AS file, 'buf' || l_partkey % 7 AS name, l_orderkey * 8 + l_linenumber AS pos, CAST(l_quantity AS BIGINT) AS length FROM lineitem WHERE l_linenumber = 3)
-SELECT u.file, u.name, u.pos, u.length, arg_max(a.size, a.pos) AS capacity FROM u LEFT JOIN a ON a.file = u.file AND a.name = u.name AND a.pos < u.pos GROUP BY u.file, u.name, u.pos, u.length""")
+SELECT u.file, u.name, u.pos, u.length, arg_max(a.size, (a.pos, a.size)) AS capacity FROM u LEFT JOIN a ON a.file = u.file AND a.name = u.name AND a.pos < u.pos GROUP BY u.file, u.name, u.pos, u.length""")
 def last_capacity(spark, sf_dir):
     declared, used = _buffers(spark, sf_dir)
     return V.last_before(used, declared, ["file", "name"]).select("file", "name", "pos", "length", F.col("size").alias("capacity"))
@@ -245,7 +245,7 @@ def _buffers(spark, sf_dir):
 
 @query("""WITH a AS (SELECT l_suppkey AS file, 'buf' || l_partkey % 7 AS name, l_orderkey * 8 + l_linenumber AS pos, CAST(l_quantity AS BIGINT) AS size FROM lineitem WHERE l_linenumber <= 2),
 u AS (SELECT l_suppkey AS file, 'buf' || l_partkey % 7 AS name, l_orderkey * 8 + l_linenumber AS pos, CAST(l_quantity AS BIGINT) AS length FROM lineitem WHERE l_linenumber = 3),
-c AS (SELECT u.file, u.name, u.pos, u.length, arg_max(a.size, a.pos) AS capacity FROM u LEFT JOIN a ON a.file = u.file AND a.name = u.name AND a.pos < u.pos GROUP BY u.file, u.name, u.pos, u.length)
+c AS (SELECT u.file, u.name, u.pos, u.length, arg_max(a.size, (a.pos, a.size)) AS capacity FROM u LEFT JOIN a ON a.file = u.file AND a.name = u.name AND a.pos < u.pos GROUP BY u.file, u.name, u.pos, u.length)
 SELECT file, name, pos, CASE WHEN length IS NULL OR capacity IS NULL THEN 'unknown' WHEN length > capacity THEN 'overflow' ELSE 'safe' END AS verdict FROM c""")
 def bounds_verdict(spark, sf_dir):
     declared, used = _buffers(spark, sf_dir)
