@@ -77,3 +77,29 @@ def visibility(members: DataFrame) -> DataFrame:
     """Members of a class body with the visibility that the last marker before them set (public at first)."""
     by = Window.partitionBy("class").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return members.withColumn("visibility", F.coalesce(F.last("marker", ignorenulls=True).over(by), F.lit("public")))
+
+
+def callback_calls(calls: DataFrame, methods: DataFrame, edges: DataFrame) -> DataFrame:
+    """Calls of a parameter's name, as calls of what callers hand in at that place: caller_seq, call_seq, callee.
+    calls: call_seq, caller_seq, callee, symbols; methods: method_seq, parameter_names; edges: call_seq, method_seq (who a call reaches)."""
+    places = methods.select(F.col("method_seq").alias("caller_seq"), F.posexplode("parameter_names").alias("pos", "callee"))
+    inner = calls.join(places, ["caller_seq", "callee"]).select("caller_seq", "call_seq", "pos")
+    handed = edges.join(calls.select("call_seq", F.posexplode("symbols").alias("pos", "symbol")), "call_seq").select(F.col("method_seq").alias("caller_seq"), "pos", "symbol")
+    return inner.join(handed, ["caller_seq", "pos"]).where("symbol <> ''").select("caller_seq", "call_seq", F.col("symbol").alias("callee")).distinct()
+
+
+def reflective_files(names: DataFrame, literals: DataFrame, shown: int = 2) -> DataFrame:
+    """name, files, more: files with a string literal of a method's name, the first ones and how many follow."""
+    all_ = literals.withColumnRenamed("literal", "name").groupBy("name").agg(F.array_sort(F.collect_set("file")).alias("all"))
+    return names.join(all_, "name", "left").select("name", F.array_join(F.slice(F.coalesce("all", F.array().cast("array<string>")), 1, shown), ",").alias("files"), F.greatest(F.coalesce(F.size("all"), F.lit(0)) - shown, F.lit(0)).alias("more"))
+
+
+def implicit_members(calls: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Calls with target_owner set to the caller's owner where that owner has the called name and arity."""
+    own = signatures.select("owner", F.col("name").alias("callee"), "arity").distinct().withColumn("_own", F.lit(True))
+    return calls.join(own, ["owner", "callee", "arity"], "left").withColumn("target_owner", F.when(F.col("_own"), F.col("owner")).otherwise(F.col("target_owner"))).drop("_own")
+
+
+def delete_cascade(parents: DataFrame, gone: DataFrame, children: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Parents and children left once some parents are gone."""
+    return parents.join(gone.select(key), key, "left_anti"), children.join(gone.select(key), key, "left_anti")
