@@ -113,9 +113,9 @@ def member_visibility(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT event_id AS scan_id, ts AS a, ts + INTERVAL 40 MINUTE AS b FROM events WHERE event_type = 'signup')
-SELECT e.event_id AS seq, (SELECT CASE WHEN e.ts < arg_max(s.b, (s.a, s.scan_id)) THEN arg_max(s.scan_id, (s.a, s.scan_id)) END FROM s WHERE s.a <= e.ts) AS scan_id FROM events e WHERE e.event_id % 7 = 0""")
+SELECT e.event_id AS seq, CASE WHEN e.ts < s.b THEN s.scan_id END AS scan_id FROM events e ASOF LEFT JOIN (SELECT a, max(b) AS b, max(scan_id) AS scan_id FROM s GROUP BY a) s ON s.a <= e.ts""")
 def log_scan_tags(spark, sf_dir):
     """Lines with the scan last begun before them, if it still runs."""
     e = B.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     scans = e.where("event_type = 'signup'").select(F.col("event_id").alias("scan_id"), F.col("ts").alias("start"), (F.col("ts") + F.expr("interval 40 minutes")).alias("end"))
-    return S.tag_by_scan(e.where("event_id % 7 = 0").select(F.col("event_id").alias("seq"), "ts"), scans).select("seq", "scan_id")
+    return S.tag_by_scan(e.select(F.col("event_id").alias("seq"), "ts"), scans).select("seq", "scan_id")

@@ -102,21 +102,21 @@ _SEARCH = """r(sink, node, depth) AS (SELECT sink, node, 0 FROM sinks UNION SELE
 best AS (SELECT sink, node, min(depth) AS depth FROM r GROUP BY sink, node)"""
 
 
-@query(f"WITH RECURSIVE {_TRADE}, sinks AS (SELECT p_partkey AS sink, 'p:' || p_partkey AS node FROM part WHERE p_partkey <= 20), entries AS (SELECT 'c:' || c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING'), {_SEARCH.format(depth=3)} SELECT b.sink, b.node AS entry, b.depth FROM best b JOIN entries n ON n.node = b.node")
+@query(f"WITH RECURSIVE {_TRADE}, sinks AS (SELECT p_partkey AS sink, 'p:' || p_partkey AS node FROM part), entries AS (SELECT 'c:' || c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING'), {_SEARCH.format(depth=3)} SELECT b.sink, b.node AS entry, b.depth FROM best b JOIN entries n ON n.node = b.node")
 def trace_fk(spark, sf_dir):
-    sinks = B.table(spark, sf_dir, "part").where("p_partkey <= 20").select(F.col("p_partkey").alias("sink"), F.concat(F.lit("p:"), "p_partkey").alias("node"))
+    sinks = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sink"), F.concat(F.lit("p:"), "p_partkey").alias("node"))
     entries = B.table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c:"), "c_custkey").alias("node"))
     return G.trace_to_entries(sinks, B.trade_edges(spark, sf_dir), entries, 3).select("sink", "entry", "depth")
 
 
 _EVENTS = """nodes AS (SELECT user_id, event_type, ts, event_id, user_id || '#' || event_type || '#' || hour(ts) AS node FROM events),
 edges AS (SELECT DISTINCT node AS caller, callee FROM (SELECT node, lead(node) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS callee FROM nodes) WHERE callee IS NOT NULL),
-sinks AS (SELECT DISTINCT node AS sink, node FROM nodes WHERE event_type = 'error' AND user_id < 20), entries AS (SELECT DISTINCT node FROM nodes WHERE event_type = 'signup')"""
+sinks AS (SELECT DISTINCT node AS sink, node FROM nodes WHERE event_type = 'error'), entries AS (SELECT DISTINCT node FROM nodes WHERE event_type = 'signup')"""
 
 
 def _event_trace(spark, sf_dir) -> DataFrame:
     nodes = B.event_nodes(spark, sf_dir)
-    sinks = nodes.where("event_type = 'error' AND user_id < 20").select(F.col("node").alias("sink"), "node").distinct()
+    sinks = nodes.where("event_type = 'error'").select(F.col("node").alias("sink"), "node").distinct()
     return G.trace_to_entries(sinks, B.event_edges(spark, sf_dir), nodes.where("event_type = 'signup'").select("node").distinct(), 6)
 
 
@@ -131,12 +131,12 @@ def top_chains(spark, sf_dir):
     return _event_trace(spark, sf_dir).select("sink", "entry", "depth", place.alias("place")).where("place <= 4")
 
 
-_LEAF = f"""WITH RECURSIVE {_TRADE}, s AS (SELECT 'p:' || p_partkey AS node FROM part WHERE p_partkey <= 20), r(start, node) AS (SELECT node, node FROM s UNION SELECT r.start, e.caller FROM r JOIN edges e ON e.callee = r.node),
+_LEAF = f"""WITH RECURSIVE {_TRADE}, s AS (SELECT 'p:' || p_partkey AS node FROM part), r(start, node) AS (SELECT node, node FROM s UNION SELECT r.start, e.caller FROM r JOIN edges e ON e.callee = r.node),
 leaf AS (SELECT start, node FROM r WHERE node NOT IN (SELECT callee FROM edges))"""
 
 
 def _leaves(spark, sf_dir) -> DataFrame:
-    starts = B.table(spark, sf_dir, "part").where("p_partkey <= 20").select(F.concat(F.lit("p:"), "p_partkey").alias("node"))
+    starts = B.table(spark, sf_dir, "part").select(F.concat(F.lit("p:"), "p_partkey").alias("node"))
     return G.leaves(starts, B.trade_edges(spark, sf_dir), 10**9)
 
 
@@ -227,9 +227,9 @@ def window_text(spark, sf_dir):
     return hits.select("doc_id", "line_no", X.numbered(F.col("ls"), F.col("line_no") - 3, F.col("line_no") + 3).alias("shown"))
 
 
-@query("""WITH a AS (SELECT l_suppkey AS file, 'buf' || l_partkey % 7 AS name, l_orderkey * 8 + l_linenumber AS pos, CAST(l_quantity AS BIGINT) AS size FROM lineitem WHERE l_linenumber <= 2),
-u AS (SELECT l_suppkey AS file, 'buf' || l_partkey % 7 AS name, l_orderkey * 8 + l_linenumber AS pos, CAST(l_quantity AS BIGINT) AS length FROM lineitem WHERE l_linenumber = 3)
-SELECT u.file, u.name, u.pos, u.length, arg_max(a.size, (a.pos, a.size)) AS capacity FROM u LEFT JOIN a ON a.file = u.file AND a.name = u.name AND a.pos < u.pos GROUP BY u.file, u.name, u.pos, u.length""")
+@query("""WITH a AS (SELECT l_suppkey AS file, 'buf' || l_partkey % 7 AS name, l_orderkey * 8 + l_linenumber AS pos, CAST(l_quantity AS BIGINT) AS size FROM lineitem WHERE l_linenumber % 2 = 1),
+u AS (SELECT row_number() OVER () AS rid, l_suppkey AS file, 'buf' || l_partkey % 7 AS name, l_orderkey * 8 + l_linenumber AS pos, CAST(l_quantity AS BIGINT) AS length FROM lineitem WHERE l_linenumber % 2 = 0)
+SELECT u.file, u.name, u.pos, u.length, arg_max(a.size, (a.pos, a.size)) AS capacity FROM u LEFT JOIN a ON a.file = u.file AND a.name = u.name AND a.pos < u.pos GROUP BY u.rid, u.file, u.name, u.pos, u.length""")
 def last_capacity(spark, sf_dir):
     declared, used = _buffers(spark, sf_dir)
     return V.last_before(used, declared, ["file", "name"]).select("file", "name", "pos", "length", F.col("size").alias("capacity"))
@@ -239,13 +239,13 @@ def _buffers(spark, sf_dir):
     items = B.table(spark, sf_dir, "lineitem")
     at = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     base = [F.col("l_suppkey").alias("file"), F.concat(F.lit("buf"), F.col("l_partkey") % 7).alias("name"), at.alias("pos")]
-    declared = items.where("l_linenumber <= 2").select(*base, F.col("l_quantity").cast("long").alias("size"))
-    return declared, items.where("l_linenumber = 3").select(*base, F.col("l_quantity").cast("long").alias("length"))
+    declared = items.where("l_linenumber % 2 = 1").select(*base, F.col("l_quantity").cast("long").alias("size"))
+    return declared, items.where("l_linenumber % 2 = 0").select(*base, F.col("l_quantity").cast("long").alias("length"))
 
 
-@query("""WITH a AS (SELECT l_suppkey AS file, 'buf' || l_partkey % 7 AS name, l_orderkey * 8 + l_linenumber AS pos, CAST(l_quantity AS BIGINT) AS size FROM lineitem WHERE l_linenumber <= 2),
-u AS (SELECT l_suppkey AS file, 'buf' || l_partkey % 7 AS name, l_orderkey * 8 + l_linenumber AS pos, CAST(l_quantity AS BIGINT) AS length FROM lineitem WHERE l_linenumber = 3),
-c AS (SELECT u.file, u.name, u.pos, u.length, arg_max(a.size, (a.pos, a.size)) AS capacity FROM u LEFT JOIN a ON a.file = u.file AND a.name = u.name AND a.pos < u.pos GROUP BY u.file, u.name, u.pos, u.length)
+@query("""WITH a AS (SELECT l_suppkey AS file, 'buf' || l_partkey % 7 AS name, l_orderkey * 8 + l_linenumber AS pos, CAST(l_quantity AS BIGINT) AS size FROM lineitem WHERE l_linenumber % 2 = 1),
+u AS (SELECT row_number() OVER () AS rid, l_suppkey AS file, 'buf' || l_partkey % 7 AS name, l_orderkey * 8 + l_linenumber AS pos, CAST(l_quantity AS BIGINT) AS length FROM lineitem WHERE l_linenumber % 2 = 0),
+c AS (SELECT u.file, u.name, u.pos, u.length, arg_max(a.size, (a.pos, a.size)) AS capacity FROM u LEFT JOIN a ON a.file = u.file AND a.name = u.name AND a.pos < u.pos GROUP BY u.rid, u.file, u.name, u.pos, u.length)
 SELECT file, name, pos, CASE WHEN length IS NULL OR capacity IS NULL THEN 'unknown' WHEN length > capacity THEN 'overflow' ELSE 'safe' END AS verdict FROM c""")
 def bounds_verdict(spark, sf_dir):
     declared, used = _buffers(spark, sf_dir)
@@ -262,10 +262,10 @@ def string_literal_index(spark, sf_dir):
 # --- verification, translation ---------------------------------------------------------------------------------
 
 
-@query(f"WITH {MERGED} SELECT m.dedup_key, sha256('model-a:' || 'verify ' || m.dedup_key) AS key FROM merged m WHERE m.mode <> 'static' AND m.doc_id % 3 <> 0")
+@query(f"WITH {MERGED} SELECT m.dedup_key, sha256('model-a:' || 'verify ' || m.dedup_key) AS key FROM merged m WHERE m.mode <> 'static' AND m.severity <> 'INFO'")
 def llm_cache_miss(spark, sf_dir):
     asked = L.requests(merged(spark, sf_dir), "model-a")
-    cache = asked.where("doc_id % 3 = 0").select("key", F.lit("{}").alias("response"))
+    cache = asked.where("severity = 'INFO'").select("key", F.lit("{}").alias("response"))
     return L.misses(asked, cache).select("dedup_key", "key")
 
 
