@@ -159,4 +159,4 @@ def bpe(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_
                     [*keep, "n_tokens", "ids", "decoded"],
                 )
 
-    return docs.mapInArrow(run, f"{fields}{', ' if keep else ''}n_tokens long, ids binary, decoded string")
+    return docs.mapInArrow(K.lean(run), f"{fields}{', ' if keep else ''}n_tokens long, ids binary, decoded string")

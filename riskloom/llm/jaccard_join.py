@@ -356,7 +356,7 @@ def block_search(rule: Rule):
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(probe(rule), "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(K.lean(probe(rule)), "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
@@ -366,8 +366,8 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: i
     rule = Rule(k, num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = partitions(docs)
-    met = P.exchange(docs.mapInArrow(emit(rule, parts * P.PER_PARTITION), P.SCHEMA), parts)
-    found = cut(met.mapInArrow(lists, OUT_SCHEMA), "lists")
+    met = P.exchange(docs.mapInArrow(K.lean(emit(rule, parts * P.PER_PARTITION)), P.SCHEMA), parts)
+    found = cut(met.mapInArrow(K.lean(lists), OUT_SCHEMA), "lists")
     exact = cut(components(found.where("kind = 'exact'").select("a", "b")).where("node <> component"), "exact")
     copies = exact.select(F.col("node").alias("doc"), "component")
 
@@ -401,7 +401,7 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: i
     pairs = cut(counted.unionAll(star).distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).unionAll(dense.select("doc")).distinct()
     ids = maybe_broadcast(cut(ids, "ids"), BROADCAST_IDS)
-    sets = cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(set_rows(rule), "doc_id long, set binary").dropDuplicates(["doc_id"]), "sets")
+    sets = cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(K.lean(set_rows(rule)), "doc_id long, set binary").dropDuplicates(["doc_id"]), "sets")
     links = cut(_verified(pairs, sets, rule), "links")
     edges = links.unionAll(exact.select(F.col("node").alias("a"), F.col("component").alias("b")))
     comps = components(edges)
@@ -410,7 +410,7 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: i
         more = _dense_links(dense, comps, sets, rule)
         if not more.isEmpty():
             comps = components(edges.unionAll(more))
-    size = docs.mapInArrow(sizes(rule), "doc_id long, n_shingles long")
+    size = docs.mapInArrow(K.lean(sizes(rule)), "doc_id long, n_shingles long")
     out = size.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -418,7 +418,7 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: i
 def _dense_links(dense: DataFrame, comps: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Links between dense records of different components: blocks of keys, searched locally, then probed."""
     rows = sets.join(dense.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    rows = rows.select("doc_id", "set", F.coalesce("component", "doc_id").alias("comp")).mapInArrow(scheme_rows(rule), "scheme int, doc_id long, comp long, n long, set binary")
+    rows = rows.select("doc_id", "set", F.coalesce("component", "doc_id").alias("comp")).mapInArrow(K.lean(scheme_rows(rule)), "scheme int, doc_id long, comp long, n long, set binary")
     rows = cut(rows, "dense")
     # the largest component of a scheme needs no search within itself: its members are the index, never queries
     per = rows.groupBy("scheme", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"))

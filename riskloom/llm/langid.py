@@ -92,7 +92,7 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], ["slot", "n"])
 
-    rows = docs.where(_learning() & F.col("text").isNotNull()).select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    rows = docs.where(_learning() & F.col("text").isNotNull()).select("text").mapInArrow(K.lean(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     got = rows.toArrow()  # SLOTS + 1 rows at most
     df = np.zeros(SLOTS + 1, dtype=np.int64)
     df[got.column(0).to_numpy()] = got.column(1).to_numpy()
@@ -117,7 +117,7 @@ def sample(docs: DataFrame, rows: int = SAMPLE) -> list[tuple[str, np.ndarray, n
             got = [shares(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype(np.uint16).tobytes() for x, _ in got], pa.binary()), pa.array([y.tobytes() for _, y in got], pa.binary())], ["place", "lang", "slots", "shares"])
 
-    made = some.select("place", "lang", "text").mapInArrow(run, "place long, lang string, slots binary, shares binary").orderBy("place", "lang", "slots").limit(2 * rows).collect()
+    made = some.select("place", "lang", "text").mapInArrow(K.lean(run), "place long, lang string, slots binary, shares binary").orderBy("place", "lang", "slots").limit(2 * rows).collect()
     out, taken = [], dict.fromkeys(shares_, 0)
     for r in made:
         if taken[r["lang"]] < each:
@@ -216,4 +216,4 @@ def language_id(docs: DataFrame, train_on: DataFrame | None = None, keep: tuple[
                 lang, score = model.predict(chunk.column(chunk.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*chunk.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "held_out", "lang_pred", "score"])
 
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(K.lean(run), f"{fields}, lang_pred string, score double")

@@ -20,7 +20,7 @@ from . import textkernel as K
 
 PER_PARTITION = 2
 FLAG = 9
-FLUSH = 1_500_000
+FLUSH = 600_000
 SCHEMA = "bucket int, kind int, h binary, doc binary, pos binary"
 ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("h", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary())])
 FLAG_SCHEMA = "doc_id long, places binary"
@@ -103,7 +103,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def by_document(df: DataFrame, parts: int) -> DataFrame:
     """All marked places of a document in one row: at most its own number of words."""
-    return exchange(df, parts).mapInArrow(gathered, FLAG_SCHEMA)
+    return exchange(df, parts).mapInArrow(K.lean(gathered), FLAG_SCHEMA)
 
 
 def places(cell: bytes | None) -> np.ndarray:

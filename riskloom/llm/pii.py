@@ -134,7 +134,7 @@ def pii_scan(docs: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), chunk.column(0), pa.array(base, TYPE), pa.array(seen, MENTION)], ["row", "doc_id", "base", "mentions"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut(docs.mapInArrow(run, f"row long, doc_id {kind}, base {DDL}, mentions array<struct<start:int,end:int,seed:int,pattern:long,instance:long>>"), "mentions")
+    rows = cut(docs.mapInArrow(K.lean(run), f"row long, doc_id {kind}, base {DDL}, mentions array<struct<start:int,end:int,seed:int,pattern:long,instance:long>>"), "mentions")
     each = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     edges = cut(each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
     trusted = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("trust"))

@@ -117,4 +117,4 @@ def secret_scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), bits: floa
                     clean.append(redacted(text, found + more) if found or more else text)
                 yield pa.RecordBatch.from_arrays([*chunk.columns[: len(keep)], pa.array(base, TYPE), pa.array(spans, TYPE), pa.array(clean, pa.string())], [*keep, "base", "spans", "redacted"])
 
-    return docs.mapInArrow(run, f"{fields}base {DDL}, spans {DDL}, redacted string")
+    return docs.mapInArrow(K.lean(run), f"{fields}base {DDL}, spans {DDL}, redacted string")

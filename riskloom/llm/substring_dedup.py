@@ -202,9 +202,9 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = partitions(docs)
     n = parts * P.PER_PARTITION
-    met = P.exchange(docs.mapInArrow(anchors(width, n), P.SCHEMA), parts)
-    hits = P.by_document(met.mapInArrow(repeated(parts), P.SCHEMA), parts)
+    met = P.exchange(docs.mapInArrow(K.lean(anchors(width, n)), P.SCHEMA), parts)
+    hits = P.by_document(met.mapInArrow(K.lean(repeated(parts)), P.SCHEMA), parts)
     near = docs.join(hits, "doc_id", "left").select("doc_id", "text", "places")
-    met = P.exchange(near.mapInArrow(candidates(width, n), P.SCHEMA), parts)
-    marks = P.by_document(met.mapInArrow(later(parts), P.SCHEMA), parts)
-    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(removal(width), "doc_id long, n_words long, n_removed long, kept_text string")
+    met = P.exchange(near.mapInArrow(K.lean(candidates(width, n)), P.SCHEMA), parts)
+    marks = P.by_document(met.mapInArrow(K.lean(later(parts)), P.SCHEMA), parts)
+    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(K.lean(removal(width)), "doc_id long, n_words long, n_removed long, kept_text string")

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as K
 from .common import small, tune
 
 RULES = 200_000
@@ -93,7 +94,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
             rule, verdict = sweep.run(b.column(1).to_pylist(), b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rule, pa.string()), pa.array([v or default for v in verdict], pa.string())], [key, "host", "path", "rule", "verdict"])
 
-    return parsed.mapInArrow(run, f"`{key}` {parsed.schema[key].dataType.simpleString()}, host string, path string, rule string, verdict string")
+    return parsed.mapInArrow(K.lean(run), f"`{key}` {parsed.schema[key].dataType.simpleString()}, host string, path string, rule string, verdict string")
 
 
 def _by_suffix(parsed: DataFrame, rules: DataFrame, default: str, key: str) -> DataFrame:

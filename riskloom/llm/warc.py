@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as K
 from .common import cut, tune
 
 LEAST = 1000
@@ -127,7 +128,7 @@ def write_bundles(pages: DataFrame, least: int = LEAST, bundle: int = BUNDLE) ->
         if frames:
             yield seal()
 
-    return cut(todo.mapInArrow(run, BUNDLES), "warc")
+    return cut(todo.mapInArrow(K.lean(run), BUNDLES), "warc")
 
 
 def index_bundles(bundles: DataFrame) -> DataFrame:
@@ -140,7 +141,7 @@ def index_bundles(bundles: DataFrame) -> DataFrame:
                 rows = [(_page(parse(expand(data[at : at + size]))[0]["WARC-Record-ID"]), name, i, at, size) for i, (at, size, _) in enumerate(seek_table(data))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["page_id", "bundle", "frame", "offset", "length"])
 
-    return bundles.mapInArrow(run, "page_id long, bundle string, frame int, offset long, length long")
+    return bundles.mapInArrow(K.lean(run), "page_id long, bundle string, frame int, offset long, length long")
 
 
 def fetch(data: bytes, offset: int, length: int) -> tuple[dict[str, str], bytes]:
@@ -167,4 +168,4 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                     rows.append((_page(head["WARC-Record-ID"]), n, digest, head["WARC-Type"], refers_to))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return bundles.mapInArrow(run, RECORDS)
+    return bundles.mapInArrow(K.lean(run), RECORDS)
