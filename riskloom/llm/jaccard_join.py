@@ -140,18 +140,18 @@ STAT, EXACT, KEY, LONG = 0, 1, 2, 3
 def emit(rule: Rule, buckets: int):
     """Entries for the exchange: sizes (pos: size, h: keys), digests, keys, and marks of keys that are long already here."""
 
-    def flush(h, doc, kind) -> Iterator[pa.RecordBatch]:
+    def flush(h, doc, kind, by) -> Iterator[pa.RecordBatch]:
         for what in (EXACT, KEY):
             is_ = kind == what
-            hh, dd = h[is_], doc[is_]
+            hh, dd, bb = h[is_], doc[is_], by[is_]
             order, first, size = P.first_of_groups(hh, dd, np.zeros(len(hh), dtype=np.int64))
-            hh, dd = hh[order], dd[order]
+            hh, dd, bb = hh[order], dd[order], bb[order]
             head = np.flatnonzero(first)
             hub = np.repeat(dd[head], np.diff(np.r_[head, len(hh)]))
             long = size > (1 if what == EXACT else SHORT)
             out = first | ~long
-            yield from P.rows_of(P.bucket_of(hh[out & ~long], buckets), what, hh[out & ~long], dd[out & ~long], np.zeros(int((out & ~long).sum()), dtype=np.int64), True)
-            yield from P.rows_of(P.bucket_of(hh[first & long], buckets), 10 + what, hh[first & long], dd[first & long], np.zeros(int((first & long).sum()), dtype=np.int64), True)
+            yield from P.rows_of(P.bucket_of(bb[out & ~long], buckets), what, hh[out & ~long], dd[out & ~long], np.zeros(int((out & ~long).sum()), dtype=np.int64), True)
+            yield from P.rows_of(P.bucket_of(bb[first & long], buckets), 10 + what, hh[first & long], dd[first & long], np.zeros(int((first & long).sum()), dtype=np.int64), True)
             # members of a long list: an edge to its smallest member here (h: that member), one list more
             x, y = dd[long], hub[long]
             yield from P.rows_of(P.bucket_of(K.mix(x.astype(np.uint64)), buckets), 20 + what, y.astype(np.uint64), x, np.zeros(len(x), dtype=np.int64), True)
@@ -163,7 +163,7 @@ def emit(rule: Rule, buckets: int):
         for b in batches:
             for chunk in K.chunks(_known(b)):
                 ids = chunk.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                hs, ds, ks = [], [], []
+                hs, ds, ks, bs = [], [], [], []  # hash, document, kind, and what the bucket goes by
                 for doc, s in zip(ids.tolist(), sets_of(chunk, rule.k), strict=True):
                     n = len(s)
                     if not n:
@@ -173,14 +173,17 @@ def emit(rule: Rule, buckets: int):
                         keys, count = rule.keys(s, b_)
                         own = own or count
                         hs.append(keys)
+                        bs.append(keys)
                         ks.append(np.full(len(keys), KEY, dtype=np.int64))
                         ds.append(np.full(len(keys), doc, dtype=np.int64))
-                    digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), dtype=np.uint64)
-                    hs += [digest, np.array([own], dtype=np.uint64)]
+                    # half of a 128-bit digest is compared, the other half chooses the bucket
+                    digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.uint64)
+                    hs += [digest[:1], np.array([own], dtype=np.uint64)]
+                    bs.append(digest[::-1])
                     ks += [np.array([EXACT]), np.array([-n - 1])]
                     ds.append(np.array([doc, doc], dtype=np.int64))
                 if hs:
-                    yield from held.add(np.concatenate(hs), np.concatenate(ds), np.concatenate(ks))
+                    yield from held.add(np.concatenate(hs), np.concatenate(ds), np.concatenate(ks), np.concatenate(bs))
         yield from held.end()
 
     return run

@@ -121,24 +121,24 @@ def first_of_groups(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np
     return order, first, size
 
 
-Flush = Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]
+Flush = Callable[..., Iterator[pa.RecordBatch]]
 
 
 class Collector:
-    """Holds entries until FLUSH of them, then hands them on."""
+    """Holds entries (columns of equal length) until FLUSH of them, then hands them on."""
 
     def __init__(self, flush: Flush):
         self.flush, self.held, self.n = flush, [], 0
 
-    def add(self, h, doc, pos) -> Iterator[pa.RecordBatch]:
-        if len(h):
-            self.held.append((h, doc, pos))
-            self.n += len(h)
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(columns[0]):
+            self.held.append(columns)
+            self.n += len(columns[0])
         if self.n >= FLUSH:
             yield from self.end()
 
     def end(self) -> Iterator[pa.RecordBatch]:
         if self.n:
-            h, doc, pos = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            columns = [np.concatenate(x) for x in zip(*self.held, strict=True)]
             self.held, self.n = [], 0
-            yield from self.flush(h, doc, pos)
+            yield from self.flush(*columns)

@@ -8,8 +8,9 @@ earlier in the same document - is removed.  Windows are judged on the input, not
    some offset d < 13 puts both i + d and j + d on the cover.  Hashing the ``ANCHOR`` = 20 - 12 = 8
    words at cover places only (31 % of all places), two equal windows always share an aligned anchor.
    Anchor hashes meet in a packed exchange; those that occur once are gone after it.
-2. **Extension.**  Only windows around repeated anchors are hashed whole (64 bits and the bucket's);
-   a second exchange marks every occurrence but the first.
+2. **Extension.**  Only windows around repeated anchors are hashed whole: 64 bits, and the bucket by an
+   independent hash, so that the bits compared grow with the number of buckets.  A second exchange
+   marks every occurrence but the first.
 3. Marks return to their document, which loses the words they cover.
 
 Mappers send one entry a hash and flush, so a passage in a third of all documents adds as many
@@ -112,10 +113,10 @@ def repeated(buckets: int):
 def candidates(width: int, buckets: int):
     period, _, length = _layout(width)
 
-    def flush(h, doc, pos) -> Iterator[pa.RecordBatch]:
+    def flush(h, doc, pos, other) -> Iterator[pa.RecordBatch]:
         order, first, _ = P.first_of_groups(h, doc, pos)
-        h, doc, pos = h[order], doc[order], pos[order]
-        yield from P.rows_of(P.bucket_of(h[first], buckets), 0, h[first], doc[first], pos[first], True)
+        h, doc, pos, other = h[order], doc[order], pos[order], other[order]
+        yield from P.rows_of(P.bucket_of(other[first], buckets), 0, h[first], doc[first], pos[first], True)
         later = ~first & ~_same(h, doc, pos)
         yield from P.rows_of(P.bucket_of(K.mix(doc[later].astype(np.uint64)), buckets), 1, h[later], doc[later], pos[later], True)
 
@@ -134,7 +135,7 @@ def candidates(width: int, buckets: int):
                 h = K.windows(words.h, width, 2)
                 doc, place, left = (x[: len(h)] for x in _per_word(words, ids))
                 keep = (np.cumsum(near)[: len(h)] > 0) & (left >= width)
-                yield from held.add(h[keep], doc[keep], place[keep])
+                yield from held.add(h[keep], doc[keep], place[keep], K.windows(words.h, width, 3)[keep])
         yield from held.end()
 
     return run
