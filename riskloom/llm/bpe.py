@@ -30,6 +30,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkernel as K
 from .common import tune
@@ -147,7 +148,7 @@ def bpe(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_
     tune(docs.sparkSession)
     path = path or default_path()
     docs = docs.select(*keep, F.col("text").cast("string").alias("_scanned"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
+    out = T.StructType([*docs.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -159,4 +160,4 @@ def bpe(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_
                     [*keep, "n_tokens", "ids", "decoded"],
                 )
 
-    return docs.mapInArrow(K.lean(run), f"{fields}{', ' if keep else ''}n_tokens long, ids binary, decoded string")
+    return docs.mapInArrow(K.lean(run), out)

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkernel as K
 from .common import tune
@@ -208,7 +209,7 @@ def language_id(docs: DataFrame, train_on: DataFrame | None = None, keep: tuple[
     base = docs if train_on is None else train_on
     model = train(base.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), rows)
     docs = docs.select(*keep, (~_learning()).alias("held_out"), F.col("text").cast("string").alias("_scanned"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
+    out = T.StructType([*docs.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,4 +217,4 @@ def language_id(docs: DataFrame, train_on: DataFrame | None = None, keep: tuple[
                 lang, score = model.predict(chunk.column(chunk.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*chunk.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "held_out", "lang_pred", "score"])
 
-    return docs.mapInArrow(K.lean(run), f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(K.lean(run), out)

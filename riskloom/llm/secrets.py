@@ -22,10 +22,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkernel as K
 from .common import tune
-from .spans import DDL, TYPE, ordered
+from .spans import FIELDS, TYPE, ordered
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -102,7 +103,8 @@ def secret_scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), bits: floa
     """The kept columns and base, spans (arrays of kind, start, end; spans: base and novel), redacted (the text without them) for each row of docs (column text)."""
     tune(docs.sparkSession)
     docs = docs.select(*keep, F.col("text").cast("string").alias("_scanned"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields[:-1])
+    found = T.ArrayType(T.StructType.fromDDL(FIELDS))
+    out = T.StructType([*docs.schema.fields[:-1], T.StructField("base", found), T.StructField("spans", found), T.StructField("redacted", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
@@ -117,4 +119,4 @@ def secret_scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), bits: floa
                     clean.append(redacted(text, found + more) if found or more else text)
                 yield pa.RecordBatch.from_arrays([*chunk.columns[: len(keep)], pa.array(base, TYPE), pa.array(spans, TYPE), pa.array(clean, pa.string())], [*keep, "base", "spans", "redacted"])
 
-    return docs.mapInArrow(K.lean(run), f"{fields}base {DDL}, spans {DDL}, redacted string")
+    return docs.mapInArrow(K.lean(run), out)

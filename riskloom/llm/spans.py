@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+FIELDS = "kind string, start int, end int"
 DDL = "array<struct<kind:string,start:int,end:int>>"
 
 
