@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cvss
@@ -56,10 +56,11 @@ def scored(findings: DataFrame) -> DataFrame:
 
 
 def facet(df: DataFrame, key: Column, page: int = 5) -> DataFrame:
-    """Counts of a key, most frequent first, and whether a row is on the first page.  The rank is over the distinct values only."""
+    """Counts of a key, and whether a value is on the first page: the most frequent ones, equal counts by value (a top-n of each
+    partition's own, then of those)."""
     counts = df.groupBy(key.alias("value")).agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), F.asc("value")))
-    return counts.select("value", "n", rank.alias("rank")).withColumn("shown", F.col("rank") <= page)
+    first = counts.orderBy(F.desc("n"), F.asc("value")).limit(page).select("value", F.lit(True).alias("shown"))
+    return counts.join(F.broadcast(first), "value", "left").select("value", "n", F.coalesce("shown", F.lit(False)).alias("shown"))
 
 
 def risk_facet(df: DataFrame) -> DataFrame:

@@ -6,18 +6,19 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordered import ranked
+
 # Limits of an archive.
 MAX_ENTRIES, MAX_BYTES = 20_000, 500 << 20
 
 
 def quota(entries: DataFrame, archive: str, order: str, size: str, max_bytes: int = MAX_BYTES, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """entries with running totals within their archive and whether they are accepted."""
-    by = Window.partitionBy(archive).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    total, n = F.sum(size).over(by), F.count("*").over(by)
-    return entries.withColumn("running_bytes", total).withColumn("running_entries", n).withColumn("accepted", (F.col("running_bytes") <= max_bytes) & (F.col("running_entries") <= max_entries))
+    out = ranked(entries, [archive], [F.col(order)], "running_entries", {"running_bytes": size})
+    return out.withColumn("accepted", (F.col("running_bytes") <= max_bytes) & (F.col("running_entries") <= max_entries))
 
 
 def escapes(path: str = "path"):

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cvss, globs
 from ..functions import scalars as X
 from ..operators import analytics as A
 from ..operators import candidates as C
-from ..operators import graph as G
+from ..operators.ordered import ranked
 from ..sources import bridge as B
 
 QUERIES: dict = {}
@@ -180,7 +180,7 @@ def verdict_summary(spark, sf_dir):
     return A.summary(findings(spark, sf_dir))
 
 
-_FACET = "SELECT value, n, rank, rank <= 5 AS shown FROM (SELECT value, n, row_number() OVER (ORDER BY n DESC, value) AS rank FROM (SELECT {} AS value, count(*) AS n FROM scored GROUP BY 1))"
+_FACET = "SELECT value, n, rank <= 5 AS shown FROM (SELECT value, n, row_number() OVER (ORDER BY n DESC, value) AS rank FROM (SELECT {} AS value, count(*) AS n FROM scored GROUP BY 1))"
 
 
 @query(f"WITH {SCORED} {_FACET.format('vuln_type')}")
@@ -216,14 +216,14 @@ def scored_findings(spark, sf_dir):
 @query(f"""WITH {FINDINGS} SELECT dedup_key, row_number() OVER (PARTITION BY report_id ORDER BY CASE reachable WHEN 'yes' THEN 0 WHEN 'no' THEN 2 ELSE 1 END, CASE severity WHEN 'ERROR' THEN 0 WHEN 'WARNING' THEN 1 WHEN 'INFO' THEN 2 ELSE 3 END, doc_id, sink_line, rule_id) AS place FROM finding""")
 def report_order(spark, sf_dir):
     df = findings(spark, sf_dir).withColumn("verdict_reachable", F.col("finding.reachable"))
-    return df.select("dedup_key", F.row_number().over(Window.partitionBy("report_id").orderBy(*A.report_rank(), "seq")).alias("place"))
+    return ranked(df.select("dedup_key", "report_id", "verdict_reachable", "severity", "seq"), ["report_id"], [*A.report_rank(), F.col("seq")]).select("dedup_key", "place")
 
 
 @query(rf"""WITH {SCORED} SELECT report_id, risk_level, row_number() OVER (PARTITION BY report_id, risk_level ORDER BY sink_file, sink_line) AS n,
 row_number() OVER (PARTITION BY report_id, risk_level ORDER BY sink_file, sink_line) || '. ' || vuln_type || ' `' || sink_file || ':' || sink_line || '`' AS row FROM scored""")
 def markdown_rows(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("report_id", "risk_level").orderBy("sink_file", "sink_line"))
-    df = scored(spark, sf_dir).select("report_id", "risk_level", "vuln_type", "sink_file", "sink_line", n.alias("n"))
+    df = scored(spark, sf_dir).select("report_id", "risk_level", "vuln_type", "sink_file", "sink_line")
+    df = ranked(df, ["report_id", "risk_level"], [F.col("sink_file"), F.col("sink_line")], "n")
     place = F.concat(F.lit(" `"), X.slashes(F.col("sink_file")), F.lit(":"), "sink_line", F.lit("`"))
     return df.select("report_id", "risk_level", "n", F.concat(F.col("n"), F.lit(". "), X.one_line(F.col("vuln_type")), place).alias("row"))
 
