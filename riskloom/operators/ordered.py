@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import _cut
+from ..functions.storage import cut
 
 
 def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str = "place", totals: dict[str, str] | None = None) -> DataFrame:
@@ -20,7 +20,7 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str = "pl
     keys = [f"_o{i}" for i in range(len(order))]
     held = df.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)])
     dealt = held.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *group, *keys)
-    dealt = _cut(dealt.withColumn("_range", F.spark_partition_id()))
+    dealt = cut(dealt.withColumn("_range", F.spark_partition_id()))
     here = Window.partitionBy("_range", *group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     out = dealt.select("*", F.count(F.lit(1)).over(here).alias(rank), *[F.sum(c).over(here).alias(n) for n, c in totals.items()])
     ahead = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
