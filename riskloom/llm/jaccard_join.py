@@ -53,7 +53,7 @@ NUMERATOR, DENOMINATOR = 85, 100
 BAND = 1.5
 SHORT = 32
 #: Shingles of a block in the local search of dense clusters.
-BLOCK = 500_000
+BLOCK = 200_000
 BROADCAST_IDS = 200_000
 #: Entries of lists up to which the local search merges through a heap.
 MERGE = 512
