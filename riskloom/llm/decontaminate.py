@@ -36,19 +36,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def words(text: str) -> Column:
+def words(text: Column) -> Column:
     """Words as they are matched: A-Z lower-cased, nothing else changed."""
-    return F.array_remove(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), SEPARATORS, -1), "")
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS, -1), "")
 
 
-def folded(text: str) -> Column:
+def folded(text: Column) -> Column:
     """Words for the index, any letter lower-cased: faster, and never fewer matches; ``phrases`` tells them apart."""
-    return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SEPARATORS, -1), "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, -1), "")
 
 
 def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """item, item_id, start, words of each window."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words("text").alias("w")).distinct()
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text")).alias("w")).distinct()
     items = items.where(F.size("w") > 0).select("item_id", "w", F.xxhash64("item_id", "w").alias("item"))
     start = F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0))))
     return items.select("item", "item_id", "w", start.alias("start")).select("item", "item_id", "start", F.expr(f"slice(w, start + 1, {width})").alias("words"))
@@ -56,12 +56,12 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term, n: how often each of the terms occurs in the documents."""
-    return docs.select(F.explode(folded("text")).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n"))
+    return docs.select(F.explode(folded(F.col("text"))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The positional inverted index of the terms: term, doc_id, pos (from 0)."""
-    return docs.select("doc_id", F.posexplode(folded("text")).alias("pos", "term")).join(terms, "term").select("term", "doc_id", "pos")
+    return docs.select("doc_id", F.posexplode(folded(F.col("text"))).alias("pos", "term")).join(terms, "term").select("term", "doc_id", "pos")
 
 
 def proximity(docs: DataFrame, terms: list[str], distance: int) -> DataFrame:
@@ -74,6 +74,18 @@ def proximity(docs: DataFrame, terms: list[str], distance: int) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, rare: int = RARE) -> DataFrame:
     """Each row of docs (doc_id, text) with n_words, n_hit, n_items, items (sorted item ids), contaminated."""
+    met = alignments(docs, benchmark, width, rare)
+    return phrases(docs.select(F.struct("doc_id", "text").alias("row")), met).select("row.doc_id", "n_words", "n_hit", "n_items", "items", "contaminated")
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, rare: int = RARE) -> DataFrame:
+    """The rows of docs, all columns, that are not contaminated: texts are shuffled once, to be compared and kept."""
+    met = alignments(docs, benchmark, width, rare)
+    return phrases(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), met).where("NOT contaminated").select("row.*")
+
+
+def alignments(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, rare: int = RARE) -> DataFrame:
+    """doc_id, at, item_id, words: where the rare terms of a window stand as in it."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     wins = cut(windows(benchmark, width), "windows")
     terms = wins.select("item", "item_id", "start", "words", F.posexplode(F.transform("words", F.lower)).alias("offset", "term"))
@@ -86,23 +98,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, rar
     needs = ranked.groupBy("item", "item_id", "start").agg(F.collect_set("place").alias("needs"), F.first("words").alias("words"))
     needs = cut(needs, "needs")
     probes = cut(ranked.select("term", "item", "place").distinct(), "probes")
-    index = postings(docs, maybe_broadcast(probes.select("term").distinct(), TERMS))
+    index = cut(postings(docs, maybe_broadcast(probes.select("term").distinct(), TERMS)), "postings")
     aligned = index.join(maybe_broadcast(probes, TERMS), "term").select("doc_id", "item", (F.col("pos") - F.col("place")).alias("shift"), "place")
     aligned = aligned.groupBy("doc_id", "item", "shift").agg(F.collect_set("place").alias("places"))
     met = aligned.join(maybe_broadcast(needs, TERMS), "item").where(F.size(F.array_except("needs", "places")) == 0)
     met = met.select("doc_id", (F.col("shift") + F.col("start")).alias("at"), "item_id", "words").where("at >= 0")
-    return phrases(docs, cut(met, "alignments"))
+    return cut(met, "alignments")
 
 
 def phrases(docs: DataFrame, met: DataFrame) -> DataFrame:
-    """Documents with the exact matches among alignments (doc_id, at, item_id, words)."""
+    """Rows of docs (a struct row with doc_id and text) with the exact matches among alignments (doc_id, at, item_id, words).
+    The join is a sort-merge join at every size: each text travels once, whatever the number of alignments."""
     each = met.groupBy("doc_id").agg(F.collect_set(F.struct("at", "item_id", "words")).alias("met")).withColumnRenamed("doc_id", "met_id")
-    out = docs.join(each, F.col("doc_id").eqNullSafe(F.col("met_id")), "left").select("doc_id", "text", "met")
-    size = F.size(folded("text"))
-    plain = out.select("doc_id", "text", "met", F.when(F.col("met").isNull(), size).otherwise(F.lit(None)).alias("n"), F.when(F.col("met").isNotNull(), words("text")).alias("w"))
+    out = docs.join(each.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("met_id")), "left").select("row", "met")
+    text = F.col("row.text").cast("string")
+    plain = out.select("row", "met", F.when(F.col("met").isNull(), F.size(folded(text))).alias("n"), F.when(F.col("met").isNotNull(), words(text)).alias("w"))
     exact = F.expr("filter(met, m -> slice(w, m.at + 1, size(m.words)) = m.words)")
-    plain = plain.select("doc_id", F.coalesce("n", F.size("w")).cast("long").alias("n_words"), F.coalesce(exact, F.expr("array()").cast(out.schema["met"].dataType)).alias("hits"))
+    plain = plain.select("row", F.coalesce("n", F.size("w")).cast("long").alias("n_words"), F.coalesce(exact, F.array().cast(out.schema["met"].dataType)).alias("hits"))
     places = F.expr("array_distinct(flatten(transform(hits, m -> sequence(m.at, m.at + size(m.words) - 1))))")
     items = F.array_sort(F.array_distinct(F.transform("hits", lambda m: m["item_id"])))
-    out = plain.select("doc_id", "n_words", F.size(places).cast("long").alias("n_hit"), items.alias("items"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    out = plain.select("row", "n_words", F.size(places).cast("long").alias("n_hit"), items.alias("items"))
+    return out.select("row", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))

@@ -31,6 +31,9 @@ def test_stages_keep_columns_and_bite(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
     more = spark.createDataFrame([(900, "password = abcdef1234567 in the text of that and this", "en", "s", 50), (901, "12 34", "en", "s", 5), (902, None, "en", "s", 0)], docs.schema)
     docs = docs.unionAll(more)
+    for c in ("score", "lang_pred", "spans", "redacted", "contaminated", "_row", "row", "component_id", "met", "n", "w"):  # names the operators use
+        docs = docs.withColumn(c, F.lit(c))
+    docs = docs.withColumn("odd name", F.lit(1))
     out = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, out, DATA)
