@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.bpe import bpe
-from riskloom.llm.common import cut
-from riskloom.llm.decontaminate import decontaminate
-from riskloom.llm.jaccard_join import jaccard_join
+from riskloom.llm.common import cut, maybe_broadcast
+from riskloom.llm.decontaminate import uncontaminated
+from riskloom.llm.jaccard_join import BROADCAST_IDS, jaccard_join
 from riskloom.llm.langid import UNKNOWN, language_id
 from riskloom.llm.secrets import secret_scan
 
@@ -21,31 +21,42 @@ from riskloom.llm.secrets import secret_scan
 MIN_SCORE = 0.2
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """docs' columns in one, so that none of them meets a result of its name, beside those an operator reads."""
+    read = [F.col(c) for c in ("doc_id", "text", "lang") if c in docs.columns]
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *read)
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model tells; those without any letter or text go."""
-    told = language_id(docs, keep=tuple(docs.columns))
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    told = language_id(_packed(docs), keep=("_row",))
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("_row.*")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one with the smallest doc_id."""
-    gone = jaccard_join(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = cut(jaccard_join(docs).where("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    return docs.join(maybe_broadcast(gone, BROADCAST_IDS), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't carry benchmark passages."""
-    hit = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    return uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by a mark; n_chars follows."""
-    out = secret_scan(docs, keep=tuple(docs.columns)).withColumn("text", F.col("redacted"))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = secret_scan(_packed(docs), keep=("_row",))
+
+    def column(f):
+        old = F.col("_row").getField(f.name)
+        if f.name == "text":
+            return F.col("redacted").alias("text")
+        if f.name == "n_chars":
+            return F.when(F.size("spans") > 0, F.length("redacted").cast(f.dataType)).otherwise(old).alias("n_chars")
+        return old.alias(f.name)
+
+    return out.select(*[column(f) for f in docs.schema.fields])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
