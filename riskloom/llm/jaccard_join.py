@@ -8,13 +8,15 @@ the whole sequence; without words it is empty and linked with nothing).  Two doc
 for each segment that is not empty (hash of its content), and the inverted list of a key is the
 documents with it.  A linked pair of sizes n, m differs in at most D = (1-t)/(1+t) * (n + m)
 shingles, and each spoils one segment, so it shares at least T = keys - D of about 2 D keys: a
-T-occurrence search.  No link can be missed.
+T-occurrence search.  A set near its band's lower border is written in the scheme of the band below too,
+and what it shares with a set there are keys of that scheme; so keys and lists are counted for each scheme (a key's
+lowest bit tells a document's two schemes apart).  No link can be missed.
 
 **Divide.**  Lists of up to ``SHORT`` documents are merged: their pairs are counted.  Longer lists
 are never expanded: a pair is a candidate if its count reaches T - L, L the long lists of the record,
 and is then probed (binary search of one sorted set in the other, the exact check).
 
-**Records with L >= T** - only members of dense clusters - have nothing to merge.  Each is first
+**Records with L >= T in one of their schemes** - only members of dense clusters - have nothing to merge.  Each is first
 probed against the smallest member of its long lists; what stays apart meets in blocks, each a local
 DivideSkip over the full key lists (heap merge of the short ones, binary search in the long ones) that
 probes its candidates at once and skips those in one component with the query.  The largest component of
@@ -100,7 +102,7 @@ class Rule:
 
     def keys(self, s: np.ndarray, b: int) -> tuple[np.ndarray, int]:
         """64-bit keys of the non-empty segments of a set in scheme b, and their number; where that is so
-        small that T may be 0, one more key that all such sets of the scheme have."""
+        small that T may be 0, one more key that all such sets of the scheme have.  The lowest bit is the scheme's."""
         k = self.segments(b)
         with np.errstate(over="ignore"):
             m = K.mix(s ^ np.uint64(0xA5A5A5A5A5A5))
@@ -109,6 +111,7 @@ class Rule:
             at, m = at[order], K.mix(m[order] + np.uint64(b))
             first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             keys = K.mix(np.add.reduceat(m, first) + at[first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b))
+        keys = (keys & ~np.uint64(1)) | np.uint64(b & 1)
         top, own = self.low(b + 1) - 1, len(keys)
         if own <= self.most(top + top * self.den // self.num):
             keys = np.r_[keys, np.uint64((1 << 63) + b)]
@@ -134,11 +137,12 @@ def _known(b: pa.RecordBatch) -> pa.RecordBatch:
     return b.filter(b.column(0).is_valid())
 
 
-STAT, EXACT, KEY, LONG = 0, 1, 2, 3
+STAT, EXACT, KEY, BELOW = 0, 1, 2, 3
 
 
 def emit(rule: Rule, buckets: int):
-    """Entries for the exchange: sizes (pos: size, h: keys), digests, keys, and marks of keys that are long already here."""
+    """Entries for the exchange: sizes (pos: size, h: twice the keys and the scheme's lowest bit; STAT of the own
+    scheme, BELOW of the one below), digests, keys, and marks of keys that are long already here."""
 
     def flush(h, doc, kind, by) -> Iterator[pa.RecordBatch]:
         for what in (EXACT, KEY):
@@ -152,11 +156,12 @@ def emit(rule: Rule, buckets: int):
             out = first | ~long
             yield from P.rows_of(P.bucket_of(bb[out & ~long], buckets), what, hh[out & ~long], dd[out & ~long], np.zeros(int((out & ~long).sum()), dtype=np.int64), True)
             yield from P.rows_of(P.bucket_of(bb[first & long], buckets), 10 + what, hh[first & long], dd[first & long], np.zeros(int((first & long).sum()), dtype=np.int64), True)
-            # members of a long list: an edge to its smallest member here (h: that member), one list more
+            # members of a long list: an edge to its smallest member here (h: that member), one list more (pos: of which scheme)
             x, y = dd[long], hub[long]
-            yield from P.rows_of(P.bucket_of(K.mix(x.astype(np.uint64)), buckets), 20 + what, y.astype(np.uint64), x, np.zeros(len(x), dtype=np.int64), True)
-        is_ = kind < 0
-        yield from P.rows_of(P.bucket_of(K.mix(doc[is_].astype(np.uint64)), buckets), STAT, h[is_], doc[is_], -kind[is_] - 1, True)
+            yield from P.rows_of(P.bucket_of(K.mix(x.astype(np.uint64)), buckets), 20 + what, y.astype(np.uint64), x, (hh[long] & np.uint64(1)).astype(np.int64), True)
+        for what in (STAT, BELOW):
+            is_ = (kind < 0) & (by == what)
+            yield from P.rows_of(P.bucket_of(K.mix(doc[is_].astype(np.uint64)), buckets), what, h[is_], doc[is_], -kind[is_] - 1, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = P.Collector(flush)
@@ -168,20 +173,18 @@ def emit(rule: Rule, buckets: int):
                     n = len(s)
                     if not n:
                         continue
-                    own = 0
-                    for b_ in rule.schemes(n):
+                    for what, b_ in zip((STAT, BELOW), rule.schemes(n), strict=False):
                         keys, count = rule.keys(s, b_)
-                        own = own or count
-                        hs.append(keys)
-                        bs.append(keys)
-                        ks.append(np.full(len(keys), KEY, dtype=np.int64))
-                        ds.append(np.full(len(keys), doc, dtype=np.int64))
+                        hs += [keys, np.array([2 * count + (b_ & 1)], dtype=np.uint64)]
+                        bs += [keys, np.array([what], dtype=np.uint64)]
+                        ks += [np.full(len(keys), KEY, dtype=np.int64), np.array([-n - 1])]
+                        ds.append(np.full(len(keys) + 1, doc, dtype=np.int64))
                     # half of a 128-bit digest is compared, the other half chooses the bucket
                     digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.uint64)
-                    hs += [digest[:1], np.array([own], dtype=np.uint64)]
-                    bs.append(digest[::-1])
-                    ks += [np.array([EXACT]), np.array([-n - 1])]
-                    ds.append(np.array([doc, doc], dtype=np.int64))
+                    hs.append(digest[:1])
+                    bs.append(digest[1:])
+                    ks.append(np.array([EXACT]))
+                    ds.append(np.array([doc], dtype=np.int64))
                 if hs:
                     yield from held.add(np.concatenate(hs), np.concatenate(ds), np.concatenate(ks), np.concatenate(bs))
         yield from held.end()
@@ -199,18 +202,25 @@ def _rows(kind: str, a, b=None, n=None, keys=None) -> Iterator[pa.RecordBatch]:
 
 
 def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket: sizes, exact edges, counted pairs of short lists, edges and list counts of long ones."""
+    """Of each bucket: sizes, exact edges, counted pairs of short lists, edges and list counts of long ones; b of
+    sizes and list counts is the lowest bit of the scheme."""
+
+    def listed(doc: np.ndarray, bit: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for x in (0, 1):
+            ids, n = np.unique(doc[bit == x], return_counts=True)
+            yield from _rows("long", ids, np.full(len(ids), x), n)
+
     none = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32))
     for kinds in P.buckets(batches, True):
-        h, doc, pos = kinds.get(STAT, none)
-        yield from _rows("stat", doc, None, pos, h)
+        for what, kind in ((STAT, "stat"), (BELOW, "below")):
+            h, doc, pos = kinds.get(what, none)
+            yield from _rows(kind, doc, h & np.uint64(1), pos, h >> np.uint64(1))
         for what in (EXACT, KEY):
-            h, doc, _ = kinds.get(20 + what, none)
+            h, doc, bit = kinds.get(20 + what, none)
             hub = h.astype(np.int64)
             yield from _rows("exact" if what == EXACT else "star", doc[doc != hub], hub[doc != hub])
             if what == KEY:
-                ids, n = np.unique(doc, return_counts=True)
-                yield from _rows("long", ids, None, n)
+                yield from listed(doc, bit)
             (h, doc, _), (mh, md, _) = kinds.get(what, none), kinds.get(10 + what, none)
             mark = np.r_[np.zeros(len(h), dtype=bool), np.ones(len(mh), dtype=bool)]
             h, doc = np.r_[h, mh], np.r_[doc, md]
@@ -227,20 +237,21 @@ def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             x = long & (doc != hub)
             yield from _rows("star", doc[x], hub[x])
-            ids, n = np.unique(doc[long & ~mark], return_counts=True)
-            yield from _rows("long", ids, None, n)
-            # short lists: entry i with the 1st, 2nd, ... entry before it in its list
-            a, b = [], []
+            yield from listed(doc[long & ~mark], h[long & ~mark] & np.uint64(1))
+            # short lists: entry i with the 1st, 2nd, ... entry before it in its list; a pair as one number
+            ids, to = np.unique(doc, return_inverse=True)
             at = np.arange(len(h)) - np.repeat(head, count)
+            pairs = [np.zeros(0, dtype=np.int64)]
             for back in range(1, int(count[~long[head]].max(initial=1))):
                 i = np.flatnonzero(~long & (at >= back))
-                a.append(doc[i - back])
-                b.append(doc[i])
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                a, b = a[a != b], b[a != b]
-                pair, n = np.unique(np.stack([a, b]), axis=1, return_counts=True) if len(a) else (np.zeros((2, 0), dtype=np.int64), a)
-                yield from _rows("pair", pair[0], pair[1], n)
+                i = i[to[i - back] != to[i]]
+                pairs.append(to[i - back] * len(ids) + to[i])
+            pairs = np.concatenate(pairs)
+            pairs.sort()
+            first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])[: len(pairs)]
+            n = np.diff(np.r_[first, len(pairs)])
+            pairs = pairs[first]
+            yield from _rows("pair", ids[pairs // len(ids)], ids[pairs % len(ids)], n)
 
 
 def set_rows(rule: Rule):
@@ -379,10 +390,16 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: i
         gone = copies.select("doc")
         return pairs.join(gone.withColumnRenamed("doc", "a"), "a", "left_anti").join(gone.withColumnRenamed("doc", "b"), "b", "left_anti")
 
-    stat = found.where("kind = 'stat'").groupBy(F.col("a").alias("doc")).agg(F.max("n").alias("n"), F.max("keys").alias("keys"))
-    long = found.where("kind = 'long'").groupBy(F.col("a").alias("doc")).agg(F.sum("n").alias("long"))
-    stat = cut(stat.join(long, "doc", "left").withColumn("long", F.coalesce("long", F.lit(0))), "stat")
     most = lambda total: F.expr(f"({den - num}) * ({total}) div {den + num}")
+    # a row for each document and scheme, then one for each document: long lists of both schemes, and whether those of one may be T
+    each = found.where("kind IN ('stat', 'below', 'long')").groupBy(F.col("a").alias("doc"), "b").agg(
+        F.max(F.when(F.col("kind") != "long", F.col("n"))).alias("n"),
+        F.max(F.when(F.col("kind") == "stat", F.col("keys"))).alias("own"),
+        F.max(F.when(F.col("kind") != "long", F.col("keys"))).alias("keys"),
+        F.coalesce(F.sum(F.when(F.col("kind") == "long", F.col("n"))), F.lit(0)).alias("long"),
+    )
+    reached = F.col("long") >= F.col("keys") - most(f"n + n * {den} div {num}")
+    stat = cut(each.groupBy("doc").agg(F.max("n").alias("n"), F.max("own").alias("keys"), F.sum("long").alias("long"), F.max(reached).alias("dense")), "stat")
     side = lambda c: stat.select(F.col("doc").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "keys", "long")])
 
     def plausible(pairs: DataFrame) -> DataFrame:
@@ -392,9 +409,8 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: i
     counted = plausible(counted.join(side("a"), "a").join(side("b"), "b"))
     own = F.when(F.col("n_a") <= F.col("n_b"), F.col("keys_a")).otherwise(F.col("keys_b"))
     counted = counted.where(F.col("shared") >= own - most("n_a + n_b") - F.least("long_a", "long_b")).select("a", "b")
-    # records that may share T keys on long lists alone
-    dense = stat.join(copies, "doc", "left_anti").where(F.col("long") >= F.col("keys") - most(f"n + n * {den} div {num}")).select("doc")
-    dense = cut(dense, "dense")
+    # records that may share T keys of a scheme on long lists alone
+    dense = cut(stat.join(copies, "doc", "left_anti").where("dense").select("doc"), "dense")
     star = found.where("kind = 'star'").select("a", "b").distinct()
     for c in ("a", "b"):  # a mapper's smallest member may be a copy
         star = star.join(copies.select(F.col("doc").alias(c), F.col("component").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")

@@ -119,6 +119,15 @@ def test_jaccard_dense_cluster(spark, size, swaps):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(table(spark, some)).collect()} == plain.jaccard(some)
 
 
+@pytest.mark.parametrize("copies", [40, 700])
+def test_jaccard_dense_across_bands(spark, copies):
+    """Copies of 175 shingles and a superset of 199, one size band higher: all lists they share are long."""
+    w = [f"v{i}" for i in range(202)]
+    some = [(i, " ".join(w[:178])) for i in range(copies)] + [(5000, " ".join(w))] + [(6000 + i, words(90 + i, 60)) for i in range(5)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(table(spark, some)).collect()}
+    assert got[0] == (175, 0) and got[copies - 1] == (175, 0) and got[5000] == (199, 0) and got[6000][1] == 6000
+
+
 def test_jaccard_short_sets(spark):
     r = random.Random(4)
     some = [(i, " ".join(r.choice("ab") for _ in range(r.randrange(1, 14)))) for i in range(150)]
