@@ -4,11 +4,13 @@ Base kinds, leftmost and non-overlapping per kind, failing matches dropped witho
 ``ip`` (four parts of at most 255), ``card`` (14 to 19 digits, Luhn), ``phone`` (+ and 10 to 15 digits).
 
 Bootstrap.  The base entities are seeds.  Every entity-like string (digits with separators, or a string
-with an @) outside them is a candidate instance; a pattern is the shape of an instance (digits and letters
-folded) with the word before and the word after it.  Spark scores the pattern - instance graph in ``ROUNDS``
+with an @) outside them is a candidate instance.  Patterns are lexical: the sort of an instance (number or
+mail) with the word before it, with the word after it, and with both; its shape is no part of them, so candidates of
+shapes that no seed has are found in the seeds' contexts.  Spark scores the pattern - instance graph in ``ROUNDS``
 rounds: a pattern's confidence is the share of trusted weight among its instances, damped by its support; an
-instance's is the noisy-or of its patterns'.  Candidates of patterns with confidence of at least ``CONFIDENT`` and support
-of at least ``SUPPORT`` distinct instances become spans of kind ``context``.
+instance's trust is the noisy-or of its accepted patterns, those with confidence of at least ``CONFIDENT`` and support
+of at least ``SUPPORT`` distinct instances (others pass no trust on, else words as common as "the" would confirm
+themselves).  Candidates of accepted patterns become spans of kind ``context``.
 
 The graph is grouped by hashes of patterns and instances with sums combined before each shuffle, so a
 pattern or instance with a third of all rows is no hot task; the candidates of a document travel without
@@ -87,13 +89,16 @@ def _id(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\x00".join(parts).encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def shape(s: str) -> str:
-    """Digits as 9, letters as a, other characters as they are; runs of letters folded."""
-    return re.sub(r"a+", "a", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", s)))
+def patterns(what: str, before: str, after: str) -> list[int]:
+    """Hashes of an instance's left, right and two-sided contexts, as far as there are words."""
+    sort = "mail" if "@" in what else "number"
+    out = [_id("left", sort, before)] if before else []
+    out += [_id("right", sort, after)] if after else []
+    return out + ([_id("both", sort, before, after)] if before and after else [])
 
 
 def mentions(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
-    """Seeds and candidates: start, end, seed, and hashes of pattern and instance."""
+    """Seeds and candidates: start, end, seed, and hashes of patterns and instance."""
     out = []
     taken = sorted((s, e) for _, s, e in base)
     found = [(s, e, 1) for s, e in taken]
@@ -108,11 +113,11 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
         before, after = BEFORE.search(text, max(0, s - 64), s), AFTER.match(text, e, e + 64)
         context = (before[1].lower() if before else "", after[1].lower() if after else "")
         what = text[s:e]
-        out.append({"start": s, "end": e, "seed": seed, "pattern": _id(shape(what), *context), "instance": _id(what.lower())})
+        out.append({"start": s, "end": e, "seed": seed, "patterns": patterns(what, *context), "instance": _id(what.lower())})
     return out
 
 
-MENTION = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.int32()), ("pattern", pa.int64()), ("instance", pa.int64())]))
+MENTION = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.int32()), ("patterns", pa.list_(pa.int64())), ("instance", pa.int64())]))
 
 
 def pii_scan(docs: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
@@ -134,19 +139,20 @@ def pii_scan(docs: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), chunk.column(0), pa.array(base, TYPE), pa.array(seen, MENTION)], ["row", "doc_id", "base", "mentions"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut(docs.mapInArrow(K.lean(run), f"row long, doc_id {kind}, base {DDL}, mentions array<struct<start:int,end:int,seed:int,pattern:long,instance:long>>"), "mentions")
+    rows = cut(docs.mapInArrow(K.lean(run), f"row long, doc_id {kind}, base {DDL}, mentions array<struct<start:int,end:int,seed:int,patterns:array<long>,instance:long>>"), "mentions")
     each = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
+    each = each.withColumn("pattern", F.explode("patterns")).drop("patterns")
     edges = cut(each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
     trusted = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("trust"))
     for _ in range(rounds):
         scored = edges.join(trusted, "instance").groupBy("pattern").agg(F.sum("trust").alias("good"), F.count("*").alias("n"))
         scored = scored.select("pattern", (F.col("good") / (F.col("n") + 0.25)).alias("confidence"), "n")
-        spread = edges.join(scored.where(F.col("n") >= support), "pattern").groupBy("instance")
+        good = scored.where((F.col("confidence") >= confident) & (F.col("n") >= support))
+        spread = edges.join(good, "pattern").groupBy("instance")
         spread = spread.agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("noisy"), F.max("seed").alias("seed"))
         spread = spread.select("instance", F.when(F.col("seed") == 1, 1.0).otherwise(F.col("noisy")).alias("new"))
         trusted = cut(trusted.join(spread, "instance", "left").select("instance", F.greatest("trust", F.coalesce("new", F.lit(0.0))).alias("trust")), "trust")
-    good = scored.where((F.col("confidence") >= confident) & (F.col("n") >= support)).select("pattern")
-    more = each.where("seed = 0").join(good, "pattern", "left_semi").groupBy("row").agg(F.collect_set(F.struct(F.lit("context").alias("kind"), "start", "end")).alias("more"))
+    more = each.where("seed = 0").join(good.select("pattern"), "pattern", "left_semi").groupBy("row").agg(F.collect_set(F.struct(F.lit("context").alias("kind"), "start", "end")).alias("more"))
     out = rows.drop("mentions").join(more, "row", "left")
     rank = lambda x: F.array_position(F.array(*[F.lit(k) for k in KINDS]), x["kind"])
     order = lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise((rank(x) - rank(y)).cast("int"))

@@ -191,6 +191,18 @@ def test_pii_bootstrap(spark):
     assert got[100] == ["context"] and got[101] == [] and got[0] == ["card"]
 
 
+def test_pii_bootstrap_finds_unseen_shapes(spark):
+    """Shapes that no fixed rule knows are found in the seeds' contexts, left or right, and not in others."""
+    some = [(i, f"please call +49 30 55512{i} now or later") for i in range(10, 24)] + [(100 + i, f"do write a{i}@example.org soon please") for i in range(10)]
+    some += [(200, "call 555-123-4567 now"), (201, "call 030/1234567 today"), (202, "reach 123-45-6789 now"), (203, "write user@localhost soon")]
+    some += [(300, "order 555-123-4568 shipped"), (301, "seen user@otherhost here")]
+    # a word that seeds share with as many others proves nothing, however often the graph is scored
+    some += [(400 + i, f"the +49 40 77712{i} a{i}") for i in range(10, 15)] + [(500 + i, f"the 555-000-{1000 + i} b{i}") for i in range(5)]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.pii_scan(table(spark, some)).collect()}
+    assert [got[i] for i in (200, 201, 202, 203)] == [[("context", 5, 17)], [("context", 5, 16)], [("context", 6, 17)], [("context", 6, 20)]]
+    assert not [i for i in (300, 301, *range(500, 505)) if got[i]] and all(k == "phone" for k, _, _ in got[10])
+
+
 def test_language_id(spark, real):
     got = langid.language_id(real, keep=("doc_id", "lang")).collect()
     held = [r for r in got if r.held_out]
