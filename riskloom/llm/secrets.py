@@ -6,8 +6,11 @@ value of 6 or more characters), ``access`` (AKIA..., 20 or more), ``hex`` (24 or
 The method adds kind ``novel``: a run of 16 or more token characters with a letter and a digit, outside
 the base spans, that follows a sensitive word within ``NEAR`` characters.  Its novelty is what it adds, in
 bits a character, to the zstandard size of its surroundings (``AROUND`` characters on both sides), the
-compressor being primed with a dictionary of common identifiers.  Words, identifiers, repeated numbers and
-whatever the text has shown before cost next to nothing; random strings cost what they weigh.
+compressor being primed with a dictionary of common identifiers.  Other copies of the run (or of a value of
+``LEAST`` characters within it, after a =) are taken out of the surroundings first: a secret is no less of one for
+standing there twice.  Words, identifiers and what the surroundings share with it otherwise cost next to nothing;
+random strings cost what they weigh.  Every occurrence of a string found novel is reported, sensitive word or not,
+unless a base span or a longer novel one holds it.
 
 Edge cases: null is an empty text without spans.  Rows are judged one by one, so repeated rows, null ids
 and ties change nothing; an empty table gives an empty result; other columns are ignored unless kept.
@@ -32,7 +35,8 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 SENSITIVE = re.compile(r"pass(word|wd|phrase)?|secret|token|api.?key|credential|private.?key|bearer|auth", re.IGNORECASE)
 LETTER, DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 NEAR, AROUND = 48, 256
@@ -71,19 +75,37 @@ class Novelty:
         self.size = zstandard.ZstdCompressor(dict_data=primed, compression_params=params).compress
 
     def bits(self, text: str, start: int, end: int) -> float:
-        around = (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).encode()
-        both = around + text[start:end].encode()
-        return 8 * (len(self.size(both)) - len(self.size(around))) / (end - start)
+        what, before, after = text[start:end], text[max(0, start - AROUND) : start], text[end : end + AROUND]
+        copies = [x for x in (what, *what.split("=")) if len(x) >= LEAST and (x in before or x in after)]
+        # lines that repeat with their secret shrink to so little that an identifier weighs more in them than after its own line
+        alone = before[max((before.rfind(x) + len(x) for x in copies if x in before), default=0) :]
+        for x in copies:
+            before, after = before.replace(x, ""), after.replace(x, "")
+        added = [len(self.size((x + what).encode())) - len(self.size(x.encode())) for x in ([before + after, alone] if copies else [before + after])]
+        return 8 * min(added) / (end - start)
 
 
 def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty, bits: float = BITS) -> list[tuple[str, int, int]]:
-    out = []
+    found = {}
     for m in CANDIDATE.finditer(text):
         a, e = m.span()
         if not (DIGIT.search(m[0]) and LETTER.search(m[0])) or any(s < e and a < t for _, s, t in base):
             continue
-        if SENSITIVE.search(text, max(0, a - NEAR), a) and novelty.bits(text, a, e) >= bits:
-            out.append(("novel", a, e))
+        if m[0] not in found.get(m[0][:LEAST], ()) and SENSITIVE.search(text, max(0, a - NEAR), a) and novelty.bits(text, a, e) >= bits:
+            found.setdefault(m[0][:LEAST], set()).add(m[0])
+    return occurrences(text, base, found) if found else []
+
+
+def occurrences(text: str, base: list[tuple[str, int, int]], found: dict[str, set[str]]) -> list[tuple[str, int, int]]:
+    """Where found strings (by their first LEAST characters) stand, the longest at each place, outside the base spans."""
+    out = []
+    for m in CANDIDATE.finditer(text):
+        at, end = m.span()
+        while at <= end - LEAST:
+            e = max((at + len(x) for x in found.get(text[at : at + LEAST], ()) if text.startswith(x, at, end)), default=at)
+            if e > at and not any(s <= at and e <= t for _, s, t in base):
+                out.append(("novel", at, e))
+            at = max(e, at + 1)
     return out
 
 

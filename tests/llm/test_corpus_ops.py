@@ -173,6 +173,23 @@ def test_secret_novelty():
     assert secrets.novel_spans("nothing of note before q7Zt9LmXw2Rk8VbN4cJd here", [], n) == []
 
 
+def test_secret_repeated():
+    """Copies of a secret don't make each other cheap, and all of them are found."""
+    n, key = secrets.Novelty(), "q7Zt9LmXw2Rk8VbN4cJdP5sYh3GfT6uA"
+    for text in (
+        f"Authorization: Bearer {key}\nand, a few words of prose further on, Authorization: Bearer {key}\n",
+        f"Authorization: Bearer {key}\nseen again in x{key}-9 and, without such a word for a long while: {'lorem ipsum dolor ' * 9}{key}",
+        f"the bearer x={key} or the bearer y={key}",
+    ):
+        base = secrets.base_spans(text)
+        more = secrets.novel_spans(text, base, n)
+        assert more and len(more) == len(set(more)) and key not in secrets.redacted(text, base + more)
+    text = f"password = '{key}' then Authorization: Bearer {key}"
+    base = secrets.base_spans(text)
+    assert [text[a:e] for _, a, e in secrets.novel_spans(text, base, n)] == [key] and base[0][0] == "assign"
+    assert secrets.novel_spans("auth header register_repository1request " * 3, [], n) == []
+
+
 def test_pii(spark, rows):
     extra = [(-1, "a@b.c x.y@z..q 1.2.3.4 999.1.1.1 1.2.3.4.5.6.7.8 4111 1111 1111 1111 +1 (555) 123-4567 +12 001.2.3.4"), (-2, None), (-3, ""), (-4, "@" * 50 + " a@b.co@c.de.")]
     some = [*rows, *extra]
