@@ -41,9 +41,9 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS, -1), "")
 
 
-def folded(text: Column) -> Column:
-    """Words for the index, any letter lower-cased: faster, and never fewer matches; ``phrases`` tells them apart."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, -1), "")
+def n_words(text: Column) -> Column:
+    """How many words; lower is faster than translate, and neither makes nor takes a separator."""
+    return F.size(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, -1), ""))
 
 
 def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -56,20 +56,21 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term, n: how often each of the terms occurs in the documents."""
-    return docs.select(F.explode(folded(F.col("text"))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n"))
+    return docs.select(F.explode(words(F.col("text"))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The positional inverted index of the terms: term, doc_id, pos (from 0)."""
-    return docs.select("doc_id", F.posexplode(folded(F.col("text"))).alias("pos", "term")).join(terms, "term").select("term", "doc_id", "pos")
+    return docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term")).join(terms, "term").select("term", "doc_id", "pos")
 
 
 def proximity(docs: DataFrame, terms: list[str], distance: int) -> DataFrame:
     """doc_id, start, end: stretches of at most ``distance`` words from one of the terms to the last of them, all being there."""
-    index = postings(docs, F.broadcast(docs.sparkSession.createDataFrame([(t.lower(),) for t in set(terms)], "term string")))
+    terms = {t.translate(str.maketrans(UPPER, LOWER)) for t in terms}
+    index = postings(docs, F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in terms], "term string")))
     span = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(0, distance - 1)
     found = index.select("doc_id", "pos", F.size(F.collect_set("term").over(span)).alias("n"), F.max("pos").over(span).alias("end"))
-    return found.where(F.col("n") == len(set(terms))).select("doc_id", F.col("pos").alias("start"), "end")
+    return found.where(F.col("n") == len(terms)).select("doc_id", F.col("pos").alias("start"), "end")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, rare: int = RARE) -> DataFrame:
@@ -88,7 +89,7 @@ def alignments(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, rare:
     """doc_id, at, item_id, words: where the rare terms of a window stand as in it."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     wins = cut(windows(benchmark, width), "windows")
-    terms = wins.select("item", "item_id", "start", "words", F.posexplode(F.transform("words", F.lower)).alias("offset", "term"))
+    terms = wins.select("item", "item_id", "start", "words", F.posexplode("words").alias("offset", "term"))
     known = cut(frequencies(docs, maybe_broadcast(terms.select("term").distinct(), TERMS)), "frequencies")
     # rank the places of each window by how rare their term is; a window with an unknown term occurs nowhere
     by = Window.partitionBy("item", "start")
@@ -112,7 +113,7 @@ def phrases(docs: DataFrame, met: DataFrame) -> DataFrame:
     each = met.groupBy("doc_id").agg(F.collect_set(F.struct("at", "item_id", "words")).alias("met")).withColumnRenamed("doc_id", "met_id")
     out = docs.join(each.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("met_id")), "left").select("row", "met")
     text = F.col("row.text").cast("string")
-    plain = out.select("row", "met", F.when(F.col("met").isNull(), F.size(folded(text))).alias("n"), F.when(F.col("met").isNotNull(), words(text)).alias("w"))
+    plain = out.select("row", "met", F.when(F.col("met").isNull(), n_words(text)).alias("n"), F.when(F.col("met").isNotNull(), words(text)).alias("w"))
     exact = F.expr("filter(met, m -> slice(w, m.at + 1, size(m.words)) = m.words)")
     plain = plain.select("row", F.coalesce("n", F.size("w")).cast("long").alias("n_words"), F.coalesce(exact, F.array().cast(out.schema["met"].dataType)).alias("hits"))
     places = F.expr("array_distinct(flatten(transform(hits, m -> sequence(m.at, m.at + size(m.words) - 1))))")

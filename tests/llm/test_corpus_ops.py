@@ -90,6 +90,17 @@ def test_decontaminate_awkward(spark):
     assert not [r for r in decontaminate(table(spark, awkward()), bench.limit(0)).collect() if r.n_hit]
 
 
+def test_decontaminate_context_sensitive_case(spark):
+    """Capital sigma lower-cases by its neighbours; only A-Z are folded, on both sides."""
+    texts = ["Α.Σ. ΟΔΟΣ'Α", "ΑΣ", "İstanbul Kılıç K", "οδος α"]
+    rows_ = [(i, f"{t} {words(7, 12)}") for i, t in enumerate(texts)] + [(9, texts[0]), (10, "Q " + texts[0].lower())]
+    items = [("s", rows_[0][1]), ("t", texts[0]), ("u", rows_[2][1]), ("v", "σ"), ("w", "Σ")]
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in decontaminate(table(spark, rows_), spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert got == plain.decontaminate(rows_, items) and got[9][2] == ["t", "w"]
+    df = table(spark, [(1, "A Α.Σ. b")])
+    assert [(r.doc_id, r.start, r.end) for r in proximity(df, ["A", "Σ"], 4).collect()] == [(1, 0, 2)]
+
+
 def test_proximity(spark):
     df = table(spark, [(1, "a x b y y y a"), (2, "a x x x x b"), (3, None)])
     assert [(r.doc_id, r.start, r.end) for r in proximity(df, ["a", "b"], 4).collect()] == [(1, 0, 2)]
