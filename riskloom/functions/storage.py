@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Written and read back under the cluster's spark.checkpoint.dir (our own folder only where that is unset)."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
+
+    Where that is unset, a folder of this machine will do only if the executors run in the driver's own process (tests);
+    elsewhere they would write to disks the others can't read, so it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="riskloom-")
         spark.conf.set("spark.checkpoint.dir", found)
-    path = f"{found}/riskloom-graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return found
+
+
+def cut(df: DataFrame, name: str = "graph") -> DataFrame:
+    """Write df to the shared folder and read it back: later jobs survive lost executors and never recompute it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/riskloom-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
