@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut, shared_dir
+
+__all__ = ["cut", "input_bytes", "join_groups", "left_join_known", "partitions", "shared_dir", "small", "tune"]
+
 #: Rows of an Arrow batch handed to Python: long texts must not add up to a huge batch.
 ARROW_ROWS = "512"
 #: Bytes of input for which one more shuffle partition is asked.
@@ -20,25 +21,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; one of our own only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="riskloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later jobs survive lost executors and never recompute it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/riskloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the tables that df reads; 0 for those of unknown size."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
@@ -57,6 +39,27 @@ def small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint only after counting that df is within the bound; else Catalyst's shuffle joins."""
-    return F.broadcast(df) if small(df, rows) else df
+def left_join_known(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left with the columns of right (one row a key), by a sort-merge join at every size.  Rows without a key match
+    nothing and stay where they are: however many, they are no hot task."""
+    added = [f for f in right.schema.fields if f.name != key]
+    known = left.where(F.col(key).isNotNull()).join(right.hint("merge"), key, "left").select(*left.columns, *[f.name for f in added])
+    return known.unionAll(left.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in added]))
+
+
+#: A key with more than one in HEAVY of the rows (and more than LEAST of them) is joined by broadcast.
+HEAVY, LEAST = 1000, 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """rows joined with groups, which has one row a key and in its column ``n`` how many of the rows have that key.
+
+    Keys of more than a HEAVY-th of all rows are at most HEAVY, whatever the data: they are joined by broadcast, so that no
+    key is a hot task; all others meet by a shuffle.  ``n`` is dropped.  Rows without a partner are dropped.  total: how many
+    rows there are, where that is known.
+    """
+    least = max(LEAST, (rows.count() if total is None else total) // HEAVY)
+    heavy = groups.where(F.col("n") > least).drop("n")
+    hot = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(groups.where(F.col("n") <= least).drop("n"), key)
+    return hot.unionByName(rest)
