@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_groups
 
 #: Beyond so many supersteps the input is no graph of this kind; an error is better than a wrong answer.
 MAX_STEPS = 60
@@ -15,25 +15,26 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of edges (a, b).
 
     Alternates large-star and small-star contractions; each is one aggregation (minimum of a node's
-    neighbours, combined before the shuffle) and one join, and the number of rounds grows with the
-    logarithm of a component's diameter.  Nothing but a change count reaches the driver.
+    neighbours, combined before the shuffle) and one join that splits hubs off, and the number of rounds grows with the
+    logarithm of a component's diameter.  Nothing but counts reaches the driver.
     Null ends and loops are ignored; repeated edges count once; an empty table gives an empty result.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     e = cut(e, "edges")
     for _ in range(MAX_STEPS):
-        if e.isEmpty():
+        total = e.count()
+        if not total:
             break
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        step = large.join(low, "u")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+        large = join_groups(both.where("v > u"), low, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        step = join_groups(large, low, "u", total)
         new = step.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
         new = cut(new, "edges")
         # a star forest is a fixed point: every node has one neighbour below it, and that one has none
         tops = new.groupBy("u").agg(F.count("*").alias("n"))
-        done = tops.where("n > 1").isEmpty() and new.join(new.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+        done = tops.where("n > 1").isEmpty() and new.select("v").distinct().join(tops.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
         e = new
         if done:
             break

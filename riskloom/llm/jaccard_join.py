@@ -28,8 +28,9 @@ everywhere.  Nothing but counts reaches the driver.
 
 Edge cases: null or blank text: empty set, component_id is its own doc_id.  A null doc_id gets its
 set size and a null component_id, and links nothing.  Rows that share a doc_id with equal text give
-equal rows; with different texts each row keeps its set size, and the id's component is that of both.
-An empty table gives an empty result.  Other columns are ignored.
+equal rows; with different texts each row keeps its set size, and the id is linked with whatever one of its texts links
+with (such texts are nodes of their own, tied to their id, whatever the order of rows).  Ids must leave room above the
+largest for as many fresh ones, else a ValueError says so.  An empty table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 
 from . import packed as P
 from . import textkernel as K
-from .common import cut, maybe_broadcast, partitions, tune
+from .common import cut, join_groups, left_join_known, partitions, tune
 from .components import components
 
 SHINGLE = 4
@@ -56,7 +57,6 @@ BAND = 1.5
 SHORT = 32
 #: Shingles of a block in the local search of dense clusters.
 BLOCK = 200_000
-BROADCAST_IDS = 200_000
 #: Entries of lists up to which the local search merges through a heap.
 MERGE = 512
 
@@ -255,9 +255,15 @@ def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def set_rows(rule: Rule):
+    """Sets of rows sorted by doc_id; a row given again is dropped."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
-            for chunk in K.chunks(_known(b)):
+            ids = b.column(0).to_pylist()
+            new = [x != y for x, y in zip(ids, [last, *ids[:-1]], strict=True)]
+            last = ids[-1] if ids else last
+            for chunk in K.chunks(b.filter(pa.array(new, pa.bool_()))):
                 yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array([s.tobytes() for s in sets_of(chunk, rule.k)], pa.binary())], ["doc_id", "set"])
 
     return run
@@ -373,14 +379,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(K.lean(probe(rule)), "a long, b long")
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs with a column doc_id that tells texts apart beside own, the id they came with; and the fresh ids (doc_id, own) of
+    texts whose id has others too, if there are any."""
+    digest = F.xxhash64("text")
+    seen = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high"))
+    clash = cut(seen.where("low <> high").select(F.col("doc_id").alias("own")), "clash")
+    if clash.isEmpty():
+        return docs.withColumn("own", F.col("doc_id")), None
+    top = docs.agg(F.max("doc_id")).collect()[0][0]
+    texts = docs.select(F.col("doc_id").alias("own"), digest.alias("digest")).join(clash.hint("merge"), "own", "left_semi").distinct()
+    fresh = cut(texts.withColumn("doc_id", F.monotonically_increasing_id() + F.lit(str(top + 1)).cast("decimal(20,0)")), "fresh")
+    if not fresh.where(F.col("doc_id") >= F.lit(str(1 << 63)).cast("decimal(20,0)")).isEmpty():
+        raise ValueError("no ids left above the largest doc_id for texts that share one")
+    fresh = fresh.withColumn("doc_id", F.col("doc_id").cast("long"))
+    named = docs.select(F.col("doc_id").alias("own"), "text", digest.alias("digest")).join(fresh.hint("merge"), ["own", "digest"], "left")
+    return cut(named.select(F.coalesce("doc_id", "own").alias("doc_id"), "text", "own"), "named"), fresh.select("doc_id", "own")
+
+
 def jaccard_join(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (columns doc_id, text)."""
     spark = docs.sparkSession
     tune(spark)
     rule = Rule(k, num, den)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs, fresh = apart(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    texts = docs.select("doc_id", "text")
     parts = partitions(docs)
-    met = P.exchange(docs.mapInArrow(K.lean(emit(rule, parts * P.PER_PARTITION)), P.SCHEMA), parts)
+    met = P.exchange(texts.mapInArrow(K.lean(emit(rule, parts * P.PER_PARTITION)), P.SCHEMA), parts)
     found = cut(met.mapInArrow(K.lean(lists), OUT_SCHEMA), "lists")
     exact = cut(components(found.where("kind = 'exact'").select("a", "b")).where("node <> component"), "exact")
     copies = exact.select(F.col("node").alias("doc"), "component")
@@ -410,28 +435,31 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, num: int = NUMERATOR, den: i
     own = F.when(F.col("n_a") <= F.col("n_b"), F.col("keys_a")).otherwise(F.col("keys_b"))
     counted = counted.where(F.col("shared") >= own - most("n_a + n_b") - F.least("long_a", "long_b")).select("a", "b")
     # records that may share T keys of a scheme on long lists alone
-    dense = cut(stat.join(copies, "doc", "left_anti").where("dense").select("doc"), "dense")
-    star = found.where("kind = 'star'").select("a", "b").distinct()
-    for c in ("a", "b"):  # a mapper's smallest member may be a copy
-        star = star.join(copies.select(F.col("doc").alias(c), F.col("component").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-    star = star.where("a <> b").distinct()
-    star = star.join(dense.withColumnRenamed("doc", "a"), "a", "left_semi").join(dense.withColumnRenamed("doc", "b"), "b", "left_semi")
-    star = plausible(star.join(side("a"), "a").join(side("b"), "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    dense = cut(stat.join(copies, "doc", "left_anti").where("dense").select("doc", "n"), "dense")
+    star = cut(found.where("kind = 'star'").select("a", "b").distinct(), "star")
+    record = lambda c: copies.select(F.col("doc").alias(c), F.col("component").alias("to"))
+    # a mapper's smallest member may be a copy, and has a row for each member of its list
+    hubs = star.groupBy("b").agg(F.count("*").alias("n")).join(record("b"), "b", "left").withColumn("y", F.coalesce("to", "b")).drop("to")
+    hubs = hubs.join(dense.select(F.col("doc").alias("y"), F.col("n").alias("n_b")), "y")
+    star = join_groups(star, hubs, "b").join(record("a"), "a", "left").select(F.coalesce("to", "a").alias("a"), F.col("y").alias("b"), "n_b").where("a <> b").distinct()
+    star = plausible(star.join(dense.select(F.col("doc").alias("a"), F.col("n").alias("n_a")), "a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = cut(counted.unionAll(star).distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).unionAll(dense.select("doc")).distinct()
-    ids = maybe_broadcast(cut(ids, "ids"), BROADCAST_IDS)
-    sets = cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(K.lean(set_rows(rule)), "doc_id long, set binary").dropDuplicates(["doc_id"]), "sets")
+    # a sort-merge join at every size
+    wanted = texts.where(F.col("doc_id").isNotNull()).join(ids.hint("merge"), "doc_id", "left_semi").sortWithinPartitions("doc_id")
+    sets = cut(wanted.mapInArrow(K.lean(set_rows(rule)), "doc_id long, set binary"), "sets")
     links = cut(_verified(pairs, sets, rule), "links")
     edges = links.unionAll(exact.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    comps = components(edges)
+    if fresh is not None:
+        edges = edges.unionAll(fresh)
+    comps = cut(components(edges), "comps")
     if not dense.isEmpty():
-        comps = cut(comps, "comps")
-        more = _dense_links(dense, comps, sets, rule)
+        more = _dense_links(dense.select("doc"), comps, sets, rule)
         if not more.isEmpty():
             comps = components(edges.unionAll(more))
-    size = docs.mapInArrow(K.lean(sizes(rule)), "doc_id long, n_shingles long")
-    out = size.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    size = docs.select("doc_id", "text", "own").mapInArrow(K.lean(sizes(rule)), "doc_id long, n_shingles long, own long")
+    known = left_join_known(cut(size, "sizes"), comps.withColumnRenamed("node", "doc_id"), "doc_id")
+    return known.select(F.col("own").alias("doc_id"), "n_shingles", F.coalesce("component", "own").alias("component_id"))
 
 
 def _dense_links(dense: DataFrame, comps: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -456,6 +484,6 @@ def sizes(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk in K.chunks(b):
-                yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array([len(s) for s in sets_of(chunk, rule.k)], pa.int64())], ["doc_id", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array([len(s) for s in sets_of(chunk, rule.k)], pa.int64()), chunk.column(2)], ["doc_id", "n_shingles", "own"])
 
     return run
