@@ -12,26 +12,32 @@ occurrence of a window.
 4. ``phrases`` compares the words of each remaining alignment exactly; ``proximity`` answers with documents that
    hold all given terms within a distance instead.
 
-Benchmark tables are broadcast after counting that they are within ``TERMS`` rows; a larger benchmark is joined by
-shuffle.  Rare terms' postings are dealt by (document, item, shift), so a frequent term is no hot task, and no
+The benchmark is a stated query set: its windows are taken in blocks of about ``BLOCK`` bytes, by hash, and each block's
+tables - of a size known that way - are broadcast to one pass over the corpus; corpus words are never shuffled by term.
+Rare terms' postings are dealt by (document, item, shift), so a frequent term is no hot task, and no
 list of a term is ever collected.
 
-Edge cases: null text has no words, as a blank one; a document without words is not contaminated.  Null doc_ids
-are matched null-safely: each row is compared by its own words.  Repeated rows give equal rows; rows that share an id
-are judged each by its own text.  Null item_ids count as the empty string; repeated items count once.  Empty tables
+A document is known to the index by a hash of its id and text, and compared word by word in the end: rows without an id
+are no hot key.
+
+Edge cases: null text has no words, as a blank one; a document without words is not contaminated.  Rows without an id and
+rows that share one are judged each by its own text.  Repeated rows give equal rows.  Null item_ids count as the empty string; repeated items count once.  Empty tables
 give empty results, an empty benchmark no hits.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast
+from .common import cut
 
 WIDTH = 13
 RARE = 2
-TERMS = 500_000
+#: Bytes of windows in a block; what is broadcast is at most a few times as large.
+BLOCK = 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -54,6 +60,11 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return items.select("item", "item_id", "w", start.alias("start")).select("item", "item_id", "start", F.expr(f"slice(w, start + 1, {width})").alias("words"))
 
 
+def key(doc_id: Column, text: Column) -> Column:
+    """What the index knows a document by."""
+    return F.xxhash64(doc_id, text)
+
+
 def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term, n: how often each of the terms occurs in the documents."""
     return docs.select(F.explode(words(F.col("text"))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n"))
@@ -85,12 +96,22 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, ra
     return phrases(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), met).where("NOT contaminated").select("row.*")
 
 
-def alignments(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, rare: int = RARE) -> DataFrame:
-    """doc_id, at, item_id, words: where the rare terms of a window stand as in it."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+def alignments(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, rare: int = RARE, block: int = BLOCK) -> DataFrame:
+    """doc_id (the index's key), at, item_id, words: where the rare terms of a window stand as in it."""
+    text = F.col("text").cast("string")
+    docs = docs.select(key(F.col("doc_id"), text).alias("doc_id"), text.alias("text"))
     wins = cut(windows(benchmark, width), "windows")
+    # the words of a window, and what a row of each of them weighs in the tables below
+    total = wins.agg(F.sum(F.octet_length(F.array_join("words", " ")) + 64 * F.size("words"))).collect()[0][0] or 0
+    blocks = -(-total // block)
+    out = [_aligned(docs, wins.where(F.pmod(F.xxhash64("item", "start"), F.lit(blocks)) == i) if blocks > 1 else wins, rare) for i in range(max(1, blocks))]
+    return functools.reduce(DataFrame.unionAll, out)
+
+
+def _aligned(docs: DataFrame, wins: DataFrame, rare: int) -> DataFrame:
+    """The alignments of one block of windows."""
     terms = wins.select("item", "item_id", "start", "words", F.posexplode("words").alias("offset", "term"))
-    known = cut(frequencies(docs, maybe_broadcast(terms.select("term").distinct(), TERMS)), "frequencies")
+    known = cut(frequencies(docs, F.broadcast(terms.select("term").distinct())), "frequencies")
     # rank the places of each window by how rare their term is; a window with an unknown term occurs nowhere
     by = Window.partitionBy("item", "start")
     ranked = terms.join(known, "term", "left").withColumn("least", F.min(F.coalesce("n", F.lit(0))).over(by)).where("least > 0")
@@ -99,10 +120,10 @@ def alignments(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, rare:
     needs = ranked.groupBy("item", "item_id", "start").agg(F.collect_set("place").alias("needs"), F.first("words").alias("words"))
     needs = cut(needs, "needs")
     probes = cut(ranked.select("term", "item", "place").distinct(), "probes")
-    index = cut(postings(docs, maybe_broadcast(probes.select("term").distinct(), TERMS)), "postings")
-    aligned = index.join(maybe_broadcast(probes, TERMS), "term").select("doc_id", "item", (F.col("pos") - F.col("place")).alias("shift"), "place")
+    index = cut(postings(docs, F.broadcast(probes.select("term").distinct())), "postings")
+    aligned = index.join(F.broadcast(probes), "term").select("doc_id", "item", (F.col("pos") - F.col("place")).alias("shift"), "place")
     aligned = aligned.groupBy("doc_id", "item", "shift").agg(F.collect_set("place").alias("places"))
-    met = aligned.join(maybe_broadcast(needs, TERMS), "item").where(F.size(F.array_except("needs", "places")) == 0)
+    met = aligned.join(F.broadcast(needs), "item").where(F.size(F.array_except("needs", "places")) == 0)
     met = met.select("doc_id", (F.col("shift") + F.col("start")).alias("at"), "item_id", "words").where("at >= 0")
     return cut(met, "alignments")
 
@@ -111,8 +132,8 @@ def phrases(docs: DataFrame, met: DataFrame) -> DataFrame:
     """Rows of docs (a struct row with doc_id and text) with the exact matches among alignments (doc_id, at, item_id, words).
     The join is a sort-merge join at every size: each text travels once, whatever the number of alignments."""
     each = met.groupBy("doc_id").agg(F.collect_set(F.struct("at", "item_id", "words")).alias("met")).withColumnRenamed("doc_id", "met_id")
-    out = docs.join(each.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("met_id")), "left").select("row", "met")
     text = F.col("row.text").cast("string")
+    out = docs.join(each.hint("merge"), key(F.col("row.doc_id"), text) == F.col("met_id"), "left").select("row", "met")
     plain = out.select("row", "met", F.when(F.col("met").isNull(), n_words(text)).alias("n"), F.when(F.col("met").isNotNull(), words(text)).alias("w"))
     exact = F.expr("filter(met, m -> slice(w, m.at + 1, size(m.words)) = m.words)")
     plain = plain.select("row", F.coalesce("n", F.size("w")).cast("long").alias("n_words"), F.coalesce(exact, F.array().cast(out.schema["met"].dataType)).alias("hits"))
