@@ -22,8 +22,8 @@ FLAG = 9
 FLUSH = 600_000
 SCHEMA = "bucket int, kind int, h binary, doc binary, pos binary"
 ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("h", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary())])
-FLAG_SCHEMA = "doc_id long, places binary"
-FLAG_ARROW = pa.schema([("doc_id", pa.int64()), ("places", pa.binary())])
+FLAG_SCHEMA = "doc_id long, places binary, hashes binary"
+FLAG_ARROW = pa.schema([("doc_id", pa.int64()), ("places", pa.binary()), ("hashes", pa.binary())])
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -77,27 +77,37 @@ def buckets(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[dict[int,
         yield made()
 
 
-def flags(doc: np.ndarray, pos: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    """Marked places on their way to their documents: packed rows by document bucket, places as differences."""
+def flags(doc: np.ndarray, pos: np.ndarray, n: int, h: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Marked places on their way to their documents: packed rows by document bucket, places as differences.  h: with a
+    64-bit hash of what was found there, so that texts which share an id can tell whose mark it is."""
     bucket = bucket_of(K.mix(doc.astype(np.uint64)), n)
     order = np.lexsort((pos, doc, bucket))
     bucket, doc, pos = bucket[order], doc[order], pos[order].astype(np.int64)
+    h = None if h is None else h[order].astype(np.uint64)
     edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, dtype=np.int64)
-    rows = [(int(bucket[a]), FLAG, None, K.pack_ids(doc[a:e]), K.pack_ids(pos[a:e])) for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    rows = [(int(bucket[a]), FLAG, None if h is None else K.planes(h[a:e]), K.pack_ids(doc[a:e]), K.pack_ids(pos[a:e])) for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
     for lo in range(0, len(rows), 256):
         yield batch(rows[lo : lo + 256], ARROW)
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, places) of a partition of marks sorted by bucket: a row for each document."""
-    for kinds in buckets(batches, False):
-        _, doc, pos = kinds[FLAG]
-        order = np.lexsort((pos, doc))
+    """(doc_id, places, hashes) of a partition of marks sorted by bucket: a row for each document; without hashes each place once."""
+    for kinds in buckets(batches, True):
+        h, doc, pos = kinds[FLAG]
+        order = np.lexsort((pos, doc) if h is None else (h, pos, doc))
         doc, pos = doc[order], pos[order].astype(np.uint32)
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])]
+        if h is not None:
+            h = h[order]
+            new[1:] |= h[1:] != h[:-1]
+            h = h[new]
+        doc, pos = doc[new], pos[new]
         edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
         for lo in range(0, len(edges) - 1, 512):
             some = edges[lo : lo + 513].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(doc[some[:-1]]), pa.array([K.pack_ids(np.unique(pos[a:e])) for a, e in zip(some[:-1], some[1:], strict=True)], type=pa.binary())], schema=FLAG_ARROW)
+            spans = list(zip(some[:-1], some[1:], strict=True))
+            hashes = pa.nulls(len(spans), pa.binary()) if h is None else pa.array([K.planes(h[a:e]) for a, e in spans], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(doc[some[:-1]]), pa.array([K.pack_ids(pos[a:e]) for a, e in spans], type=pa.binary()), hashes], schema=FLAG_ARROW)
 
 
 def by_document(df: DataFrame, parts: int) -> DataFrame:

@@ -11,16 +11,17 @@ earlier in the same document - is removed.  Windows are judged on the input, not
 2. **Extension.**  Only windows around repeated anchors are hashed whole: 64 bits, and the bucket by an
    independent hash, so that the bits compared grow with the number of buckets.  A second exchange
    marks every occurrence but the first.
-3. Marks return to their document, which loses the words they cover.
+3. Marks (place and window hash) return to their document, where each is held against the window that stands there;
+   the words of those confirmed go.
 
 Mappers send one entry a hash and flush, so a passage in a third of all documents adds as many
 entries to a bucket as there are flushes, not as there are documents.
 
 Edge cases: null or blank text has no words (``n_words`` 0, empty kept text).  A null ``doc_id`` has
-no place in the order: the row is returned whole and takes no part in matching.  Identical rows are
-the same document seen twice (same places): neither removes words from the other, and each gets the
-same result.  Rows of one ``doc_id`` with different texts share their marks.  An empty table gives an
-empty result.  Other columns are ignored.
+no place in the order: the row is returned whole and takes no part in matching, nor in a join.  Rows of one ``doc_id``
+are versions of one document: a window starts earlier if it does so in a smaller id, or at a smaller place of any version;
+at the same place neither removes it from the other (so identical rows get identical results), and what only one version
+holds is never removed from it for the other's sake.  An empty table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import packed as P
 from . import textkernel as K
-from .common import partitions, tune
+from .common import left_join_known, partitions, tune
 
 WIDTH = 20
 PERIOD = 13
@@ -152,7 +153,7 @@ def later(buckets: int):
     """Windows that are not the first of their sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = P.Collector(lambda _, doc, pos: P.flags(doc, pos, buckets))
+        held = P.Collector(lambda h, doc, pos: P.flags(doc, pos, buckets, h))
         for kinds in P.buckets(batches, True):
             if 1 in kinds:
                 yield from held.add(*kinds[1])
@@ -174,20 +175,22 @@ def removal(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, kept = [], [], []
-            for text, cell in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for i, (cell, hashes) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                text = b.column(1)[i].as_py()
                 words = text.encode().split() if text else []
-                at = P.places(cell)
-                at = at[at < len(words)]
-                gone = 0
-                if len(at):
-                    edge = np.zeros(len(words) + 1, dtype=np.int64)
-                    edge[at] += 1
-                    np.add.at(edge, np.minimum(at + width, len(words)), -1)
+                total, gone = len(words), 0
+                if cell and total >= width:
+                    h = K.windows(K.words_of(b.column(1).slice(i, 1)).h, width, 2)
+                    at, found = P.places(cell), K.unplanes(hashes, np.uint64)
+                    here = at < len(h)
+                    at, found = at[here], found[here]
+                    at = at[h[at] == found]
+                    edge = np.zeros(total + 1, dtype=np.int64)
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + width, -1)
                     stays = np.cumsum(edge[:-1]) == 0
-                    gone = len(words) - int(stays.sum())
-                    words, total = list(compress(words, stays.tolist())), len(words)
-                else:
-                    total = len(words)
+                    gone = total - int(stays.sum())
+                    words = list(compress(words, stays.tolist())) if gone else words
                 n_words.append(total)
                 n_removed.append(gone)
                 kept.append(b" ".join(words).decode())
@@ -205,7 +208,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     n = parts * P.PER_PARTITION
     met = P.exchange(docs.mapInArrow(K.lean(anchors(width, n)), P.SCHEMA), parts)
     hits = P.by_document(met.mapInArrow(K.lean(repeated(parts)), P.SCHEMA), parts)
-    near = docs.join(hits, "doc_id", "left").select("doc_id", "text", "places")
+    near = docs.where(F.col("doc_id").isNotNull()).join(hits.hint("merge"), "doc_id", "left").select("doc_id", "text", "places")
     met = P.exchange(near.mapInArrow(K.lean(candidates(width, n)), P.SCHEMA), parts)
     marks = P.by_document(met.mapInArrow(K.lean(later(parts)), P.SCHEMA), parts)
-    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(K.lean(removal(width)), "doc_id long, n_words long, n_removed long, kept_text string")
+    return left_join_known(docs, marks, "doc_id").select("doc_id", "text", "places", "hashes").mapInArrow(K.lean(removal(width)), "doc_id long, n_words long, n_removed long, kept_text string")

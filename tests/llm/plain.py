@@ -13,17 +13,16 @@ def sha(s):
 
 
 def substring_dedup(rows, width=20):
-    """rows: (doc_id, text); ids are distinct."""
-    seen, out = set(), {}
-    for doc, text in sorted(rows, key=lambda r: r[0]):
-        words = WORD.findall(text or "")
-        gone = set()
+    """rows: (doc_id, text), ids may be shared; a list of (doc_id, n_words, n_removed, kept) in the order of rows."""
+    first, out = {}, []
+    each = [(doc, WORD.findall(text or "")) for doc, text in rows]
+    for doc, words in each:
         for s in range(len(words) - width + 1):
             k = tuple(words[s : s + width])
-            if k in seen:
-                gone.update(range(s, s + width))
-            seen.add(k)
-        out[doc] = (len(words), len(gone), " ".join(w for i, w in enumerate(words) if i not in gone))
+            first[k] = min(first.get(k, (doc, s)), (doc, s))
+    for doc, words in each:
+        gone = {i for s in range(len(words) - width + 1) if first[tuple(words[s : s + width])] < (doc, s) for i in range(s, s + width)}
+        out.append((doc, len(words), len(gone), " ".join(w for i, w in enumerate(words) if i not in gone)))
     return out
 
 

@@ -7,12 +7,15 @@ import random
 import numpy as np
 import plain
 import pytest
+from pyspark.sql import functions as F
 
+from riskloom.llm import common
 from riskloom.llm import jaccard_join as jj
 from riskloom.llm import langid, pii, secrets, urlfilter, warc
 from riskloom.llm import quality as q
+from riskloom.llm.components import components
 from riskloom.llm.bpe import Codec, bpe, default_path
-from riskloom.llm.decontaminate import decontaminate, proximity
+from riskloom.llm.decontaminate import alignments, decontaminate, phrases, proximity
 from riskloom.llm.jaccard_join import jaccard_join
 from riskloom.llm.substring_dedup import substring_dedup
 
@@ -52,18 +55,30 @@ def rows(real):
     return [(r.doc_id, r.text) for r in real.select("doc_id", "text").collect()]
 
 
+def deduped(df, width=20):
+    return sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(df, width).collect())
+
+
 @pytest.mark.parametrize("which", ["real", "awkward"])
 def test_substring_dedup(spark, real, rows, which):
     df, some = (real, rows) if which == "real" else (table(spark, awkward()), awkward())
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(df).collect()}
-    assert got == plain.substring_dedup(some)
+    assert deduped(df) == sorted(plain.substring_dedup(some))
 
 
 @pytest.mark.parametrize("width", [1, 3, 5, 9, 20, 31])
 def test_substring_dedup_widths(spark, width):
     some = [(i, words(i % 3, 40, 6)) for i in range(8)]
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(table(spark, some), width).collect()}
-    assert got == plain.substring_dedup(some, width)
+    assert deduped(table(spark, some), width) == sorted(plain.substring_dedup(some, width))
+
+
+@pytest.mark.parametrize("turn", [False, True])
+def test_substring_dedup_versions(spark, turn):
+    """Rows that share an id: a mark of one text removes nothing from another, in whatever order they come."""
+    one, two = words(6, 40), words(7, 40)
+    some = [(1, one), (5, one), (5, two), (6, two + " " + one), (6, words(8, 3) + " " + one), (6, one)]
+    some = some[::-1] if turn else some
+    got = deduped(table(spark, some))
+    assert got == sorted(plain.substring_dedup(some)) and (5, 40, 0, two) in got and (5, 40, 40, "") in got
 
 
 def test_substring_dedup_null_ids_and_repeated_rows(spark):
@@ -90,6 +105,18 @@ def test_decontaminate_awkward(spark):
     assert not [r for r in decontaminate(table(spark, awkward()), bench.limit(0)).collect() if r.n_hit]
 
 
+@pytest.mark.parametrize("block", [1 << 30, 4000, 300])
+def test_decontaminate_blocks_and_keys(spark, block):
+    """The benchmark in one block or in many; documents that share an id or have none are judged by their own texts."""
+    w = words(1, 90).split()
+    items = [(i, " ".join(w[i : i + 20])) for i in range(0, 60, 9)] + [(100, "w1"), (101, words(2, 14))]
+    some = [(1, " ".join(w)), (1, words(2, 30)), (None, " ".join(w[10:40])), (None, words(3, 30) + " w1"), (None, None), (7, " ".join(w[:12])), (7, " ".join(w))]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), table(spark, some)
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in phrases(df.select(F.struct("doc_id", "text").alias("row")), alignments(df, bench, block=block)).select("row.doc_id", "n_words", "n_hit", "items", "contaminated").collect())
+    assert got == sorted((str(d), *plain.decontaminate([(d, t)], items)[d]) for d, t in some)
+    assert decontaminate(df.limit(0), bench).count() == 0
+
+
 def test_decontaminate_context_sensitive_case(spark):
     """Capital sigma lower-cases by its neighbours; only A-Z are folded, on both sides."""
     texts = ["Α.Σ. ΟΔΟΣ'Α", "ΑΣ", "İstanbul Kılıç K", "οδος α"]
@@ -145,6 +172,37 @@ def test_jaccard_short_sets(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join(table(spark, some)).collect()} == plain.jaccard(some)
 
 
+@pytest.mark.parametrize("turn", [False, True])
+def test_jaccard_versions(spark, turn):
+    """An id with several texts links with what any of them links with, in whatever order the rows come."""
+    one, two, far = words(6, 40), words(7, 40), words(8, 40)
+    some = [(5, one), (5, two), (1, one + " t"), (2, two + " t"), (9, two), (9, None), (3, far), (4, far + " t"), (None, one), (2**62, one)]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join(table(spark, some[::-1] if turn else some)).collect()]
+    assert sorted(got, key=str) == sorted([(5, 37, 1), (5, 37, 1), (1, 38, 1), (2, 38, 1), (9, 37, 1), (9, 0, 1), (3, 37, 3), (4, 38, 3), (None, 37, None), (2**62, 37, 1)], key=str)
+    with pytest.raises(ValueError, match="no ids left"):
+        jaccard_join(table(spark, [(2**63 - 2, one), (2**63 - 2, two)]))
+
+
+def test_components(spark, monkeypatch):
+    """Hubs are split off, at any bound, and every node finds the smallest of its component."""
+    r = random.Random(2)
+    edges = [(0, i) for i in range(1, 400)] + [(1000, 1000 + i) for i in range(1, 300)] + [(i, i + 1) for i in range(2000, 2060)] + [(r.randrange(3000, 3200), r.randrange(3000, 3200)) for _ in range(150)] + [(1299, 399), (None, 7), (8, 8), (5000, 4999), (4999, 5000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = None
+    for least, heavy in ((1000, 1000), (5, 50), (0, 10**9)):
+        monkeypatch.setattr(common, "LEAST", least)
+        monkeypatch.setattr(common, "HEAVY", heavy)
+        got = sorted(tuple(x) for x in components(df).collect())
+        want = want or got
+        assert got == want
+    up = {x: x for e in edges for x in e if x is not None}
+    for _ in range(200):
+        for a, b in edges:
+            if a is not None:
+                up[a] = up[b] = min(up[a], up[b])
+    assert dict(want) == {x: c for x, c in up.items() if x not in (7, 8) or c != x}
+
+
 def test_jaccard_null_ids(spark):
     got = jaccard_join(table(spark, [(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e")])).collect()
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 2, 0), (1, 2, 1), (1, 2, 1)]
@@ -287,30 +345,43 @@ def test_warc(spark):
     assert warc.read_bundles(warc.write_bundles(df.limit(0))).count() == 0
 
 
-def test_url_filter(spark):
-    urls = ["http://a.example.net/en/x", "https://EXAMPLE.net/fr/", "http://example.network/", "ftp://x.example.com/de/q?a#b", "http://example.com", "http://w.org/fr/1", "example.net/en/", None, "", "http://net", "http://net/", "http:///x", "a://b.net://c/", "http://b.net?x/", "http://example.net/en", "http://x..net/"]
-    df = spark.createDataFrame([(i % 9, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string")
-    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("", "/", "block"), (None, "/x", "block"), ("org", "/fr/", "allow")], "host string, path string, verdict string")
-
-    def one(u):
+def plain_urls(urls, rules):
+    """Rules asked one by one: the longest wins, then block, then the longer host."""
+    out = []
+    for i, u in urls:
         at = (u or "").find("://")
         rest = u[at + 3 :] if at >= 0 else ""
         host = next((rest[:i] for i, c in enumerate(rest) if c in "/?#"), rest)
         path = rest[len(host) :]
         path = next((path[:i] for i, c in enumerate(path) if c in "?#"), path)
         host = host.translate(plain.UPPER)
-        fits = [(h + p, v) for h, p, v in [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")] if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, "allow"))
-        return host, path, rule, verdict
-
-    want = sorted(((i % 9, *one(u)) for i, u in enumerate(urls)), key=str)
-    assert sorted((tuple(r) for r in urlfilter.url_filter(df, rules).collect()), key=str) == want
-    old, urlfilter.RULES = urlfilter.RULES, 1
-    try:
-        assert sorted((tuple(r) for r in urlfilter.url_filter(df, rules).collect()), key=str) == want
-    finally:
-        urlfilter.RULES = old
-    assert urlfilter.url_filter(df.limit(0), rules).count() == 0
+        fits = [(len(h + p), v == "block", len(h), h + p, v) for h, p, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p or "")]
+        out.append((i, host, path, *(max(fits)[3:] if fits else (None, "allow"))))
+    return sorted(out, key=str)
+
+
+def test_url_filter(spark):
+    urls = ["http://a.example.net/en/x", "https://EXAMPLE.net/fr/", "http://example.network/", "ftp://x.example.com/de/q?a#b", "http://example.com", "http://w.org/fr/1", "example.net/en/", None, "", "http://net", "http://net/", "http:///x", "a://b.net://c/", "http://b.net?x/", "http://example.net/en", "http://x..net/"]
+    urls = [(None if i == 3 else i % 9, u) for i, u in enumerate(urls)]
+    df = spark.createDataFrame([(i, u, "r", "x", 1) for i, u in urls], "page_id long, url string, rule string, key string, part int")
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("", "/", "block"), (None, "/x", "block"), ("org", "/fr/", "allow")]
+    table_ = spark.createDataFrame(rules, "host string, path string, verdict string")
+    for parts in (None, 1, 5):
+        assert sorted((tuple(r) for r in urlfilter.url_filter(df, table_, parts=parts).collect()), key=str) == plain_urls(urls, rules)
+    assert urlfilter.url_filter(df.limit(0), table_).count() == 0
+    assert {r.verdict for r in urlfilter.url_filter(df, table_.limit(0)).collect()} == {"allow"}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_url_filter_ties_and_nesting(spark, parts):
+    """Rules of one length on nested hosts, nested hosts over the borders of parts, and a host with a third of all urls."""
+    r = random.Random(parts)
+    urls = [(1, "http://xx.com/abcd/"), (2, "http://xx.com/abcd/"), (3, "http://xx.com/ab")] + [(9, "http://hot.a.com/" + "ab/"[i % 3 :]) for i in range(300)]
+    urls += [(10 + i, "http://" + ".".join(r.choice(["a", "b", "xx", "com", ""]) for _ in range(r.randrange(1, 5))) + "/" + "".join(r.choice("ab/") for _ in range(5))) for i in range(600)]
+    rules = [("com", "/abcd/", "allow"), ("xx.com", "/ab", "block"), ("a.com", "", "block")]
+    rules += [(".".join(r.choice(["a", "b", "xx", "com"]) for _ in range(r.randrange(1, 4))), "/" + "".join(r.choice("ab/") for _ in range(r.randrange(4))), r.choice(["block", "allow"])) for _ in range(150)]
+    df, table_ = spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")
+    assert sorted((tuple(x) for x in urlfilter.url_filter(df, table_, parts=parts).collect()), key=str) == plain_urls(urls, rules)
 
 
 def hard_texts():
