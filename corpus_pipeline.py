@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.bpe import bpe
-from riskloom.llm.common import cut, maybe_broadcast
+from riskloom.llm.common import cut
 from riskloom.llm.decontaminate import uncontaminated
-from riskloom.llm.jaccard_join import BROADCAST_IDS, jaccard_join
+from riskloom.llm.jaccard_join import jaccard_join
 from riskloom.llm.langid import UNKNOWN, language_id
 from riskloom.llm.secrets import secret_scan
 
@@ -36,7 +36,10 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one with the smallest doc_id."""
     gone = cut(jaccard_join(docs).where("component_id <> doc_id").select("doc_id").distinct(), "copies")
-    return docs.join(maybe_broadcast(gone, BROADCAST_IDS), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # a sort-merge join at every size; rows without an id stay where they are
+    named = docs.where(F.col("doc_id").isNotNull()).join(gone.hint("merge"), "doc_id", "left_anti").select(*columns)
+    return named.unionAll(docs.where(F.col("doc_id").isNull()).select(*columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
