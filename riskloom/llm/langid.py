@@ -3,9 +3,11 @@
 Features: character n-grams (``ORDERS``) of the whole lower-cased text, hashed to ``SLOTS``; their share of the
 text's n-grams times the inverse document frequency, counted over all documents of the learning fold.
 Training: follow-the-regularised-leader with per-coordinate steps and an elastic net (L1 and L2), on a bounded
-sample of labelled rows (``SAMPLE`` in all, the same number for each of at most ``LANGS`` languages, chosen by a
-hash of doc_id); one tenth of the sample is kept back to fit the temperature of the final softmax.
-Prediction is a lookup and a segmented sum per n-gram, for texts of any length.
+sample of labelled rows (``SAMPLE`` in all, the same number for each language, chosen by a hash of doc_id; a corpus with
+more languages than that gives one row for each of the SAMPLE commonest); one tenth of the sample is kept back to fit the
+temperature of the final softmax.
+Prediction is a lookup and a segmented sum per n-gram, for texts of any length.  Beside the score there is its
+``confidence``: where the score stands between that of a guess (one in so many languages, 0) and certainty (1).
 
 Learning uses text and non-null lang of documents whose crc32(doc_id as text) modulo 4 is not 2; a null doc_id
 is held out.  ``und`` with score 0 is given to a null text or one without any letter, and where nothing was
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +33,7 @@ from .common import tune
 
 ORDERS = (1, 2, 3)
 SLOTS = 1 << 15
-SAMPLE, LANGS = 3200, 256
+SAMPLE = 3200
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 1e-4, 1e-4
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -103,28 +105,26 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
 def sample(docs: DataFrame, rows: int = SAMPLE) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(lang, slots, shares) of a bounded, balanced sample of the learning fold."""
     known = docs.where(_learning() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()
     if not counts:
         return []
     each = max(1, rows // len(counts))
-    # a share of the hash space that holds the wanted rows and a few more; the limit below is exact
+    # a share of the hash space that holds the wanted rows and a few more; the ranks below are exact
     shares_ = {r["lang"]: min(1.0, (each + 4 * each**0.5) / r["count"]) for r in counts}
-    share = F.create_map(*[x for lang, p in shares_.items() for x in (F.lit(lang), F.lit(p))])
+    share = known.sparkSession.createDataFrame(list(shares_.items()), "lang string, share double")  # as many rows as languages, SAMPLE at most
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
-    some = known.withColumn("place", place).where(F.col("place") < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 30))
+    some = known.withColumn("place", place).join(F.broadcast(share), "lang").where(F.col("place") < F.col("share") * (1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [shares(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype(np.uint16).tobytes() for x, _ in got], pa.binary()), pa.array([y.tobytes() for _, y in got], pa.binary())], ["place", "lang", "slots", "shares"])
 
-    made = some.select("place", "lang", "text").mapInArrow(K.lean(run), "place long, lang string, slots binary, shares binary").orderBy("place", "lang", "slots").limit(2 * rows).collect()
-    out, taken = [], dict.fromkeys(shares_, 0)
-    for r in made:
-        if taken[r["lang"]] < each:
-            taken[r["lang"]] += 1
-            out.append((r["lang"], np.frombuffer(r["slots"], dtype=np.uint16).astype(np.int64), np.frombuffer(r["shares"], dtype=np.float32)))
-    return out
+    made = some.select("place", "lang", "text").mapInArrow(K.lean(run), "place long, lang string, slots binary, shares binary")
+    first = Window.partitionBy("lang").orderBy("place", "slots", "shares")
+    taken = made.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= each).drop("rank").collect()
+    taken.sort(key=lambda r: (r["place"], r["lang"], bytes(r["slots"]), bytes(r["shares"])))
+    return [(r["lang"], np.frombuffer(r["slots"], dtype=np.uint16).astype(np.int64), np.frombuffer(r["shares"], dtype=np.float32)) for r in taken]
 
 
 class Ftrl:
@@ -159,6 +159,11 @@ class Model:
     def __init__(self, langs: list[str], weights: np.ndarray):
         self.langs, self.weights = langs, weights
 
+    def confidence(self, score: float) -> float:
+        """0 for a guess among the languages, 1 for certainty; with one language there is no other to guess."""
+        n = len(self.langs)
+        return max(0.0, (n * score - 1) / (n - 1)) if n > 1 else score
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lower = [(t or "").lower() for t in texts]
         score = np.zeros((len(texts), len(self.langs)))
@@ -204,17 +209,18 @@ def train(docs: DataFrame, rows: int = SAMPLE) -> Model:
 
 
 def language_id(docs: DataFrame, train_on: DataFrame | None = None, keep: tuple[str, ...] = ("doc_id",), rows: int = SAMPLE) -> DataFrame:
-    """The kept columns and held_out, lang_pred, score for each row of docs (doc_id, text; lang to learn from, unless train_on has it)."""
+    """The kept columns and held_out, lang_pred, score, confidence for each row of docs (doc_id, text; lang to learn from, unless train_on has it)."""
     tune(docs.sparkSession)
     base = docs if train_on is None else train_on
     model = train(base.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), rows)
     docs = docs.select(*keep, (~_learning()).alias("held_out"), F.col("text").cast("string").alias("_scanned"))
-    out = T.StructType([*docs.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = T.StructType([*docs.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("confidence", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk in K.chunks(b, b.num_columns - 1):
                 lang, score = model.predict(chunk.column(chunk.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*chunk.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "held_out", "lang_pred", "score"])
+                sure = [model.confidence(x) if y != UNKNOWN else 0.0 for x, y in zip(score, lang, strict=True)]
+                yield pa.RecordBatch.from_arrays([*chunk.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.float64())], [*keep, "held_out", "lang_pred", "score", "confidence"])
 
     return docs.mapInArrow(K.lean(run), out)
