@@ -1,16 +1,19 @@
 """WARC archives in seekable Zstandard bundles.
 
-``write_bundles`` turns a page table into bundles of about ``BUNDLE`` bytes of payload: each record is an
-independent Zstandard frame, and a skippable footer frame holds the seek table (compressed and plain size of
-every frame), so a record is read by one ranged read and one small decompression.  Records with equal payloads
-of at least ``LEAST`` bytes are written once: the row with the largest page_id is the response, the others are
-revisits of it; smaller ones are all responses.  Bundles are rows of a binary column, written by Spark to the
-shared folder, so any file system Spark knows will do; ``index_bundles`` maps record ids to (bundle, frame,
-offset, length), ``fetch`` reads single records, and ``read_bundles`` everything.
+``write_bundles`` turns a page table into bundles of about ``BUNDLE`` bytes.  Records are grouped into independent Zstandard
+frames of about ``FRAME`` plain bytes (a longer record is a frame of its own), and a skippable footer frame holds the seek
+table (compressed and plain size of every frame).  While a bundle is written its index grows beside it: for each record its
+identifier, frame, offset within the frame and length.  So a record is read by one ranged read of a frame and one small
+decompression (``fetch``), and ``read_bundles`` reads everything that way: by the index and the footer.
+
+Records with equal payloads of at least ``LEAST`` bytes are written once: the row with the largest page_id is the response,
+the others are revisits of it; smaller ones are all responses.  Bundles and their index are rows of a table, written by
+Spark to the shared folder, so any file system Spark knows will do; ``index_bundles`` is the index alone.
 
 Edge cases: a null html is an empty payload.  A null page_id gets a record of its own and is never referred to.
 Equal rows are both responses if theirs is the largest page_id.  An empty table gives no bundle and an empty
-result.  Other columns are ignored.
+result.  Records stand in a bundle in the order in which they reach its task; no result depends on it.  A very long payload
+is one record, frame and bundle of its own size.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import cut, tune
+from .common import cut, join_groups, tune
 
 LEAST = 1000
-BUNDLE = 4 << 20
+FRAME, BUNDLE = 256 << 10, 4 << 20
 LEVEL = 3
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
-BUNDLES = "bundle string, records long, data binary"
+BUNDLES = "bundle string, records long, data binary, places array<struct<page_id:long,frame:int,start:long,length:long>>"
+PLACES = pa.list_(pa.struct([("page_id", pa.int64()), ("frame", pa.int32()), ("start", pa.int64()), ("length", pa.int64())]))
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -96,76 +100,96 @@ def _page(uri: str) -> int | None:
     return int(number) if number else None
 
 
-def write_bundles(pages: DataFrame, least: int = LEAST, bundle: int = BUNDLE) -> DataFrame:
-    """The written bundles (bundle, records, data) of pages (page_id, url, html)."""
+def write_bundles(pages: DataFrame, least: int = LEAST, bundle: int = BUNDLE, frame: int = FRAME) -> DataFrame:
+    """The written bundles (bundle, records, data, places) of pages (page_id, url, html)."""
     tune(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    ids = pages.where((F.octet_length("html") >= least) & F.col("page_id").isNotNull()).select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"))
-    first = ids.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = ids.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
-    digest = F.sha1(F.col("html").cast("binary"))
-    todo = pages.withColumn("digest", digest).join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
+    digest = F.sha1(F.col("html").cast("binary")).alias("digest")
+    ids = cut(pages.where((F.octet_length("html") >= least) & F.col("page_id").isNotNull()).select("page_id", digest), "digests")
+    first = ids.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    revisits = join_groups(ids, first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    pages = pages.select("page_id", "url", "html", digest)
+    todo = pages.where(F.col("page_id").isNotNull()).join(revisits.hint("merge"), ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
+    todo = todo.unionAll(pages.where(F.col("page_id").isNull()).withColumn("refers_to", F.lit(None).cast("long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=LEVEL).compress
-        frames, sizes, held = [], [], 0
+        frames, sizes, places, held = [], [], [], []
+
+        def close() -> None:
+            if held:
+                plain = b"".join(held)
+                frames.append(compress(plain))
+                sizes.append(len(plain))
+                held.clear()
 
         def seal() -> pa.RecordBatch:
+            close()
             data = sealed(frames, sizes)
             name = f"{TaskContext.get().partitionId():06d}-{uuid.UUID(bytes=hashlib.md5(data).digest())}"
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(frames)], pa.int64()), pa.array([data], pa.binary())], ["bundle", "records", "data"])
+            out = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(places)], pa.int64()), pa.array([data], pa.binary()), pa.array([places], PLACES)], ["bundle", "records", "data", "places"])
+            for x in (frames, sizes, places):
+                x.clear()
+            return out
 
+        inside, total = 0, 0
         for b in batches:
-            for page_id, url, text, digest, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw = record(page_id, url, text.encode(), digest, refers_to)
-                frames.append(compress(raw))
-                sizes.append(len(raw))
-                held += len(raw)
-                if held >= bundle:
+            for page_id, url, text, sha, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                raw = record(page_id, url, text.encode(), sha, refers_to)
+                if inside and inside + len(raw) > frame:
+                    close()
+                    inside = 0
+                places.append({"page_id": page_id, "frame": len(frames), "start": inside, "length": len(raw)})
+                held.append(raw)
+                inside += len(raw)
+                total += len(raw)
+                if total >= bundle:
                     yield seal()
-                    frames, sizes, held = [], [], 0
-        if frames:
+                    inside = total = 0
+        if places:
             yield seal()
 
     return cut(todo.mapInArrow(K.lean(run), BUNDLES), "warc")
 
 
 def index_bundles(bundles: DataFrame) -> DataFrame:
-    """page_id, bundle, frame, offset, length of every record."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                rows = [(_page(parse(expand(data[at : at + size]))[0]["WARC-Record-ID"]), name, i, at, size) for i, (at, size, _) in enumerate(seek_table(data))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["page_id", "bundle", "frame", "offset", "length"])
-
-    return bundles.mapInArrow(K.lean(run), "page_id long, bundle string, frame int, offset long, length long")
+    """page_id, bundle, frame, start (within the plain frame), length of every record."""
+    return bundles.select("bundle", F.explode("places").alias("p")).select("p.page_id", "bundle", "p.frame", "p.start", "p.length")
 
 
-def fetch(data: bytes, offset: int, length: int) -> tuple[dict[str, str], bytes]:
+def fetch(data: bytes, frame: int, start: int, length: int) -> tuple[dict[str, str], bytes]:
     """One record of a bundle by its place in the index."""
-    return parse(zstandard.ZstdDecompressor().decompress(data[offset : offset + length]))
+    at, size, _ = seek_table(data)[frame]
+    return parse(zstandard.ZstdDecompressor().decompress(data[at : at + size])[start : start + length])
 
 
 def read_bundles(bundles: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record; a response's digest and size are those of what was read."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of the index; a response's digest and size are those of what was read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            for data in b.column(2).to_pylist():
-                rows = []
-                for at, size, _ in seek_table(data):
-                    head, payload = parse(expand(data[at : at + size]))
+            for i in range(b.num_rows):
+                data, rows, now, plain = b.column(0)[i].as_py(), [], None, b""
+                table = seek_table(data)
+                for place in sorted(b.column(1)[i].as_py(), key=lambda x: (x["frame"], x["start"])):
+                    if place["frame"] != now:
+                        now = place["frame"]
+                        at, size, length = table[now]
+                        plain = expand(data[at : at + size])
+                        if len(plain) != length:
+                            raise ValueError("frame and seek table differ")
+                    head, payload = parse(plain[place["start"] : place["start"] + place["length"]])
                     n, digest, refers_to = int(head["X-Payload-Bytes"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), None
+                    if _page(head["WARC-Record-ID"]) != place["page_id"]:
+                        raise ValueError("record and index differ")
                     if head["WARC-Type"] == "response":
                         if len(payload) != n or hashlib.sha1(payload).hexdigest() != digest:
                             raise ValueError("payload and digest differ")
                     else:
                         refers_to = _page(head["WARC-Refers-To"])
-                    rows.append((_page(head["WARC-Record-ID"]), n, digest, head["WARC-Type"], refers_to))
+                    rows.append((place["page_id"], n, digest, head["WARC-Type"], refers_to))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return bundles.mapInArrow(K.lean(run), RECORDS)
+    return bundles.select("data", "places").mapInArrow(K.lean(run), RECORDS)
