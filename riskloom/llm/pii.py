@@ -12,9 +12,9 @@ instance's trust is the noisy-or of its accepted patterns, those with confidence
 of at least ``SUPPORT`` distinct instances (others pass no trust on, else words as common as "the" would confirm
 themselves).  Candidates of accepted patterns become spans of kind ``context``.
 
-The graph is grouped by hashes of patterns and instances with sums combined before each shuffle, so a
-pattern or instance with a third of all rows is no hot task; the candidates of a document travel without
-its text.
+The graph is grouped by hashes of patterns and instances, with sums combined before each shuffle; joins split off the
+patterns and instances that hold more than a small share of all rows, so none is a hot task.  The candidates of a document
+travel without its text.  Scanning is linear in a text's length, whatever runs of digits, letters or signs it has.
 
 Edge cases: null is an empty text without spans.  Repeated rows and null ids are rows like others (each row
 gets its own result; repeated instances count once).  An empty table gives an empty result.  Other columns
@@ -35,17 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import cut, tune
+from .common import cut, join_groups, tune
 from .spans import DDL, TYPE, ordered
 
 KINDS = ("email", "ip", "card", "phone", "context")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 AT_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# a match never begins within a run of digits: what fails from the run's start fails from any digit of it
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NUMBER = re.compile(r"[+(]?[0-9][0-9().\x20/-]{5,}[0-9]")
-MAIL = re.compile(r"[^\x20\x09-\x0D@]+@[^\x20\x09-\x0D@]+")
+MAIL = re.compile(r"(?<![^\x20\x09-\x0D@])[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D@]++")
 BEFORE, AFTER = re.compile(r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$"), re.compile(r"[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)")
 ROUNDS = 3
 CONFIDENT, SUPPORT = 0.8, 3
@@ -65,21 +67,35 @@ def _digits(s: str) -> str:
 
 def _at_tokens(text: str) -> Iterator[tuple[int, int]]:
     """Runs of non-blanks with an @."""
-    at = text.find("@")
+    e, at = 0, text.find("@")
     while at >= 0:
-        a = max(text.rfind(c, 0, at) for c in " \t\n\x0b\f\r") + 1
+        a = max(text.rfind(c, e, at) for c in " \t\n\x0b\f\r")
+        a = e if a < 0 else a + 1
         e = AT_TOKEN.match(text, a).end()
         yield a, e
         at = text.find("@", e)
 
 
+def emails(text: str) -> list[tuple[str, int, int]]:
+    """Each @ with a domain behind it, back to where its local part or the match before it ends: what leftmost matching finds."""
+    out, end, at = [], 0, text.find("@")
+    while at >= 0:
+        if m := DOMAIN.match(text, at + 1):
+            start = at
+            while start > end and text[start - 1] in LOCAL:
+                start -= 1
+            if start < at:
+                end = m.end()
+                out.append(("email", start, end))
+        at = text.find("@", at + 1)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
-    out = []
-    for a, e in _at_tokens(text):  # a match never leaves its run of non-blanks, so only those with an @ are searched
-        out += [("email", m.start(), m.end()) for m in EMAIL.finditer(text, a, e)]
+    out = emails(text)
     out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(int(p) <= 255 if len(p) < 9 else int(p.lstrip("0")[:9] or "0") <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
-        if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
+        if 14 <= m.end() - m.start() <= 37 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             out.append(("card", m.start(), m.end()))
     out += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 10 <= len(_digits(m[0])) <= 15]
     return out
@@ -143,16 +159,19 @@ def pii_scan(docs: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT
     each = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     each = each.withColumn("pattern", F.explode("patterns")).drop("patterns")
     edges = cut(each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
-    trusted = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("trust"))
+    total = edges.count()
+    trusted = cut(edges.groupBy("instance").agg(F.max("seed").cast("double").alias("trust"), F.count("*").alias("n")), "trust")
     for _ in range(rounds):
-        scored = edges.join(trusted, "instance").groupBy("pattern").agg(F.sum("trust").alias("good"), F.count("*").alias("n"))
+        scored = join_groups(edges, trusted, "instance", total).groupBy("pattern").agg(F.sum("trust").alias("good"), F.count("*").alias("n"))
         scored = scored.select("pattern", (F.col("good") / (F.col("n") + 0.25)).alias("confidence"), "n")
-        good = scored.where((F.col("confidence") >= confident) & (F.col("n") >= support))
-        spread = edges.join(good, "pattern").groupBy("instance")
+        good = cut(scored.where((F.col("confidence") >= confident) & (F.col("n") >= support)), "good")
+        spread = join_groups(edges, good, "pattern", total).groupBy("instance")
         spread = spread.agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("noisy"), F.max("seed").alias("seed"))
         spread = spread.select("instance", F.when(F.col("seed") == 1, 1.0).otherwise(F.col("noisy")).alias("new"))
-        trusted = cut(trusted.join(spread, "instance", "left").select("instance", F.greatest("trust", F.coalesce("new", F.lit(0.0))).alias("trust")), "trust")
-    more = each.where("seed = 0").join(good.select("pattern"), "pattern", "left_semi").groupBy("row").agg(F.collect_set(F.struct(F.lit("context").alias("kind"), "start", "end")).alias("more"))
+        trusted = cut(trusted.join(spread, "instance", "left").select("instance", F.greatest("trust", F.coalesce("new", F.lit(0.0))).alias("trust"), "n"), "trust")
+    open_ = each.where("seed = 0")
+    found = open_.groupBy("pattern").agg(F.count("*").alias("n")).join(good.select("pattern"), "pattern")
+    more = join_groups(open_, found, "pattern").groupBy("row").agg(F.collect_set(F.struct(F.lit("context").alias("kind"), "start", "end")).alias("more"))
     out = rows.drop("mentions").join(more, "row", "left")
     rank = lambda x: F.array_position(F.array(*[F.lit(k) for k in KINDS]), x["kind"])
     order = lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise((rank(x) - rank(y)).cast("int"))
