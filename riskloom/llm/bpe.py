@@ -1,14 +1,20 @@
 """Byte-level BPE encoding and decoding, long unsplit text by tree concatenation.
 
-A text is cut at the added tokens, then by the pre-tokenizer's pattern into pieces; merges never
-cross a piece.  Pieces of up to ``LEAF`` bytes are merged directly and kept in a bounded cache.
-A longer piece (text without any split point) is encoded as a tree: its halves are encoded on their
-own, down to leaves - leaves of one batch in parallel threads - and then joined bottom-up.  At each join a window of
-``WINDOW`` tokens on both sides is decoded and encoded anew; when the new tokens begin with the left
-window's first token and end with the right window's last one, both sides agree with it and the join
-is exact: a token sequence is the encoding of its text if and only if each neighbouring pair is, every
-pair lies within one of the three encodings that agree, and merges are applied by rank alone.  Otherwise
-the window doubles, at the utmost to the whole piece.  Work is O(n log n) in the piece's length.
+A text is cut at the added tokens; what stands between is split by the pre-tokenizer's pattern into pieces, and merges never
+cross a piece.  Text that is still unsplit and long is handled as a tree on both levels: its halves are encoded on their own,
+down to leaves, and joined bottom-up; at each join a window on both sides is encoded anew and grows until it agrees with both.
+
+* **Splitting.**  A text of more than ``TEXT_LEAF`` characters.  The pattern looks at most ``REACH`` characters beyond a piece, so
+  the left half's pieces stand, but for those that end nearer to the join than that; from there on the text is split again over
+  a growing number of the right half's pieces, until a new border is one of the right half's: what follows a border depends
+  on the text behind it alone, so both agree from there on.
+* **Merging.**  A piece of more than ``LEAF`` bytes; leaves of one piece are merged in parallel threads.  A window of ``WINDOW``
+  tokens on both sides is decoded and merged anew; when the new tokens begin with the left window's first token and end with
+  the right window's last one, the join is exact: a token sequence is the encoding of its text if and only if each neighbouring
+  pair is, every pair lies within one of the three encodings that agree, and merges are applied by rank alone.
+
+Otherwise a window doubles, at the utmost to the whole.  Work is O(n log n) in the text's length.  Pieces of up to ``LEAF``
+bytes are merged directly and kept in a bounded cache.
 
 The vocabulary file's path is a parameter; the file is read once in each Python worker and never copied.
 
@@ -20,9 +26,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +42,8 @@ from pyspark.sql import types as T
 from . import textkernel as K
 from .common import tune
 
+TEXT_LEAF = 2048
+REACH = 4
 LEAF = 512
 WINDOW = 4
 #: Distinct pieces a worker keeps.
@@ -56,10 +65,29 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def halves(n: int, leaf: int) -> list[tuple[int, int]]:
+    """The leaves (from, to) of halving n places down to leaf at most, in order."""
+    out, spans = [], [(0, n)]
+    while spans:
+        a, e = spans.pop()
+        if e - a <= leaf:
+            out.append((a, e))
+        else:
+            spans += [((a + e) // 2, e), (a, (a + e) // 2)]
+    return out
+
+
+def tree(parts: list, join: Callable) -> list:
+    """Neighbours joined, level by level."""
+    while len(parts) > 1:
+        parts = [join(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file (JSON with vocab, merges and added tokens)."""
 
-    def __init__(self, path: str, leaf: int = LEAF, threads: int = 2):
+    def __init__(self, path: str, leaf: int = LEAF, threads: int = 2, text_leaf: int = TEXT_LEAF):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
@@ -77,7 +105,7 @@ class Codec:
         self.bytes_of = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
         self.split_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.pieces = regex.compile(PATTERN).findall
-        self.leaf, self.threads = leaf, threads
+        self.leaf, self.threads, self.text_leaf = leaf, threads, text_leaf
         codec = self
 
         class Cache(dict):
@@ -96,22 +124,38 @@ class Codec:
         """Plain merging by rank."""
         return [self.of_rank[r] for r in self.core._encode_single_piece(raw)]
 
+    def split(self, text: str) -> list[str]:
+        """The pieces of a text without added tokens."""
+        if len(text) <= self.text_leaf:
+            return self.pieces(text)
+        return tree([self.pieces(text[a:e]) for a, e in halves(len(text), self.text_leaf)], self.join_pieces)
+
+    def join_pieces(self, left: list[str], right: list[str]) -> list[str]:
+        """Pieces of two split texts' concatenation."""
+        at, near = len(left), 0
+        while at and near < REACH:
+            at -= 1
+            near += len(left[at])
+        tail, size = "".join(left[at:]), WINDOW
+        while True:
+            head = right[:size]
+            text, whole = tail + "".join(head), size >= len(right)
+            known = len(text) if whole else len(text) - REACH
+            borders = dict(zip(accumulate(map(len, head), initial=len(tail)), range(len(head) + 1), strict=True))
+            new = self.pieces(text)
+            for n, end in enumerate(accumulate(map(len, new)), 1):
+                if end > known:
+                    break
+                if end in borders:
+                    return left[:at] + new[:n] + right[borders[end] :]
+            size *= 2
+
     def encode_piece(self, raw: bytes) -> list[int]:
         if len(raw) <= self.leaf:
             return self.merge(raw)
-        leaves, spans = [], [(0, len(raw))]
-        while spans:  # halves, down to leaves
-            a, e = spans.pop()
-            if e - a <= self.leaf:
-                leaves.append((a, e))
-            else:
-                spans += [(a, (a + e) // 2), ((a + e) // 2, e)]
-        leaves.sort()
         with ThreadPoolExecutor(self.threads) as pool:
-            parts = list(pool.map(lambda s: self.merge(raw[s[0] : s[1]]), leaves))
-        while len(parts) > 1:
-            parts = [self.join(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        return parts[0]
+            parts = list(pool.map(lambda s: self.merge(raw[s[0] : s[1]]), halves(len(raw), self.leaf)))
+        return tree(parts, self.join)
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """Encoding of two encoded texts' concatenation."""
@@ -132,7 +176,7 @@ class Codec:
         return self.encode_plain(text)
 
     def encode_plain(self, text: str) -> bytes:
-        return b"".join(map(self.cache.__getitem__, self.pieces(text)))
+        return b"".join(map(self.cache.__getitem__, self.split(text)))
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", errors="replace")
