@@ -17,8 +17,8 @@ from riskloom.llm.jaccard_join import jaccard_join
 from riskloom.llm.langid import UNKNOWN, language_id
 from riskloom.llm.secrets import secret_scan
 
-#: Language predictions below this are rejected; with several languages the score of a guess is higher.
-MIN_SCORE = 0.2
+#: Predictions less confident than this are rejected: 0 is a guess among the learned languages, however many, 1 certainty.
+MIN_CONFIDENCE = 0.1
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -28,9 +28,9 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model tells; those without any letter or text go."""
+    """Documents whose language the model tells; those without any letter or text go, and those it can only guess at."""
     told = language_id(_packed(docs), keep=("_row",))
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("_row.*")
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("confidence") >= MIN_CONFIDENCE)).select("_row.*")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
