@@ -48,7 +48,7 @@ def left_join_known(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 #: A key with more than one in HEAVY of the rows (and more than LEAST of them) is joined by broadcast.
-HEAVY, LEAST = 1000, 1000
+HEAVY, LEAST = 1000, 16
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from .decontaminate import decontaminate
 from .jaccard_join import jaccard_join
 from .langid import language_id
 from .pii import pii_scan
-from .quality import RULES, quality
+from .quality import quality
 from .secrets import secret_scan
 from .substring_dedup import substring_dedup
 from .urlfilter import url_filter
@@ -44,7 +44,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan(_table(spark, sf_dir, "documents"))
     counts = [S.count_of("base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
-    return out.select("doc_id", *counts, F.sha2(S.text_of("base"), 256).alias("base_sha256"), S.text_of("spans").alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(S.text_of("base"), 256).alias("base_sha256"), S.text_of("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii_scan(_table(spark, sf_dir, "documents"))
     counts = [S.count_of("base", k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
-    return out.select("doc_id", *counts, F.sha2(S.text_of("base"), 256).alias("base_sha256"), S.text_of("spans").alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(S.text_of("base"), 256).alias("base_sha256"), S.text_of("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,13 +138,17 @@ p AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >=
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM p),
 r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM g),
 c AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS j FROM r WHERE n > 1) GROUP BY doc_id),
+x AS (SELECT doc_id, unnest(w) AS x FROM d),
+t AS (SELECT doc_id, max(n) AS n_top, sum(n * CAST(regexp_matches(x, '[A-Za-z\x{{80}}-\x{{10FFFF}}]') AS INT)) AS n_lettered
+      FROM (SELECT doc_id, x, count(*) AS n FROM x GROUP BY doc_id, x) GROUP BY doc_id),
 m AS (SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(length(regexp_replace(d.text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
-             CAST(length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(d.text, '[^!]', '', 'g')) AS BIGINT) AS n_bangs,
-             coalesce(u.n_lines, 0) AS n_lines, coalesce(u.n_dup_lines, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
-      FROM d LEFT JOIN u ON u.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id),
+             CAST(length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, length(regexp_replace(d.text, '[^!]', '', 'g')) AS n_bangs,
+             coalesce(u.n_lines, 0) AS n_lines, coalesce(u.n_dup_lines, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, t.n_top, t.n_lettered
+      FROM d LEFT JOIN u ON u.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR {" OR ".join(f"({r})" for r in RULES.values())}) AS kept FROM f""",
+       NOT (base_failed OR 2 * n_symbols > 3 * n_words OR n_bangs > n_words OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines) OR word_chars < 2 * n_words
+            OR word_chars > 20 * n_words OR 5 * n_lettered < n_words OR 10 * n_top > 6 * n_words) AS kept FROM f""",
     "op7_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 q AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS s FROM p),

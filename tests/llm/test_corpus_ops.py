@@ -1,12 +1,17 @@
 """Every operator against a plain version, on real rows and on awkward ones."""
 
 import hashlib
+import math
 import os
 import random
+import re
+import time
+from collections import Counter
 
 import numpy as np
 import plain
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from riskloom.llm import common
@@ -14,7 +19,7 @@ from riskloom.llm import jaccard_join as jj
 from riskloom.llm import langid, pii, secrets, urlfilter, warc
 from riskloom.llm import quality as q
 from riskloom.llm.components import components
-from riskloom.llm.bpe import Codec, bpe, default_path
+from riskloom.llm.bpe import TEXT_LEAF, Codec, bpe, default_path
 from riskloom.llm.decontaminate import alignments, decontaminate, phrases, proximity
 from riskloom.llm.jaccard_join import jaccard_join
 from riskloom.llm.substring_dedup import substring_dedup
@@ -259,6 +264,70 @@ def test_secret_repeated():
     assert secrets.novel_spans("auth header register_repository1request " * 3, [], n) == []
 
 
+CONTEXTS = ["Authorization: Bearer {}", "the private key {} was shared", "credentials ({})", "auth header {} sent", "api key {} of the service", "passphrase '{}'", "x-auth: {}\n"]
+
+
+def random_keys(n, seed=11):
+    r = random.Random(seed)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEF0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789_-"]
+    return ["q7" + "".join(r.choice(alphabets[i % 4]) for _ in range(r.randrange(20, 41))) for i in range(n)]
+
+
+def test_secret_recall(spark):
+    """Planted keys in contexts that no fixed rule knows are found, copies too; identifiers made of the corpus's words are not."""
+    r = random.Random(5)
+    names = ["".join(r.choice("bcdfglmnprstv") + r.choice("aeiou") for _ in range(r.choice((4, 5)))) for _ in range(40)]
+    prose = lambda: " ".join(r.choice(names) for _ in range(30))
+    keys = random_keys(200)
+    some = [(i, f"{prose()} {CONTEXTS[i % 7].format(k)} {prose()}") for i, k in enumerate(keys)]
+    ids = ["_".join(r.choice(names) for _ in range(3)) + "_2" for _ in range(200)]
+    some += [(1000 + i, f"{prose()} {CONTEXTS[i % 7].format(k)} {prose()}") for i, k in enumerate(ids)]
+    some += [(2000 + i, some[0][1]) for i in range(50)] + [(None, some[1][1]), (None, None)]
+    got = secrets.secret_scan(table(spark, some)).collect()
+    assert len(got) == len(some)
+    by = {r.doc_id: r for r in got if r.doc_id is not None}
+    found = [keys[i] not in by[i].redacted for i in range(200)]
+    wrong = [ids[i] not in by[1000 + i].redacted for i in range(200)]
+    assert sum(found) >= 0.95 * 200 and sum(wrong) <= 0.05 * 200
+    assert all(by[2000 + i].redacted == by[0].redacted for i in range(50))
+    assert {r.redacted for r in got if r.doc_id is None} == {by[1].redacted, None}
+    learned = secrets.dictionary(table(spark, some), 30)
+    assert sum(x in learned for x in names) >= 25 and not any(k in learned for k in keys)
+    # words of the corpus make what is made of them cheap
+    plain_, primed = secrets.Novelty(), secrets.Novelty(secrets.dictionary(table(spark, some)))
+    text = f"auth header {ids[0]} sent"
+    assert primed.bits(text, 12, 12 + len(ids[0])) < plain_.bits(text, 12, 12 + len(ids[0])) - 1
+
+
+def test_secret_novelty_against_plain(spark):
+    """Candidates, their context and marginal size, found by the plainest loops."""
+    some = [f"{c.format(k)} and {c.format('registerRepository2Request')}" for c, k in zip(CONTEXTS * 3, random_keys(21, 3), strict=True)] + [SECRET, "auth " + "x1" * 40, "no word near q7Zt9LmXw2Rk8VbN4cJd here"]
+    novelty = secrets.Novelty()
+    dictionary_ = zstandard.ZstdCompressionDict(secrets.DICTIONARY.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    params = zstandard.ZstdCompressionParameters.from_level(6, write_content_size=False, write_checksum=False, write_dict_id=False)
+    size = zstandard.ZstdCompressor(dict_data=dictionary_, compression_params=params).compress
+    for text in some:
+        base, want = secrets.base_spans(text), []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+            a, e = m.span()
+            free = all(t <= a or s >= e for _, s, t in base)
+            near = re.search(r"pass(word|wd|phrase)?|secret|token|api.?key|credential|private.?key|bearer|auth", text[max(0, a - 48) : a], re.IGNORECASE)
+            around = text[max(0, a - 256) : a] + text[e : e + 256]
+            bits = 8 * (len(size((around + m[0]).encode())) - len(size(around.encode()))) / (e - a)
+            if free and near and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and bits >= secrets.BITS:
+                want.append(("novel", a, e))
+        assert secrets.novel_spans(text, base, novelty) == want, text
+
+
+def test_secret_long_texts():
+    n, began = secrets.Novelty(), time.perf_counter()
+    for text in ("password=abcdef1 " * 60_000, "aB3" * 350_000, "auth " + "q7Zt9LmXw2Rk8VbN4cJd " * 50_000, "token" + " " * 10**6 + "=abcdefg", "=" * 10**6, "0123456789abcdef" * 65_000):
+        base = secrets.base_spans(text)
+        more = secrets.novel_spans(text, base, n)
+        assert len(secrets.redacted(text, base + more)) <= len(text) + 8
+    assert time.perf_counter() - began < 60
+
+
 def test_pii(spark, rows):
     extra = [(-1, "a@b.c x.y@z..q 1.2.3.4 999.1.1.1 1.2.3.4.5.6.7.8 4111 1111 1111 1111 +1 (555) 123-4567 +12 001.2.3.4"), (-2, None), (-3, ""), (-4, "@" * 50 + " a@b.co@c.de.")]
     some = [*rows, *extra]
@@ -269,6 +338,24 @@ def test_pii(spark, rows):
         assert all(s in got[doc].spans for s in got[doc].base)
 
 
+def test_pii_base_against_plain():
+    r = random.Random(8)
+    for k in range(6000):
+        text = "".join(r.choice(["0123456789.", "0123456789 -().+", "ab.@-_%+ 1", "12. @a+(", "4111 -"][k % 5]) for _ in range(r.randrange(60)))
+        assert sorted(pii.base_spans(text)) == sorted(plain.pii_base(text)), text
+
+
+def test_pii_long_texts():
+    """Runs of a million characters of any kind take time in proportion to their length."""
+    n, began = 10**6, time.perf_counter()
+    runs = ["1" * n, "a" * n + "@", "a@" * (n // 2), "a.b" * (n // 3) + "@", "1." * (n // 2), "+1" * (n // 2), "(1" * (n // 2), "1(" * (n // 2), "x@y@" + "b" * n, "a@b." * (n // 4), "4 " * (n // 2), "a" * n + "@b.co", "+1" + ")" * n, "@" * n, "1" + "(" * n, "1.1.1." + "1" * n]
+    for text in runs:
+        pii.mentions(text, pii.base_spans(text))
+        short = text[: n // 1000] + text[-1000:]
+        assert sorted(pii.base_spans(short)) == sorted(plain.pii_base(short))
+    assert time.perf_counter() - began < 90
+
+
 def test_pii_bootstrap(spark):
     """Numbers in the seeds' context and shape, but failing the fixed rules, are found; others are not."""
     good = ["4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881", "4222 2222 2222 2220"]
@@ -289,6 +376,101 @@ def test_pii_bootstrap_finds_unseen_shapes(spark):
     assert not [i for i in (300, 301, *range(500, 505)) if got[i]] and all(k == "phone" for k, _, _ in got[10])
 
 
+def test_pii_recall_and_hot_keys(spark, monkeypatch):
+    """Planted numbers of unknown shapes in seeds' contexts are found, whatever counts as a hot key; rows without id and copies alike."""
+    r = random.Random(3)
+    number = lambda: f"{r.randrange(100, 999)}/{r.randrange(10**5, 10**6)}"
+    some = [(i, f"please call +49 30 5551{i} now or later") for i in range(100, 900)] + [(1000 + i, f"do call {number()} now") for i in range(100)]
+    some += [(2000 + i, f"order {number()} shipped") for i in range(100)] + [(3000 + i, "order +49 30 5559999 sent") for i in range(20)] + [(None, "do call 555/123456 now"), (None, None), (1000, some[800][1])]
+    want = None
+    for least, heavy in ((1000, 1000), (3, 20), (0, 10**9)):
+        monkeypatch.setattr(common, "LEAST", least)
+        monkeypatch.setattr(common, "HEAVY", heavy)
+        got = sorted(((r.doc_id, [tuple(s) for s in r.spans]) for r in pii.pii_scan(table(spark, some)).collect()), key=str)
+        want = want or got
+        assert got == want and len(got) == len(some)
+    found = {d: [k for k, _, _ in x] for d, x in want if d is not None}
+    assert sum(found[1000 + i] == ["context"] for i in range(100)) >= 95 and not any(found[2000 + i] for i in range(100))
+    assert sorted(str(x) for d, x in want if d is None) == ["[('context', 8, 18)]", "[]"]
+
+
+def test_pii_graph_against_plain(spark):
+    """The pattern - instance graph scored by plain loops."""
+    r = random.Random(4)
+    some = [(i, f"{r.choice('abc')} {r.choice(['+49 30 55510' + str(i % 40 + 10), '555-1234-' + str(i % 9)])} {r.choice('xyz')}") for i in range(200)]
+    got = {x.doc_id: [tuple(s) for s in x.spans if s.kind == "context"] for x in pii.pii_scan(table(spark, some), confident=0.3).collect()}
+    seen = [(d, m) for d, t in some for m in pii.mentions(t, pii.base_spans(t))]
+    edges = {(p, m["instance"]): 0 for _, m in seen for p in m["patterns"]}
+    for _, m in seen:
+        for p in m["patterns"]:
+            edges[p, m["instance"]] |= m["seed"]
+    trust = {i: max(float(s) for (_, j), s in edges.items() if j == i) for _, i in edges}
+    seeds = dict(trust)
+    for _ in range(pii.ROUNDS):
+        good = {}
+        for p in {p for p, _ in edges}:
+            mine = [i for q_, i in edges if q_ == p]
+            c = sum(trust[i] for i in mine) / (len(mine) + 0.25)
+            if c >= 0.3 and len(mine) >= pii.SUPPORT:
+                good[p] = c
+        new = {}
+        for i in trust:
+            miss = [1 - min(good[p], 0.999) for p, j in edges if j == i and p in good]
+            new[i] = 1.0 if seeds[i] else max(trust[i], 1 - math.prod(miss))
+        trust = new
+    want = {d: sorted({("context", m["start"], m["end"]) for e, m in seen if e == d and not m["seed"] and any(p in good for p in m["patterns"])}, key=lambda x: x[1]) for d, _ in some}
+    assert got == want and any(want.values()) and not all(want.values())
+
+
+def test_ftrl_against_plain():
+    """One coordinate at a time, by the published update."""
+    r = np.random.default_rng(1)
+    model = langid.Ftrl(3, 8, 0.5, 1.0, 0.4, 0.1)
+    z, n = np.zeros((3, 8)), np.zeros((3, 8))
+    for _ in range(60):
+        at = r.choice(8, 4, replace=False)
+        x, y = r.normal(size=4), int(r.integers(3))
+        w = np.zeros((3, 8))
+        for c in range(3):
+            for j in range(8):
+                if abs(z[c, j]) > 0.4:
+                    w[c, j] = -(z[c, j] - math.copysign(0.4, z[c, j])) / ((1.0 + math.sqrt(n[c, j])) / 0.5 + 0.1)
+        assert np.allclose(model.weights(np.arange(8)), w)
+        e = [math.exp(sum(w[c, j] * v for j, v in zip(at, x, strict=True))) for c in range(3)]
+        for c in range(3):
+            for j, v in zip(at, x, strict=True):
+                g = (e[c] / sum(e) - (c == y)) * v
+                z[c, j] += g - (math.sqrt(n[c, j] + g * g) - math.sqrt(n[c, j])) / 0.5 * w[c, j]
+                n[c, j] += g * g
+        model.step(at, x, y)
+    assert (model.weights(np.arange(8)) == 0).any()
+
+
+def test_language_sample(spark):
+    """Every language has its share of the sample; with more languages than rows each of the commonest has one."""
+    some = [(i, f"word {i}", f"l{i % 300:03d}") for i in range(3000)] + [(5, "word 5", "l005")] * 500
+    df = spark.createDataFrame(some, "doc_id long, text string, lang string")
+    for rows, langs, each in ((1200, 300, 4), (300, 300, 1), (100, 100, 1)):
+        got = Counter(x[0] for x in langid.sample(df, rows))
+        assert len(got) == langs and set(got.values()) == {each}
+
+
+def test_language_grams_against_plain():
+    """Prediction's segmented sums against one n-gram at a time, on short and very long texts."""
+    r = np.random.default_rng(2)
+    model = langid.Model(["a", "b", "c"], r.normal(size=(3, langid.SLOTS)).astype(np.float32))
+    texts = ["Ab", "", "x", "Hello, wörld!", "été " * 5, "lorem ipsum " * 30_000]
+    lang, score = model.predict(texts)
+    for t, got, p in zip(texts, lang, score, strict=True):
+        ids, share = langid.shares(t)
+        if t:
+            e = langid.softmax(model.weights[:, ids].astype(float) @ share)
+            assert got == "abc"[int(e.argmax())] and abs(p - e.max()) < 1e-4
+        else:
+            assert (got, p) == ("und", 0.0)
+    assert model.confidence(1 / 3) < 1e-9 and abs(model.confidence(1.0) - 1) < 1e-9
+
+
 def test_language_id(spark, real):
     got = langid.language_id(real, keep=("doc_id", "lang")).collect()
     held = [r for r in got if r.held_out]
@@ -319,12 +501,34 @@ def test_quality(spark, real, rows, which):
 def test_quality_cascade(spark):
     prose = words(1, 80)
     junk = " ".join(f"{w}###" for w in prose.split())
-    got = {r.doc_id: r.kept for r in q.quality(table(spark, [(1, prose), (2, junk), (3, "short"), (4, None), (5, " | ".join(prose.split()))])).collect()}
-    assert got == {1: True, 2: False, 3: False, 4: False, 5: True}
+    some = [(1, prose), (2, junk), (3, "short"), (4, None), (5, " | ".join(prose.split())), (6, "12 34 " * 10 + words(2, 10, 99) + " 5 6" * 40), (7, " ".join("the " + w for w in prose.split())), (8, "!! " * 70 + words(3, 60, 3000))]
+    some += [(9, "same thing again and again " + words(4, 60, 3000)), (10, " ".join(f"{i} the the the" for i in range(60)))]
+    got = {r.doc_id: (r.kept, r.rejected_by) for r in q.quality(table(spark, some)).collect()}
+    assert {d for d, (k, _) in got.items() if k} == {1, 5, 7, 9} and got[2][1] == "symbols" and got[3][1] == got[4][1] == "base"
     order = [name for name, _, _ in q.plan(table(spark, [(1, junk)]), q.RULES)]
     assert order[0] == "symbols" and set(order) == set(q.RULES)
 
 
+def test_quality_asks_no_more_than_needed(spark):
+    """A rule is not evaluated for rows that one before it rejects; the count of rules asked says so."""
+    rules = {"long": "n_words > 60", "asked": "CAST(raise_error(concat('asked for ', n_words)) AS INT) = 1"}
+    df = table(spark, [(i, words(i, 80)) for i in range(50)])
+    assert {r.at for r in q.metrics(df).select(q.cascade(rules, ["long", "asked"], q.BASE).alias("at")).collect()} == {1}
+    with pytest.raises(Exception, match="asked for 80"):
+        q.metrics(df).select(q.cascade(rules, ["asked", "long"], q.BASE).alias("at")).collect()
+    rows_ = q.quality(table(spark, [(i, " ".join(x + "###" for x in words(i, 80).split())) for i in range(50)] + [(i, words(i, 80)) for i in range(50, 60)])).collect()
+    assert sum(r.n_asked for r in rows_) == 50 + 10 * len(q.RULES)
+
+
+def test_quality_null_ids_and_repeated_rows(spark):
+    some = [(None, words(1, 80)), (None, words(1, 80)), (None, None), (1, words(1, 80)), (1, words(1, 80)), (1, "short")]
+    got = sorted((str(r.doc_id), r.n_words, r.kept) for r in q.quality(table(spark, some)).collect())
+    assert got == [("1", 1, False), ("1", 80, True), ("1", 80, True), ("None", 0, False), ("None", 80, True), ("None", 80, True)]
+    long = " ".join(f"v{i}" for i in range(300_000))
+    got = q.quality(table(spark, [(1, long), (2, long + " v1 v2 v3")])).collect()
+    assert sorted((r.n_words, r.n_repeat_words, r.kept) for r in got) == [(300_000, 0, True), (300_003, 6, True)]
+
+
 def test_warc(spark):
     big, other = "é" * 600, "y" * 999
     pages = [(1, "u", big), (2, "u", big), (3, None, big), (4, "u\r\nx", other), (5, "u", other), (6, "u", None), (7, "u", ""), (None, "u", big), (3, None, big), (8, "u", "\r\n\r\n" * 400), (9, "u", "z" * 3_000_000)]
@@ -338,13 +542,34 @@ def test_warc(spark):
         top = max(same) if len(raw) >= 1000 and p is not None else p
         want.append((p or 0, len(raw), hashlib.sha1(raw).hexdigest(), "response" if top == p else "revisit", None if top == p else top))
     assert got == sorted(want, key=str)
-    index = {r.page_id: r for r in warc.index_bundles(bundles).collect()}
     data = {r.bundle: bytes(r.data) for r in bundles.collect()}
-    head, payload = warc.fetch(data[index[5].bundle], index[5].offset, index[5].length)
-    assert payload == other.encode() and head["WARC-Record-ID"] == "<urn:page:5>"
+    places = warc.index_bundles(bundles).collect()
+    assert len(places) == len(pages) == sum(r.records for r in bundles.collect())
+    for r in places:  # each record alone, by its frame and its place in the frame
+        head, payload = warc.fetch(data[r.bundle], r.frame, r.start, r.length)
+        assert head["WARC-Record-ID"] == f"<urn:page:{'' if r.page_id is None else r.page_id}>"
+        if head["WARC-Type"] == "response" and r.page_id not in (None, 3):
+            assert payload == next((h or "").encode() for p, _, h in pages if p == r.page_id)
     assert warc.read_bundles(warc.write_bundles(df.limit(0))).count() == 0
 
 
+def test_warc_frames(spark, monkeypatch):
+    """Small records share frames, the footer's table is that of the frames, and a payload on most pages is no hot key."""
+    pages = [(i, f"http://h/{i}", f"page {i} " * (i % 50)) for i in range(400)] + [(1000 + i, "u", "copy" * 300) for i in range(300)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2)
+    monkeypatch.setattr(common, "LEAST", 10)
+    bundles = warc.write_bundles(df, bundle=60_000, frame=8_000).collect()
+    frames = [(b.bundle, p.frame) for b in bundles for p in b.places]
+    assert len(bundles) > 2 and 2 * len(set(frames)) < len(frames) and any(p.start for b in bundles for p in b.places)
+    for b in bundles:
+        table_ = warc.seek_table(bytes(b.data))
+        assert [n for _, _, n in table_] == [max(p.start + p.length for p in b.places if p.frame == f) for f in range(len(table_))]
+        whole = zstandard.ZstdDecompressor().stream_reader(bytes(b.data), read_across_frames=True).read()  # a plain reader skips the footer
+        assert len(whole) == sum(n for _, _, n in table_) and whole.count(b"WARC/1.1\r\n") == b.records
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_bundles(warc.write_bundles(df, bundle=60_000, frame=8_000)).collect()}
+    assert len(got) == 700 and got[1299] == ("response", None) and all(got[i] == ("revisit", 1299) for i in range(1000, 1299)) and all(got[i] == ("response", None) for i in range(400))
+
+
 def plain_urls(urls, rules):
     """Rules asked one by one: the longest wins, then block, then the longer host."""
     out = []
@@ -399,7 +624,7 @@ def test_bpe_equals_library():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(default_path())
-    for codec in (Codec(default_path()), Codec(default_path(), leaf=8), Codec(default_path(), leaf=3)):
+    for codec in (Codec(default_path()), Codec(default_path(), leaf=8, text_leaf=50), Codec(default_path(), leaf=3, text_leaf=7)):
         for text in hard_texts():
             ids = library.encode(text, add_special_tokens=False).ids
             got = codec.encode(text)
@@ -407,10 +632,30 @@ def test_bpe_equals_library():
             assert codec.decode(got) == library.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.skipif(not os.path.isdir("/opt/tokenizers"), reason="no vocabulary files")
+def test_bpe_split_as_tree():
+    """Pieces of halves joined are the pieces of the whole, wherever the text is cut."""
+    r = random.Random(6)
+    codec_ = Codec(default_path(), text_leaf=3)
+    for k in range(3000):
+        text = "".join(r.choice(["  a'", "'lvres tdm", " \n\t\u00a0x", "1 2!?", "é'll 'S  "][k % 5]) for _ in range(r.randrange(1, 60)))
+        assert codec_.split(text) == codec_.pieces(text), text
+        at = r.randrange(len(text) + 1)
+        left, right = codec_.pieces(text[:at]), codec_.pieces(text[at:])
+        assert (codec_.join_pieces(left, right) if left and right else left or right) == codec_.pieces(text), (text, at)
+
+
 @pytest.mark.skipif(not os.path.isdir("/opt/tokenizers"), reason="no vocabulary files")
 def test_bpe(spark, rows):
-    got = {r.doc_id: r for r in bpe(table(spark, [*rows, (-1, None), (-2, "")])).collect()}
-    assert all(got[d].decoded == (t or "") and len(got[d].ids) == 4 * got[d].n_tokens for d, t in [*rows, (-1, None), (-2, "")])
+    """The table's texts as the library encodes them - most are long enough for the tree - with null ids and repeated rows."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(default_path())
+    some = [*rows, (-1, None), (-2, ""), (None, rows[0][1]), (None, rows[0][1]), (-3, rows[0][1]), (-3, "x" * 300_000 + " " * 5000 + rows[1][1])]
+    got = bpe(table(spark, some)).collect()
+    want = sorted((str(d), np.array(library.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes(), t or "") for d, t in some)
+    assert sorted((str(r.doc_id), bytes(r.ids), r.decoded) for r in got) == want and all(len(r.ids) == 4 * r.n_tokens for r in got)
+    assert sum(len(t or "") > TEXT_LEAF for _, t in rows) > 50
 
 
 @pytest.mark.parametrize("operator", [substring_dedup, jaccard_join, secrets.secret_scan, pii.pii_scan, langid.language_id, q.quality, bpe])
