@@ -200,9 +200,12 @@ def train(docs: DataFrame, rows: int = SAMPLE) -> Model:
     w = model.weights(np.arange(SLOTS)) * idf * SCALE
     logits = np.array([w[:, at] @ x for _, at, x in kept]) if kept else np.zeros((0, len(langs)))
     truth = np.array([index[lang] for lang, _, _ in kept], dtype=int)
+    # targets as Platt smooths them: a sample without an error does not call for certainty
+    aim = np.full((len(truth), len(langs)), 1 / (len(truth) + len(langs)))
+    aim[np.arange(len(truth)), truth] += len(truth) / (len(truth) + len(langs))
     best, temperature = np.inf, 1.0
-    for t in np.geomspace(0.1, 5.0, 60) if len(kept) else []:
-        loss = -np.log(np.maximum(softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean()
+    for t in np.geomspace(0.1, 50.0, 100) if len(kept) else []:
+        loss = -(aim * np.log(np.maximum(softmax(logits / t), 1e-12))).sum(axis=1).mean()
         if loss < best - 1e-9:
             best, temperature = loss, t
     return Model(langs, (w / temperature).astype(np.float32))
