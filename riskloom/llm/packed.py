@@ -78,12 +78,12 @@ def buckets(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[dict[int,
 
 
 def flags(doc: np.ndarray, pos: np.ndarray, n: int, h: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Marked places on their way to their documents: packed rows by document bucket, places as differences.  h: with a
-    64-bit hash of what was found there, so that texts which share an id can tell whose mark it is."""
+    """Marked places on their way to their documents: packed rows by document bucket, places as differences.  h: with 32
+    bits of a hash of what was found there, so that texts which share an id can tell whose mark it is."""
     bucket = bucket_of(K.mix(doc.astype(np.uint64)), n)
     order = np.lexsort((pos, doc, bucket))
     bucket, doc, pos = bucket[order], doc[order], pos[order].astype(np.int64)
-    h = None if h is None else h[order].astype(np.uint64)
+    h = None if h is None else h[order].astype(np.uint32)
     edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, dtype=np.int64)
     rows = [(int(bucket[a]), FLAG, None if h is None else K.planes(h[a:e]), K.pack_ids(doc[a:e]), K.pack_ids(pos[a:e])) for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
     for lo in range(0, len(rows), 256):
@@ -92,7 +92,7 @@ def flags(doc: np.ndarray, pos: np.ndarray, n: int, h: np.ndarray | None = None)
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, places, hashes) of a partition of marks sorted by bucket: a row for each document; without hashes each place once."""
-    for kinds in buckets(batches, True):
+    for kinds in buckets(batches, False):
         h, doc, pos = kinds[FLAG]
         order = np.lexsort((pos, doc) if h is None else (h, pos, doc))
         doc, pos = doc[order], pos[order].astype(np.uint32)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import packed as P
 from . import textkernel as K
-from .common import left_join_known, partitions, tune
+from .common import partitions, tune
 
 WIDTH = 20
 PERIOD = 13
@@ -181,10 +181,10 @@ def removal(width: int):
                 total, gone = len(words), 0
                 if cell and total >= width:
                     h = K.windows(K.words_of(b.column(1).slice(i, 1)).h, width, 2)
-                    at, found = P.places(cell), K.unplanes(hashes, np.uint64)
+                    at, found = P.places(cell), K.unplanes(hashes, np.uint32)
                     here = at < len(h)
                     at, found = at[here], found[here]
-                    at = at[h[at] == found]
+                    at = at[h[at].astype(np.uint32) == found]
                     edge = np.zeros(total + 1, dtype=np.int64)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + width, -1)
@@ -211,4 +211,8 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     near = docs.where(F.col("doc_id").isNotNull()).join(hits.hint("merge"), "doc_id", "left").select("doc_id", "text", "places")
     met = P.exchange(near.mapInArrow(K.lean(candidates(width, n)), P.SCHEMA), parts)
     marks = P.by_document(met.mapInArrow(K.lean(later(parts)), P.SCHEMA), parts)
-    return left_join_known(docs, marks, "doc_id").select("doc_id", "text", "places", "hashes").mapInArrow(K.lean(removal(width)), "doc_id long, n_words long, n_removed long, kept_text string")
+    # both joins deal the texts alike, so that they travel once; rows without an id stay where they are
+    known = docs.where(F.col("doc_id").isNotNull()).join(marks.hint("merge"), "doc_id", "left").select("doc_id", "text", "places", "hashes")
+    rest = docs.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("binary").alias("places"), F.lit(None).cast("binary").alias("hashes"))
+    schema = "doc_id long, n_words long, n_removed long, kept_text string"
+    return known.mapInArrow(K.lean(removal(width)), schema).unionAll(rest.mapInArrow(K.lean(removal(width)), schema))
