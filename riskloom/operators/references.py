@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut
+from .graph import ancestors
+from .ordered import last_value, ranked
+
 #: A string literal that may name something.
 LITERAL = r'"([A-Za-z_$][A-Za-z0-9_$]{2,63})"'
 
@@ -59,7 +63,7 @@ def types_fit(arguments: Column, parameters: Column) -> Column:
         (F.coalesce(a, F.lit("")) == "")
         | (F.coalesce(p, F.lit("")) == "")
         | (a == p)
-        | p.rlike("^([A-Z]|[A-Z][a-z]+T|T[A-Z][a-z]+)$")
+        | p.rlike(r"^[A-Z]\w*$")
         | (a.isin(NUMERIC) & p.isin(NUMERIC))
         | (a.isin(STRINGS) & p.isin(STRINGS))
     )
@@ -75,17 +79,55 @@ def supertypes(declared: DataFrame, overwrite: bool = False) -> DataFrame:
 
 def visibility(members: DataFrame) -> DataFrame:
     """Members of a class body with the visibility that the last marker before them set (public at first)."""
-    by = Window.partitionBy("class").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return members.withColumn("visibility", F.coalesce(F.last("marker", ignorenulls=True).over(by), F.lit("public")))
+    out = last_value(members, ["class"], [F.col("pos")], "marker", "visibility")
+    return out.withColumn("visibility", F.coalesce("visibility", F.lit("public")))
+
+
+def attach_pending(items: DataFrame) -> DataFrame:
+    """Members of a body with the marks right before them.  items: body, pos, kind (mark, method or other), name; marks hold for the
+    next item only, if that is a method.  Gaps and islands: marks between two items share the number of items before them."""
+    each = ranked(items.withColumn("item", (F.col("kind") != "mark").cast("int")), ["body"], [F.col("pos")], "place", {"items": "item"})
+    each = each.withColumn("island", F.col("items") - F.col("item"))
+    marks = each.where("kind = 'mark'").groupBy("body", "island").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("marks"))
+    out = each.where("kind <> 'mark'").join(marks, ["body", "island"], "left")
+    return out.select("body", "pos", "kind", "name", F.when(F.col("kind") == "method", F.coalesce("marks", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")).alias("marks"))
+
+
+def route_prefixes(blocks: DataFrame, rounds: int = 10) -> DataFrame:
+    """block, route: the segments of a block and of all blocks around it, outermost first.  blocks: block, parent (null at the top), segment.
+    Prefixes double their reach each round, so a nesting of depth d takes log2(d) joins; what
+    is nested in a circle, or beyond 2 ** rounds, is an error."""
+    now = cut(blocks.select("block", "parent", F.coalesce("segment", F.lit("")).alias("route")))
+    for _ in range(rounds):
+        if now.where("parent IS NOT NULL").isEmpty():
+            return now.select("block", "route")
+        up = now.select(F.col("block").alias("parent"), F.col("parent").alias("above"), F.col("route").alias("before"))
+        now = cut(now.join(up, "parent", "left").select("block", F.col("above").alias("parent"), F.concat(F.coalesce("before", F.lit("")), "route").alias("route")))
+    raise RuntimeError("blocks are nested in a circle or too deep")
+
+
+def only_form(rows: DataFrame, keys: list[str], form: str) -> DataFrame:
+    """The value that all rows of a key have in a column, null if they differ or some have none."""
+    same = (F.min(form) == F.max(form)) & (F.count(form) == F.count("*"))
+    return rows.groupBy(*keys).agg(F.when(same, F.max(form)).alias(form))
+
+
+def visible_macros(includes: DataFrame, macros: DataFrame) -> DataFrame:
+    """file, name: macros of a file and of all files it includes, however indirectly.  includes: file, included; macros: file, name."""
+    reached = ancestors(includes.select(F.col("file").alias("type"), F.col("included").alias("parent")))
+    theirs = reached.select(F.col("type").alias("file"), F.col("ancestor").alias("in")).join(macros.select(F.col("file").alias("in"), "name"), "in")
+    return macros.select("file", "name").unionAll(theirs.select("file", "name")).distinct()
 
 
 def callback_calls(calls: DataFrame, methods: DataFrame, edges: DataFrame) -> DataFrame:
     """Calls of a parameter's name, as calls of what callers hand in at that place: caller_seq, call_seq, callee.
     calls: call_seq, caller_seq, callee, symbols; methods: method_seq, parameter_names; edges: call_seq, method_seq (who a call reaches)."""
     places = methods.select(F.col("method_seq").alias("caller_seq"), F.posexplode("parameter_names").alias("pos", "callee"))
-    inner = calls.join(places, ["caller_seq", "callee"]).select("caller_seq", "call_seq", "pos")
-    handed = edges.join(calls.select("call_seq", F.posexplode("symbols").alias("pos", "symbol")), "call_seq").select(F.col("method_seq").alias("caller_seq"), "pos", "symbol")
-    return inner.join(handed, ["caller_seq", "pos"]).where("symbol <> ''").select("caller_seq", "call_seq", F.col("symbol").alias("callee")).distinct()
+    inner = calls.join(places.distinct(), ["caller_seq", "callee"]).select("caller_seq", "call_seq", "pos")
+    named = calls.select("call_seq", F.posexplode("symbols").alias("pos", "symbol")).where("symbol <> ''")
+    # each symbol once for a place, before calls of that place meet it
+    handed = edges.join(named, "call_seq").select(F.col("method_seq").alias("caller_seq"), "pos", "symbol").distinct()
+    return inner.join(handed, ["caller_seq", "pos"]).select("caller_seq", "call_seq", F.col("symbol").alias("callee")).distinct()
 
 
 def reflective_files(names: DataFrame, literals: DataFrame, shown: int = 2) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import last_value, ranked
+
 RETAINED = 2000
 RUNNING = ["queued", "ingesting", "scanning", "indexing", "verifying", "translating", "reporting", "paused"]
 
@@ -33,12 +35,12 @@ def progress(events: DataFrame) -> DataFrame:
 
 
 def sessions(beats: DataFrame, idle: int) -> DataFrame:
-    """page, session (from 1), beats, seconds: runs of heartbeats with no gap beyond idle seconds."""
-    by = Window.partitionBy("page").orderBy("ts", "seq")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(by)
-    new = F.when(gap <= idle * 1_000_000, 0).otherwise(1)
-    each = beats.select("page", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "ts", "seq", new.alias("new"))
-    each = each.withColumn("session", F.sum("new").over(Window.partitionBy("page").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)))
+    """page, session (from 1), beats, seconds: runs of heartbeats with no gap beyond idle seconds.  A page of any size is spread over tasks."""
+    each = beats.select("page", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "seq")
+    order = [F.col("us"), F.col("seq")]
+    each = last_value(each, ["page"], order, "us", "before", ahead=True)
+    each = each.withColumn("new", F.when(F.col("us") - F.col("before") <= idle * 1_000_000, 0).otherwise(1))
+    each = ranked(each, ["page"], order, "place", {"session": "new"})
     return each.groupBy("page", "session").agg(F.count("*").alias("beats"), F.round((F.max("us") - F.min("us")) / 1e6).cast("long").alias("seconds"))
 
 
@@ -73,16 +75,13 @@ def whole_lines(stream: DataFrame) -> DataFrame:
 
 
 def tag_by_scan(lines: DataFrame, scans: DataFrame) -> DataFrame:
-    """Each line (ts) with the scan whose interval [start, end) holds it: an as-of join by a running last value over both tables, dealt by day so
-    that no task holds all lines; scans are repeated for each day they touch."""
+    """Each line (ts) with the scan begun last before it, if it lies in that scan's interval [start, end): an as-of join by a running last
+    value over both tables, which is spread over ranges of time."""
     us = lambda c: F.unix_micros(c)
-    day = lambda c: F.date_trunc("day", c)
-    s = scans.select("scan_id", "start", "end", F.explode(F.sequence(day(F.col("start")), day(F.col("end")), F.expr("interval 1 day"))).alias("day"))
-    s = s.select(F.greatest(us(F.col("start")), us(F.col("day"))).alias("us"), "day", F.struct("scan_id", "end").alias("scan"), F.lit(0).alias("kind"))
-    l_ = lines.withColumn("us", us(F.col("ts"))).withColumn("day", day(F.col("ts"))).withColumn("kind", F.lit(1))
-    by = Window.partitionBy("day").orderBy("us", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = l_.unionByName(s, allowMissingColumns=True).withColumn("at", F.last("scan", ignorenulls=True).over(by)).where("kind = 1")
-    return both.withColumn("scan_id", F.when(F.col("ts") < F.col("at.end"), F.col("at.scan_id"))).select(*lines.columns, "scan_id")
+    s = scans.select(us(F.col("start")).alias("_us"), F.struct("scan_id", "end").alias("_scan"), F.lit(0).alias("_line"))
+    l_ = lines.withColumn("_us", us(F.col("ts"))).withColumn("_line", F.lit(1))
+    both = last_value(l_.unionByName(s, allowMissingColumns=True), [], [F.col("_us"), F.col("_line"), F.col("_scan.end"), F.col("_scan.scan_id")], "_scan", "_at").where("_line = 1")
+    return both.withColumn("scan_id", F.when(F.col("ts") < F.col("_at.end"), F.col("_at.scan_id"))).select(*lines.columns, "scan_id")
 
 
 def deadline(last_beat: float, now: float, closing: bool, idle: float = 20.0, grace: float = 8.0) -> float:
