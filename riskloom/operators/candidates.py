@@ -9,21 +9,81 @@ from ..functions import globs
 from ..functions import scalars as X
 
 
-def normalize(raw: DataFrame, root: str = "") -> DataFrame:
-    """Raw engine hits (check_id, path, start, end, extra) as candidates; the source is the sink unless a trace says otherwise."""
-    path = F.when(F.col("path").startswith(root.rstrip("/") + "/"), F.substring(F.col("path"), len(root.rstrip("/")) + 2, 10**6)).otherwise(F.col("path")) if root else F.col("path")
-    traced = F.expr("try_variant_get(try_parse_json(extra.dataflow_trace), '$.taint_source[1][0].start.line', 'int')")
-    return raw.select(
+def normalize(raw: DataFrame, root: str = "", files: DataFrame | None = None, details: DataFrame | None = None) -> DataFrame:
+    """Raw engine hits (check_id, path, start, end, extra) as candidates.
+
+    The source is where a trace's first location says, file and line, else the sink; a trace of any other shape (no list behind the tag, no
+    path or line) counts as none.  files (file, content binary, is_cpp) gives the matched bytes as code_snippet - blank where the file, the
+    offsets or the bytes are not there - and drops hits of C++ rules in headers that are no C++.  details (rule_id, file, line, message,
+    rule_confidence, static_analysis) overrides what the rule says."""
+    trace = F.try_parse_json(F.col("extra.dataflow_trace").cast("string"))
+    at = lambda what, kind: F.try_variant_get(trace, f"$.taint_source[1][0].{what}", kind)
+    line, place = at("start.line", "int"), F.coalesce(at("path", "string"), F.lit(""))
+    has = {f.name for f in raw.schema["extra"].dataType["metadata"].dataType.fields}
+    meta = lambda name, other: F.coalesce(F.col(f"extra.metadata.{name}"), other) if name in has else other
+    none = F.lit(None).cast("string")
+    span = lambda side, name: F.col(f"{side}.{name}") if side in raw.columns and name in {f.name for f in raw.schema[side].dataType.fields} else F.lit(None).cast("int")
+    sink = relative(F.col("path"), root)
+    out = raw.select(
         F.col("check_id").alias("rule_id"),
-        F.col("extra.message").alias("message"),
+        X.strip(F.coalesce("extra.message", F.lit(""))).alias("message"),
         F.col("extra.severity").alias("severity"),
         F.col("extra.metadata.cwe").alias("cwe"),
-        path.alias("source_file"),
-        F.coalesce(traced, F.col("start.line")).alias("source_line"),
-        path.alias("sink_file"),
+        meta("owasp", F.lit(None).cast("array<string>")).alias("owasp"),
+        F.when(line.isNotNull(), relative(place, root)).otherwise(sink).alias("source_file"),
+        F.coalesce(line, F.col("start.line")).alias("source_line"),
+        sink.alias("sink_file"),
         F.col("start.line").alias("sink_line"),
-        F.coalesce(traced == F.col("start.line"), F.lit(True)).alias("is_intraprocedural"),
+        span("start", "col").alias("sink_column"),
+        span("end", "line").alias("sink_end_line"),
+        span("end", "col").alias("sink_end_column"),
+        F.when(line.isNotNull(), relative(place, root) == sink).otherwise(True).alias("is_intraprocedural"),
+        meta("verification", F.lit("dataflow")).alias("verification_mode"),
+        meta("confidence", none).alias("rule_confidence"),
+        meta("remediation", F.lit("")).alias("rule_remediation"),
+        meta("language", F.lit("")).alias("_language"),
+        span("start", "offset").alias("_from"),
+        span("end", "offset").alias("_to"),
     )
+    if files is not None:
+        own = files.select(F.col("file").alias("sink_file"), "content", "is_cpp")
+        out = out.join(own, "sink_file", "left")
+        header = (F.col("_language") == "cpp") & F.lower("sink_file").endswith(".h")
+        out = out.where(~header | F.coalesce("is_cpp", F.lit(False))).withColumn("code_snippet", snippet(F.col("content"), F.col("_from"), F.col("_to"))).drop("content", "is_cpp")
+    else:
+        out = out.withColumn("code_snippet", F.lit(""))
+    out = out.drop("_language", "_from", "_to").withColumn("static_analysis", none)
+    if details is not None:
+        said = details.select("rule_id", F.col("file").alias("sink_file"), F.col("line").alias("sink_line"), *[F.col(c).alias(f"_{c}") for c in DETAILS])
+        out = out.join(said, ["rule_id", "sink_file", "sink_line"], "left")
+        for c in DETAILS:
+            out = out.withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+    return out.withColumn("dedup_key", dedup_key())
+
+
+DETAILS = ("message", "rule_confidence", "static_analysis")
+
+
+def relative(path: Column, root: str) -> Column:
+    """A path below the root as seen from there; others as they are."""
+    base = root.rstrip("/") + "/"
+    return F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1))).otherwise(path) if root else path
+
+
+def snippet(content: Column, start: Column, end: Column) -> Column:
+    """The text of a file's bytes from start to end (offsets from 0); bytes that are no UTF-8 are replaced, what is not there is blank."""
+    cut = F.substr(content, start + 1, F.greatest(end - start, F.lit(0)))
+    return F.coalesce(F.make_valid_utf8(cut.cast("string")), F.lit(""))
+
+
+def first_candidates(df: DataFrame, n: int, seq: str = "seq") -> DataFrame:
+    """The first n candidates in their order."""
+    return df.orderBy(seq).limit(n)
+
+
+def with_candidates(findings: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Findings of reports and candidates without verdicts in one table; columns that one side lacks are null."""
+    return findings.unionByName(candidates, allowMissingColumns=True)
 
 
 def dedup_key() -> Column:

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut
 from .ordered import ranked
 
 # Limits of an archive.
@@ -43,8 +44,9 @@ def strip_common_root(entries: DataFrame, archive: str) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """archive, entry_seq, path, size, content of the zip files under a path: each archive is unpacked by one task, entry by entry, and never
-    beyond its limits; escaping and unnamed entries are left out."""
+    """archive, entry_seq, path, size, content, stripped, refused of the zip files under a path: each archive is unpacked by one task, entry by
+    entry, and never beyond its limits; escaping and unnamed entries are left out.  An archive beyond the limits, or one that is no zip
+    file, gives one row that says so in refused (null for entries) and has nothing else."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
 
     def run(batches: Iterator) -> Iterator:
@@ -52,16 +54,26 @@ def read_archives(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, ma
 
         for pdf in batches:
             for name, content in zip(pdf.path, pdf.content, strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    infos = [i for i in z.infolist() if i.filename and not i.is_dir()]
-                    if len(infos) > max_entries or sum(i.file_size for i in infos) > max_bytes:
-                        continue
-                    for seq, info in enumerate(infos):
-                        with z.open(info) as f:
-                            yield pd.DataFrame([(name, seq, info.filename, info.file_size, f.read(info.file_size + 1)[: info.file_size])], columns=["archive", "entry_seq", "path", "size", "content"])
-
-    out = files.mapInPandas(run, "archive string, entry_seq int, path string, size long, content binary")
-    return strip_common_root(out.where(~escapes()), "archive")
+                said, columns = None, ["archive", "entry_seq", "path", "size", "content", "refused"]
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        infos = [i for i in z.infolist() if i.filename and not i.is_dir()]
+                        if len(infos) > max_entries:
+                            said = f"{len(infos)} entries, {max_entries} are allowed"
+                        elif (size := sum(i.file_size for i in infos)) > max_bytes:
+                            said = f"{size} bytes, {max_bytes} are allowed"
+                        for seq, info in enumerate([] if said else infos):
+                            with z.open(info) as f:
+                                yield pd.DataFrame([(name, seq, info.filename, info.file_size, f.read(info.file_size + 1)[: info.file_size], None)], columns=columns)
+                except (zipfile.BadZipFile, EOFError, NotImplementedError, RuntimeError) as e:
+                    said = f"not readable: {e}"
+                if said:
+                    yield pd.DataFrame([(name, None, None, None, None, said)], columns=columns)
+
+    # unpacked once, for the entries and for what was refused
+    out = cut(files.mapInPandas(run, "archive string, entry_seq int, path string, size long, content binary, refused string"), "archives")
+    read = strip_common_root(out.where("refused IS NULL").where(~escapes()), "archive")
+    return read.unionByName(out.where("refused IS NOT NULL"), allowMissingColumns=True)
 
 
 def read_reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -70,6 +82,15 @@ def read_reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return raw.select("report_id", F.explode(F.from_json("value", f"findings array<struct<{schema}>>")["findings"]).alias("f")).select("report_id", "f.*")
 
 
+def read_candidates(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Candidates of JSON files (an array in each); files that are missing, unreadable or no array give nothing."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where):
+        return spark.createDataFrame([], schema)
+    raw = spark.read.option("wholetext", True).text(path)
+    return raw.select(F.explode(F.from_json("value", f"array<struct<{schema}>>")).alias("c")).where("c IS NOT NULL").select("c.*")
+
+
 def write_report(findings: DataFrame, summary: DataFrame, path: str, project: str) -> None:
     """report.json parts: one JSON object a finding, and the summary with the project's name beside it."""
     findings.write.mode("overwrite").json(f"{path}/findings")

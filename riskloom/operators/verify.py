@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..functions.storage import cut
 
 FINDING = "reachable string, sanitized boolean, confidence int, reasoning string, exploit_scenario string, remediation string"
 ATTEMPTS = 4
@@ -36,30 +39,65 @@ def parse_replies(df: DataFrame, reply: str = "reply") -> DataFrame:
     return df.withColumn("finding", F.when(parsed["reachable"].isNotNull(), parsed).otherwise(failed))
 
 
-def ask(requests_: DataFrame, provider: Callable[[], Callable[[str], str]], concurrency: int = 5, attempts: int = ATTEMPTS) -> DataFrame:
-    """requests_ with a reply column.  provider makes a chat function in each task.  A failing call is tried again; after a call has failed for
-    good the rest of its task stays unasked (null reply).  The tasks, as many as the concurrency, don't share that latch: at most one
-    exhausted call for each."""
+# Replies of a provider that may be gone at the next attempt, and the ladder of waits.
+TRANSIENT = (429, 500, 502, 503, 504, 529)
+BASE_WAIT, MOST_WAIT = 2.0, 30.0
+
+
+def waits(attempts: int, base: float = BASE_WAIT, most: float = MOST_WAIT) -> list[float]:
+    """Seconds before each attempt: none before the first, then base, doubling, at most most."""
+    return [0.0, *(min(most, base * 2.0**i) for i in range(attempts - 1))]
+
+
+def ask(requests_: DataFrame, provider: Callable[[], Callable[[str], str]], concurrency: int = 5, attempts: int = ATTEMPTS, base_wait: float = BASE_WAIT, wave: int = 1000) -> DataFrame:
+    """requests_ with a reply column.  provider makes a chat function in each task.
+
+    A call that loses its connection, or is answered with a status of TRANSIENT (the exception's ``status``), is tried again after a wait
+    (its ``retry_after``, if it has one); any other error leaves a null reply at once.  A call that fails to the last attempt halts
+    everything: its task asks no more, and of the requests, which are asked in waves of ``wave`` rows, no later wave is begun."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests_.schema.fields)
+    tasks = max(1, min(concurrency, 15))
 
     def run(batches: Iterator) -> Iterator:
         chat, halted = provider(), False
         for pdf in batches:
-            replies = []
+            replies, stopped = [], []
             for text in pdf["prompt"]:
-                reply = None
-                for _ in range(0 if halted else attempts):
+                reply, after = None, None
+                for wait in [] if halted else waits(attempts, base_wait):
+                    time.sleep(min(MOST_WAIT, wait if after is None else after))
                     try:
                         reply = chat(text)
                         break
-                    except ConnectionError:
-                        continue
+                    except Exception as e:
+                        status, after = getattr(e, "status", None), getattr(e, "retry_after", None)
+                        if not isinstance(e, ConnectionError | TimeoutError) and status not in TRANSIENT:
+                            break
                 else:
                     halted = True
                 replies.append(reply)
-            yield pdf.assign(reply=replies)
+                stopped.append(halted)
+            yield pdf.assign(reply=replies, _halted=stopped)
+
+    asked = cut(requests_.withColumn("_wave", F.floor(F.monotonically_increasing_id() % (1 << 33) / max(1, wave // tasks))), "requests")
+    out, halted = [], False
+    for i in range(int((asked.agg(F.max("_wave")).collect()[0][0] or 0)) + 1):
+        some = asked.where(F.col("_wave") == i).drop("_wave")
+        if halted:
+            out.append(some.withColumn("reply", F.lit(None).cast("string")))
+            continue
+        done = cut(some.repartition(tasks).mapInPandas(run, f"{schema}, reply string, _halted boolean"), "replies")
+        halted = not done.where("_halted").isEmpty()
+        out.append(done.drop("_halted"))
+    return functools.reduce(DataFrame.unionAll, out)
+
+
+PROSE = ["reasoning", "exploit_scenario", "remediation"]
+
 
-    return requests_.repartition(max(1, min(concurrency, 15))).mapInPandas(run, f"{schema}, reply string")
+def finding_language(finding: str = "finding") -> Column:
+    """One language for a finding's free texts together, so that a word of one can't outvote a paragraph of another."""
+    return X.language(F.concat_ws(" ", *[F.coalesce(F.col(f"{finding}.{c}"), F.lit("")) for c in PROSE]))
 
 
 def needs_translation(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -77,7 +77,7 @@ def _calls(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {_CALLS} SELECT m.method_seq, count(*) AS n, sum(c.call_seq)::BIGINT AS call_sum FROM methods m JOIN calls c ON c.callee = m.name AND (m.arity = -1 OR c.arity = m.arity) WHERE c.caller_seq IS NOT NULL GROUP BY m.method_seq")
 def callers(spark, sf_dir):
-    return G.callers(_methods(spark, sf_dir), _calls(spark, sf_dir)).groupBy("method_seq").agg(F.count("*").alias("n"), F.sum("call_seq").alias("call_sum"))
+    return G.caller_totals(_methods(spark, sf_dir), _calls(spark, sf_dir))
 
 
 _TYPES = """e AS (SELECT DISTINCT * FROM (SELECT 'part' || p_partkey AS type, p_brand AS parent FROM part UNION ALL SELECT p_brand, p_type FROM part UNION ALL SELECT p_type, 'size' || p_size % 4 FROM part
@@ -106,7 +106,7 @@ best AS (SELECT sink, node, min(depth) AS depth FROM r GROUP BY sink, node)"""
 def trace_fk(spark, sf_dir):
     sinks = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sink"), F.concat(F.lit("p:"), "p_partkey").alias("node"))
     entries = B.table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c:"), "c_custkey").alias("node"))
-    return G.trace_to_entries(sinks, B.trade_edges(spark, sf_dir), entries, 3).select("sink", "entry", "depth")
+    return G.trace_to_entries(sinks, B.trade_edges(spark, sf_dir), entries, 3, paths=False)
 
 
 _EVENTS = """nodes AS (SELECT user_id, event_type, ts, event_id, user_id || '#' || event_type || '#' || hour(ts) AS node FROM events),
@@ -117,15 +117,15 @@ sinks AS (SELECT DISTINCT node AS sink, node FROM nodes WHERE event_type = 'erro
 def _event_trace(spark, sf_dir) -> DataFrame:
     nodes = B.event_nodes(spark, sf_dir)
     sinks = nodes.where("event_type = 'error'").select(F.col("node").alias("sink"), "node").distinct()
-    return G.trace_to_entries(sinks, B.event_edges(spark, sf_dir), nodes.where("event_type = 'signup'").select("node").distinct(), 6)
+    return G.trace_to_entries(sinks, B.event_edges(spark, sf_dir), nodes.where("event_type = 'signup'").select("node").distinct(), 20, paths=False)
 
 
-@query(f"WITH RECURSIVE {_EVENTS}, {_SEARCH.format(depth=6)} SELECT b.sink, b.node AS entry, b.depth FROM best b JOIN entries n ON n.node = b.node")
+@query(f"WITH RECURSIVE {_EVENTS}, {_SEARCH.format(depth=20)} SELECT b.sink, b.node AS entry, b.depth FROM best b JOIN entries n ON n.node = b.node")
 def trace_events(spark, sf_dir):
-    return _event_trace(spark, sf_dir).select("sink", "entry", "depth")
+    return _event_trace(spark, sf_dir)
 
 
-@query(f"WITH RECURSIVE {_EVENTS}, {_SEARCH.format(depth=6)}, f AS (SELECT b.sink, b.node AS entry, b.depth, row_number() OVER (PARTITION BY b.sink ORDER BY b.depth, b.node) AS place FROM best b JOIN entries n ON n.node = b.node) SELECT * FROM f WHERE place <= 4")
+@query(f"WITH RECURSIVE {_EVENTS}, {_SEARCH.format(depth=20)}, f AS (SELECT b.sink, b.node AS entry, b.depth, row_number() OVER (PARTITION BY b.sink ORDER BY b.depth, b.node) AS place FROM best b JOIN entries n ON n.node = b.node) SELECT * FROM f WHERE place <= 4")
 def top_chains(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("sink").orderBy("depth", "entry"))
     return _event_trace(spark, sf_dir).select("sink", "entry", "depth", place.alias("place")).where("place <= 4")
@@ -320,7 +320,7 @@ def common_root(spark, sf_dir):
 def log_since(spark, sf_dir):
     log = B.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("scan_id"), F.col("event_type").alias("text"))
     per = log.select("scan_id").distinct().join(S.since(log, 500).groupBy("scan_id").agg(F.count("*").alias("fresh")), "scan_id", "left")
-    return per.select("scan_id", F.coalesce("fresh", F.lit(0)).alias("fresh")).join(F.broadcast(S.mark(log)), how="inner")
+    return per.select("scan_id", F.coalesce("fresh", F.lit(0)).alias("fresh"), S.mark(log).scalar().alias("mark"))
 
 
 @query("SELECT user_id AS scan_id, arg_max(event_type, (ts, event_id)) AS stage, count(*) AS done FROM events GROUP BY user_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cvss, globs
 from ..functions import scalars as X
+from ..functions.storage import cut
 from ..operators import analytics as A
 from ..operators import candidates as C
 from ..operators.ordered import ranked
@@ -171,7 +172,7 @@ def file_clusters(spark, sf_dir):
 
 @query(f"WITH {CLUSTERS} SELECT c.*, CASE WHEN s.yes > 0 THEN 'this file' ELSE 'whole rule' END AS scope FROM clusters c JOIN stats s ON s.rule = c.rule WHERE c.yes = 0 AND c.no > 0")
 def noise_clusters(spark, sf_dir):
-    return A.noise_clusters(findings(spark, sf_dir))
+    return A.noise_clusters(cut(findings(spark, sf_dir), "findings"))
 
 
 @query(f"""WITH {FINDINGS} SELECT count(*) AS total, count(*) FILTER (WHERE verdict = 'yes') AS reachable, count(*) FILTER (WHERE verdict = 'uncertain') AS uncertain,

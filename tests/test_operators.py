@@ -1,10 +1,12 @@
 import json
 import os
+import tempfile
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import analytics, candidates, context, frontends, graph, ingest, references, rules, validators, verify
+from riskloom.operators import analytics, candidates, context, frontends, graph, ingest, references, reports, rules, typed, validators, verify
 from riskloom.sources import fixtures
 
 
@@ -137,8 +139,12 @@ def test_validators(spark):
     assert validators.dangerous_file_operation({"callee": "chmod", "arguments": ["p", "0777"]}) and not validators.dangerous_file_operation({"callee": "chmod", "arguments": ["p", "0755"]})
     assert not validators.standard_function_call({"code": "#define gets(x) 0\nint f() { gets(a); }", "offset": 28, "callee": "gets"})
     assert validators.hardcoded_secret({"code": 'k = "s3"; ', "offset": 10, "expression": "k"}) and not validators.hardcoded_secret({"code": "", "offset": 0, "expression": "k"})
-    df = spark.createDataFrame([(["gets-always-unsafe"],), (["nobody"],), ([],)], "validators array<string>")
-    assert sorted(map(len, (r.validators for r in validators.validate(df).collect()))) == [0, 1]
+    dangerous = lambda name, *args, **more: validators.dangerous_file_operation({"callee": name, "arguments": list(args), **more})
+    assert dangerous("tmpnam") and dangerous("fopen", '"/var/tmp/x"', '"r+"') and dangerous("fopen", '"c:\\\\TEMP\\\\x"', 'L"wb"') and not dangerous("fopen", '"/tmp/x"', '"r"') and not dangerous("fopen", '"/etc/x"', '"w"')
+    assert dangerous("fopen", "name", '"w"', code="name = tmpnam(0); f = fopen(name, m);", offset=22) and not dangerous("fopen", "name", '"w"', code="name = safe(0); ", offset=16)
+    assert dangerous("open", "p", "O_CREAT|O_RDWR", "0x1FF") and dangerous("chmod", "p", "511") and not dangerous("open", "p", "O_RDONLY", "0777") and not dangerous("chmod", "p", "mode")
+    chain = "".join(f"v{i} = v{i - 1}; " for i in range(1, 60))
+    assert validators._value("v59", len("v0 = NULL; " + chain), "v0 = NULL; " + chain) == "NULL" and validators._value("a", 30, "a = b; b = a; a = b; ") == ""
 
 
 def test_ingest(spark, tmp_path):
@@ -148,7 +154,10 @@ def test_ingest(spark, tmp_path):
                 z.writestr(e, e)
     got = sorted((os.path.basename(r.archive), r.stripped, bytes(r.content).decode()) for r in ingest.read_archives(spark, str(tmp_path)).collect())
     assert got == [("a.zip", "d/y.txt", "top/d/y.txt"), ("a.zip", "x.txt", "top/x.txt"), ("b.zip", "p/x", "p/x"), ("b.zip", "q/y", "q/y"), ("c.zip", "only", "only")]
-    assert {os.path.basename(r.archive) for r in ingest.read_archives(spark, str(tmp_path), max_entries=1).collect()} == {"c.zip"}
+    (tmp_path / "d.zip").write_text("no archive")
+    few = {(os.path.basename(r.archive), r.path, (r.refused or "").split(":")[0]) for r in ingest.read_archives(spark, str(tmp_path), max_entries=1).collect()}
+    assert few == {("a.zip", None, "2 entries, 1 are allowed"), ("b.zip", None, "4 entries, 1 are allowed"), ("c.zip", "only", ""), ("d.zip", None, "not readable")}
+    assert {r.refused for r in ingest.read_archives(spark, str(tmp_path), max_bytes=3).collect()} >= {"17 bytes, 3 are allowed"}
 
 
 def test_reports(spark, tmp_path):
@@ -164,26 +173,51 @@ def test_reports(spark, tmp_path):
 def test_verify(spark):
     asked = spark.createDataFrame([(i, f"q{i}") for i in range(6)], "n int, prompt string")
 
+    class Busy(Exception):
+        status, retry_after = 503, 0.0
+
     def flaky():
         seen = {}
 
         def chat(text):
             seen[text] = seen.get(text, 0) + 1
-            if seen[text] < 2:
-                raise ConnectionError
+            if seen[text] == 1:
+                raise Busy
+            if seen[text] == 2:
+                raise TimeoutError
             return '{"reachable": "yes"}'
 
         return chat
 
-    assert {r.reply for r in verify.ask(asked, flaky, 1).collect()} == {'{"reachable": "yes"}'}
+    assert {r.reply for r in verify.ask(asked, flaky, 1, base_wait=0.0).collect()} == {'{"reachable": "yes"}'}
 
-    def dead():
+    def picky():
         def chat(text):
-            raise ConnectionError
+            if text == "q3":
+                raise ValueError("no such thing")
+            return text
 
         return chat
 
-    assert [r.reply for r in verify.ask(asked, dead, 1).collect()] == [None] * 6
+    assert {r.n: r.reply for r in verify.ask(asked, picky, 2, base_wait=0.0).collect()} == {i: None if i == 3 else f"q{i}" for i in range(6)}
+
+    def dead(log):
+        def provider():
+            def chat(text):
+                with open(log, "a") as f:
+                    f.write(text + "\n")
+                raise ConnectionError
+
+            return chat
+
+        return provider
+
+    with tempfile.TemporaryDirectory() as d:
+        log = os.path.join(d, "log")
+        got = verify.ask(asked.coalesce(1), dead(log), 1, attempts=3, base_wait=0.0, wave=2)
+        assert [r.reply for r in got.collect()] == [None] * 6
+        assert open(log).read().split() == ["q0"] * 3  # one call is exhausted, nothing else is asked
+    assert verify.waits(6) == [0.0, 2.0, 4.0, 8.0, 16.0, 30.0]
     parsed = verify.parse_replies(spark.createDataFrame([('```json\n{"reachable": "no", "confidence": 5}\n```',), ("nonsense",), (None,)], "reply string")).collect()
     assert [r.finding.reachable for r in parsed] == ["no", "uncertain", "uncertain"] and "verifier_failed" in parsed[1].finding.reasoning
     ok = spark.createDataFrame([("a", "漏洞"), ("a", ""), ("a", "a")], "o string, t string").select(verify.valid_translation(F.col("o"), F.col("t"), "zh")).collect()
@@ -217,3 +251,117 @@ def test_ranked_over_ranges(spark):
         for r in mine:
             running += r.v or 0
             assert r.total == running
+
+
+def test_last_value_over_ranges(spark):
+    """Running last values: within and across ranges, with gaps, null groups, rows before only."""
+    from riskloom.operators.ordered import last_value
+
+    rows = [("hot", i, i if i % 7 == 0 else None) for i in range(200)] + [(None, i, None) for i in range(3)] + [("one", 7, 2)]
+    df = spark.createDataFrame(rows, "g string, o int, v int").repartition(3)
+    for ahead in (False, True):
+        got = {(r.g, r.o): r.last for r in last_value(df, ["g"], [F.col("o")], "v", "last", ahead=ahead).collect()}
+        for g in ("hot", None, "one"):
+            last = None
+            for _, o, v in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
+                seen = last
+                last = v if v is not None else last
+                assert got[g, o] == (seen if ahead else last)
+
+
+def test_trace_hints(spark):
+    """A hinted entry is searched beyond and is its own entry only if nothing reaches it; paths take the smallest of equal ways."""
+    e = edges(spark, [("h", "s"), ("a", "h"), ("p", "a"), ("p", "b"), ("b", "h"), ("q", "lone"), ("x", "y")])
+    entries = spark.createDataFrame([("h", False), ("p", True), ("lone", False), ("y", True), ("y", False)], "node string, definitive boolean")
+    sinks = spark.createDataFrame([(x, x) for x in ("s", "h", "lone", "y")], "sink string, node string")
+    got = {(r.sink, r.entry): (r.depth, r.path) for r in graph.trace_to_entries(sinks, e, entries).collect()}
+    assert got == {("s", "h"): (1, ["s", "h"]), ("h", "p"): (2, ["h", "a", "p"]), ("lone", "lone"): (0, ["lone"]), ("y", "y"): (0, ["y"])}
+    bare = graph.trace_to_entries(sinks, e, entries, paths=False)
+    assert bare.columns == ["sink", "entry", "depth"] and bare.count() == 4
+
+
+def test_leaves_cap(spark):
+    e = edges(spark, [(f"c{i}", "s") for i in range(5)] + [(f"d{i}", f"c{i}") for i in range(5)])
+    start = spark.createDataFrame([("s",)], "node string")
+    assert {r.leaf for r in graph.leaves(start, e).collect()} == {f"d{i}" for i in range(5)}
+    assert graph.leaves(start, e, cap=4).count() == 0  # six nodes seen after one level: it stops there, before the leaves
+
+
+def test_typed_callers(spark):
+    """Same-named classes, interface dispatch, library receivers, overrides both ways, implied self in its file, unknown types."""
+    m = [(1, "a/A", "run", 1, "A", "a.A", ["int"]), (2, "b/A", "run", 1, "A", "b.A", ["int"]), (3, "c/I", "run", 1, "I", "c.I", []), (4, "c/J", "run", 1, "J", "c.J", []), (5, "x", "run", -1, "", "", []), (6, "d/T", "run", 1, "T", "d.T", [])]
+    methods = spark.createDataFrame([*m, (9, "a/A", "main", 0, "A", "a.A", []), (10, "c/J", "go", 0, "J", "c.J", [])], "method_seq int, file string, name string, arity int, owner string, qualified string, parameter_types array<string>")
+    bare = spark.createDataFrame([("J", "I"), ("T", "Runnable")], "type string, ancestor string")
+    full = spark.createDataFrame([("c.J", "c.I"), ("d.T", "?Runnable")], "type string, ancestor string")
+    c = [(100, 9, "a/A", False, False, "", "b.A", []), (101, 9, "a/A", False, False, "", "c.I", []), (102, 9, "a/A", False, False, "", "?Runnable", []), (103, 9, "a/A", False, False, "", "~J", []), (104, 10, "c/J", True, False, "", "", []), (105, 9, "b/A", False, True, "", "", []), (106, 9, "a/A", False, False, "", "", ["string"]), (107, 9, "a/A", False, False, "const A &", "", [])]
+    calls = spark.createDataFrame([(q, "run", 1, k, f, s, i, to, tq, a) for q, k, f, s, i, to, tq, a in c], "call_seq int, callee string, arity int, caller_seq int, file string, receiver_is_self boolean, implicit_self boolean, target_owner string, target_qualified string, argument_types array<string>")
+    got = {q: set() for q in range(100, 108)}
+    for r in typed.callers(methods, calls, bare, full).collect():
+        got[r.call_seq].add(r.method_seq)
+    assert got == {100: {2, 5}, 101: {3, 4, 5}, 102: {6, 5}, 103: {3, 4, 5}, 104: {3, 4, 5}, 105: {1, 2, 5}, 106: {3, 4, 5, 6}, 107: {1, 2, 5}}
+
+
+def test_declarations(spark):
+    d = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("b", "y"), ("c", None), ("c", "x"), ("d", None)], "k string, form string")
+    assert {r.k: r.form for r in references.only_form(d, ["k"], "form").collect()} == {"a": "x", "b": None, "c": None, "d": None}
+    inc = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "gone")], "file string, included string")
+    mac = spark.createDataFrame([("c", "M"), ("d", "N")], "file string, name string")
+    assert {(r.file, r.name) for r in references.visible_macros(inc, mac).collect()} == {("a", "M"), ("b", "M"), ("c", "M"), ("d", "N")}
+    items = spark.createDataFrame([("A", 1, "mark", "@x"), ("A", 2, "mark", "@y"), ("A", 3, "method", "f"), ("A", 4, "mark", "@z"), ("A", 5, "other", "o"), ("A", 6, "method", "g")], "body string, pos int, kind string, name string")
+    assert {r.name: r.marks for r in references.attach_pending(items).collect()} == {"f": ["@x", "@y"], "o": [], "g": []}
+    blocks = spark.createDataFrame([(1, None, "/a"), (2, 1, "/b"), (3, 2, None), (4, 3, "/c"), (5, 99, "/z")], "block int, parent int, segment string")
+    assert {r.block: r.route for r in references.route_prefixes(blocks).collect()} == {1: "/a", 2: "/a/b", 3: "/a/b", 4: "/a/b/c", 5: "/z"}
+    with pytest.raises(RuntimeError):
+        references.route_prefixes(spark.createDataFrame([(1, 2, "/a"), (2, 1, "/b")], "block int, parent int, segment string"))
+
+
+def test_taint_order(spark):
+    """Only what a variable was last given before the sink counts."""
+    code = """class D {
+ void f(HttpServletRequest request) {
+  st.executeQuery("SELECT " + early);
+  String early = request.getParameter("q");
+  String q = request.getParameter("q");
+  st.executeQuery("SELECT " + q);
+  q = encode(q);
+  st.executeQuery("SELECT " + q);
+ }
+}
+"""
+    hits = {r.line for r in rules.match(rules.call_sites(spark.createDataFrame([("D.java", code)], "path string, text string"))).collect() if r.rule_id == "wrapped-request-param-into-sql"}
+    assert hits == {6}
+
+
+def test_bad_files_cost_their_own_rows(spark):
+    deep = [("good.py", "def f(a):\n    g(a)\n"), ("sum.py", "x = " + " + ".join(["f(1)"] * 4000)), ("chain.py", "x = a" + ".b" * 3000 + "()"), ("nested.py", "x = " + "(" * 3000 + ")" * 3000), ("null.py", "a\0b"), ("none.py", None)]
+    rows = frontends.extract(spark.createDataFrame(deep, "path string, text string")).groupBy("file").count().collect()
+    assert {r.file: r["count"] for r in rows} == {"good.py": 2, "sum.py": 4000, "chain.py": 1}
+
+
+def test_snippets_and_sources(spark, tmp_path):
+    df = spark.createDataFrame([("äbc".encode(), 0, 3), ("äbc".encode(), 1, 3), (b"abc", 1, 99), (b"abc", 9, 12), (b"abc", None, 2), (None, 0, 1), (b"abc", 2, 1)], "c binary, a int, e int")
+    assert [r[0] for r in df.select(candidates.snippet(F.col("c"), F.col("a"), F.col("e"))).collect()] == ["äb", "\ufffdb", "bc", "", "", "", ""]
+    (tmp_path / "c.json").write_text('[{"rule_id": "a"}, {"rule_id": "b"}]')
+    (tmp_path / "bad.json").write_text("[{broken")
+    (tmp_path / "object.json").write_text('{"x": 1}')
+    got = lambda name: sorted(r.rule_id for r in ingest.read_candidates(spark, str(tmp_path / name), "rule_id string").collect() if r.rule_id)
+    assert got("c.json") == ["a", "b"] and got("bad.json") == got("missing.json") == got("object.json") == []
+
+
+def test_report_documents(spark, tmp_path):
+    finding = "struct<reachable:string,reasoning:string,reasoning_zh:string,confidence:int>"
+    rows = [("r", "high", "SQL", "k1", "s\\a", 3, "s\\a", 3, "AV:N", 7.5, ["CWE-89"], ["m <1>", "m2"], "yes", ("yes", "why & <how>", "为什么", 80)), ("r", "low", "XSS", "k2", "b", 1, "c/b", 2, "AV:L", 2.0, ["CWE-79"], ["m"], "unverified", None), ("q", "high", "SQL", "k3", "z", 1, "z", 1, "AV:N", 7.5, [], ["m"], "no", ("no", "", None, None))]
+    df = spark.createDataFrame(rows, f"report_id string, risk_level string, vuln_type string, dedup_key string, source_file string, source_line int, sink_file string, sink_line int, cvss_vector string, cvss_score double, cwe array<string>, messages array<string>, verdict string, finding {finding}")
+    reports.write_documents(reports.markdown(df, "zh", spark.createDataFrame([("r",), ("empty",)], "report_id string")), str(tmp_path / "md"))
+    text = lambda kind, report: "".join(p.read_text() for p in sorted((tmp_path / kind / f"report_id={report}").glob("part-*")))
+    assert text("md", "empty").startswith("# 发现: empty\n\n| 总数 |") and text("md", "empty").rstrip().endswith("没有发现。")
+    md = text("md", "r")
+    assert md.index("## 高 (1)") < md.index("### 1. SQL - `s/a:3`") < md.index("- **理由** 为什么") < md.index("## 低 (1)") < md.index("- **来源** `b:1`")
+    reports.write_documents(reports.html(df), str(tmp_path / "html"))
+    page = text("html", "r")
+    assert page.startswith("<!DOCTYPE html>") and page.rstrip().endswith("</body></html>") and page.count("<details") == 2
+    assert 'data-zh="为什么" data-en="why &amp; &lt;how&gt;">why &amp; &lt;how&gt;</p>' in page and "m &lt;1&gt; / m2" in page
+    summary = df.groupBy("report_id").agg(F.count("*").alias("total"))
+    reports.write_documents(reports.report_json(df, summary), str(tmp_path / "json"))
+    made = json.loads(text("json", "r"))
+    assert made["project"] == "r" and made["summary"] == {"total": 2} and [f["dedup_key"] for f in made["findings"]] == ["k1", "k2"]

@@ -6,12 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from riskloom.plans import extra, more
+from riskloom.plans import code, extra, more
 from riskloom.plans import queries as own
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = {**own.QUERIES, **more.QUERIES, **extra.QUERIES}
-ORACLES = {**own.ORACLES, **more.ORACLES, **extra.ORACLES}
+QUERIES = {**own.QUERIES, **more.QUERIES, **extra.QUERIES, **code.QUERIES}
+ORACLES = {**own.ORACLES, **more.ORACLES, **extra.ORACLES, **code.ORACLES}
 
 
 def norm(v):
