@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut
 from ..operators import candidates as C
+from ..operators import frontends as E
 from ..operators import graph as G
 from ..operators import references as R
 from ..operators import reports as P
+from ..operators import rules as Rules
 from ..operators import typed as T
 from ..operators import verify as L
 from ..sources import bridge as B
@@ -245,3 +248,46 @@ SELECT report_id, section, n AS place, '<details class="' || risk_level || '" da
   || CASE WHEN reachable IS NOT NULL THEN '<p class="remediation" data-zh="' || {_ESC.format("fix")} || '" data-en="' || {_ESC.format("fix")} || '">' || {_ESC.format("fix")} || '</p>' ELSE '' END || '</details>' AS text FROM x""")
 def report_cards(spark, sf_dir):
     return P.html_cards(_reported(spark, sf_dir)).select("report_id", "section", "place", "text")
+
+
+# --- source code: what the front ends find in texts made of the parts, against the parts themselves ------------------
+
+_CODE = """p AS (SELECT p_partkey AS p, p_partkey % 2 = 0 AS java, CASE WHEN p_partkey % 2 = 0 THEN 'shop/C' || p_partkey || '.java' ELSE 'web/p' || p_partkey || '.py' END AS file FROM part),
+cm AS (SELECT p, java, 'm' AS kind, file, 'm' || p % 97 AS name, 2 AS arity, CASE WHEN java THEN 7 WHEN p % 5 = 0 THEN 2 ELSE 3 END AS start_line, CASE WHEN java THEN 9 ELSE 4 END AS end_line,
+  CASE WHEN p % 5 = 0 THEN CASE WHEN java THEN '@GetMapping' ELSE '@route /y' || p END END AS entry_reason FROM p
+  UNION ALL SELECT p, java, 'n', file, 'n' || p % 89, 1, CASE WHEN java THEN 10 ELSE 5 END, CASE WHEN java THEN 13 ELSE 7 END, NULL FROM p)"""
+
+
+@query(f"WITH {_CODE} SELECT CASE WHEN java THEN 'java' ELSE 'python' END AS lang, file, name, arity, CASE WHEN java THEN 'C' ELSE 'P' END || p AS owner, start_line, end_line, entry_reason, entry_reason IS NOT NULL AS definitive FROM cm")
+def code_index(spark, sf_dir):
+    return E.linked_entries(E.extract(B.source_files(spark, sf_dir))).select("lang", "file", "name", "arity", "owner", "start_line", "end_line", "entry_reason", "definitive")
+
+
+@query(f"WITH {_CODE} SELECT file, CASE WHEN java THEN 12 ELSE 7 END AS line, CASE WHEN java THEN 'spel-injection-inline-parser' ELSE 'sql-string-built-from-nonconstant-segment' END AS rule_id, 'WARNING' AS severity, 'dataflow' AS mode FROM p")
+def code_rules(spark, sf_dir):
+    return Rules.match(Rules.call_sites(B.source_files(spark, sf_dir))).select("file", "line", "rule_id", "severity", "mode")
+
+
+@query(f"""WITH RECURSIVE {_CODE},
+up(p, a) AS (SELECT p, p // 2 FROM p WHERE java UNION SELECT up.p, q.p // 2 FROM up JOIN p q ON q.p = up.a AND q.java),
+ed AS (SELECT a.p || 'm' AS caller, b.p || 'n' AS callee FROM p a JOIN p b ON a.p % 89 = b.p % 89 AND a.java = b.java WHERE a.p = b.p OR (a.java AND (EXISTS (SELECT 1 FROM up WHERE up.p = a.p AND up.a = b.p) OR EXISTS (SELECT 1 FROM up WHERE up.p = b.p AND up.a = a.p)))
+  UNION SELECT a.p || 'n', b.p || 'm' FROM p a JOIN p b ON a.p * 7 % 97 = b.p % 97 WHERE NOT a.java OR NOT b.java OR a.p * 7 % 97 = b.p OR EXISTS (SELECT 1 FROM up WHERE up.p = b.p AND up.a = a.p * 7 % 97)),
+r(sink, node, depth) AS (SELECT p, p || 'n', 0 FROM p UNION SELECT r.sink, ed.caller, r.depth + 1 FROM r JOIN ed ON ed.callee = r.node WHERE r.depth < 3 AND r.node NOT IN (SELECT p || 'm' FROM p WHERE p % 5 = 0)),
+best AS (SELECT sink, node, min(depth) AS depth FROM r GROUP BY sink, node)
+SELECT s.file AS sink, e.file || ':' || e.name AS entry, b.depth FROM best b JOIN p s ON s.p = b.sink JOIN cm e ON e.p || e.kind = b.node AND e.entry_reason IS NOT NULL""")
+def code_trace(spark, sf_dir):
+    """Rule hits with the entries that reach the methods around them, three calls away at most; methods that agree in file, owner, name,
+    arity and parameter types are one node."""
+    files = B.source_files(spark, sf_dir)
+    rows = cut(E.extract(files), "rows")
+    key = T.node_key("file", "owner", "name", "arity", "parameter_types")
+    methods = cut(E.linked_entries(rows).withColumn("node", key), "methods")
+    hits = Rules.match(Rules.call_sites(files)).select("file", "line", "rule_id")
+    spans = methods.select("file", F.col("start_line").alias("start"), F.col("end_line").alias("end"), F.col("node").alias("name"), F.col("id").alias("seq"))
+    points = hits.select(F.struct("file", "line", "rule_id").alias("point"), "file", "line")
+    sinks = G.enclosing(points, spans).where("name IS NOT NULL").select(F.col("point.file").alias("sink"), F.col("name").alias("node"))
+    named = methods.select("id", "node")
+    edges = E.call_edges(rows).join(named.select(F.col("id").alias("caller"), F.col("node").alias("from")), "caller").join(named.select(F.col("id").alias("callee"), F.col("node").alias("to")), "callee")
+    found = G.trace_to_entries(sinks, edges.select(F.col("from").alias("caller"), F.col("to").alias("callee")), methods.where("entry_reason IS NOT NULL").select("node", "definitive"), 3, paths=False)
+    shown = methods.groupBy(F.col("node").alias("entry")).agg(F.min(F.concat_ws(":", "file", "name")).alias("shown"))
+    return found.join(shown, "entry").select("sink", F.col("shown").alias("entry"), "depth")

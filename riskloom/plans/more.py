@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import context as K
-from ..operators import frontends as E
 from ..operators import graph as G
 from ..operators import ingest as I
 from ..operators import references as R
-from ..operators import rules as Rules
 from ..operators import validators as V
 from ..operators import verify as L
 from ..sources import bridge as B
-from ..sources import fixtures
 from ..streaming import runlog as S
 from .queries import FINDINGS, HITS, LINES, MERGED, findings, merged
 
@@ -348,32 +345,6 @@ def persisted_findings(spark, sf_dir):
     return findings(spark, sf_dir).select("report_id", F.col("dedup_key").alias("candidate_id"), X.verdict().alias("reachable"))
 
 
-# --- source code (rows only: front ends are no SQL) ------------------------------------------------------------
-
-
-@query()
-def code_index(spark, sf_dir):
-    return E.linked_entries(E.extract(fixtures.files(spark))).select("lang", "file", "name", "arity", "owner", "start_line", "end_line", "entry_reason", "definitive")
-
-
-@query()
-def code_rules(spark, sf_dir):
-    return Rules.match(Rules.call_sites(fixtures.files(spark))).select("file", "line", "rule_id", "severity", "mode")
-
-
-@query()
-def code_trace(spark, sf_dir):
-    """Rule hits with the entries that reach the methods around them."""
-    rows = E.extract(fixtures.files(spark))
-    methods = E.linked_entries(rows)
-    hits = Rules.match(Rules.call_sites(fixtures.files(spark))).select("file", "line", "rule_id")
-    spans = methods.select("file", F.col("start_line").alias("start"), F.col("end_line").alias("end"), F.col("id").alias("name"), F.col("id").alias("seq"))
-    points = hits.select(F.struct("file", "line", "rule_id").alias("point"), "file", "line")
-    sinks = G.enclosing(points, spans).where("name IS NOT NULL").select(F.concat_ws(":", "point.file", "point.line", "point.rule_id").alias("sink"), F.col("name").alias("node"))
-    found = G.trace_to_entries(sinks, E.call_edges(rows), methods.where("entry_reason IS NOT NULL").select(F.col("id").alias("node")))
-    return found.select("sink", "entry", "depth")
-
-
 @query()
 def verify_stub(spark, sf_dir):
     """Requests, a cache for a third of them, and a stand-in model for the rest."""

@@ -56,13 +56,29 @@ _VERDICT_COUNTS = "count(*) AS hits, count(*) FILTER (WHERE solo) AS solo_hits,
 STATS = f"{PER_RULE},\nstats AS (SELECT rule, {_VERDICT_COUNTS}, count(DISTINCT report_id) AS reports FROM per_rule GROUP BY rule)"
 CLUSTERS = f"{STATS},\nclusters AS (SELECT rule, sink_file AS file, {_VERDICT_COUNTS} FROM per_rule WHERE sink_file <> '' GROUP BY rule, sink_file)"
 _VECTORS = ", ".join(f"('{c}', '{v}')" for c, v in cvss.CWE_VECTORS.items())
-VECTORS = f"vec(cwe, vector) AS (VALUES {_VECTORS}),\nvecs AS (SELECT cwe, vector, {cvss.base_score_sql('vector')} AS score FROM vec)"
+# The score again, by joined weight tables (the published metric values) instead of the library's formula.
+BANDS = "bands(name, low) AS (VALUES ('critical', 9.0), ('high', 7.0), ('medium', 4.0), ('low', 0.1))"
+VECTORS = f"""vec(cwe, vector) AS (VALUES {_VECTORS}), dflt(vector) AS (VALUES ('{cvss.DEFAULT_VECTOR}')), {BANDS},
+wt(metric, letter, same, changed) AS (VALUES ('AV', 'N', 0.85, 0.85), ('AV', 'A', 0.62, 0.62), ('AV', 'L', 0.55, 0.55), ('AV', 'P', 0.2, 0.2), ('AC', 'L', 0.77, 0.77), ('AC', 'H', 0.44, 0.44), ('PR', 'N', 0.85, 0.85), ('PR', 'L', 0.62, 0.68),
+  ('PR', 'H', 0.27, 0.5), ('UI', 'N', 0.85, 0.85), ('UI', 'R', 0.62, 0.62), ('C', 'H', 0.56, 0.56), ('C', 'L', 0.22, 0.22), ('C', 'N', 0, 0), ('I', 'H', 0.56, 0.56), ('I', 'L', 0.22, 0.22), ('I', 'N', 0, 0), ('A', 'H', 0.56, 0.56), ('A', 'L', 0.22, 0.22), ('A', 'N', 0, 0)),
+metrics AS (SELECT vector, split_part(x, ':', 1) AS metric, split_part(x, ':', 2) AS letter FROM (SELECT vector, unnest(string_split(vector, '/')) AS x FROM (SELECT vector FROM vec UNION SELECT vector FROM dflt))),
+scope AS (SELECT vector, bool_or(metric = 'S' AND letter = 'C') AS wide FROM metrics GROUP BY vector),
+weighed AS (SELECT x.vector, s.wide, x.metric, CAST(CASE WHEN s.wide THEN w.changed ELSE w.same END AS DOUBLE) AS w FROM metrics x JOIN scope s ON s.vector = x.vector JOIN wt w ON w.metric = x.metric AND w.letter = x.letter),
+lost AS (SELECT vector, wide, 8.22 * product(w) FILTER (WHERE metric IN ('AV', 'AC', 'PR', 'UI')) AS ease, 1 - product(1 - w) FILTER (WHERE metric IN ('C', 'I', 'A')) AS iss FROM weighed GROUP BY vector, wide),
+felt AS (SELECT vector, wide, ease, CASE WHEN wide THEN 7.52 * (iss - 0.029) - 3.25 * pow(iss - 0.02, 15) ELSE 6.42 * iss END AS impact FROM lost),
+cv AS (SELECT vector, CASE WHEN impact <= 0 THEN 0 ELSE ceil(round(least((impact + ease) * CASE WHEN wide THEN 1.08 ELSE 1 END, 10) * 10, 4)) / 10 END AS score FROM felt),
+vecs AS (SELECT v.cwe, v.vector, cv.score FROM vec v JOIN cv ON cv.vector = v.vector)"""
+
+
+def _band(score: str) -> str:
+    return f"coalesce((SELECT arg_max(b.name, b.low) FROM bands b WHERE b.low <= {score}), 'none')"
+
+
 SCORED = f"""{FINDINGS},
 {VECTORS},
 best AS (SELECT f.dedup_key, arg_max(v.vector, (v.score, v.vector)) AS vector, max(v.score) AS score FROM (SELECT dedup_key, unnest(ids) AS id FROM finding) f JOIN vecs v ON v.cwe = f.id GROUP BY f.dedup_key),
-dflt(vector) AS (VALUES ('{cvss.DEFAULT_VECTOR}')),
-with_score AS (SELECT f.*, coalesce(b.vector, d.vector) AS cvss_vector, coalesce(b.score, {cvss.base_score_sql("d.vector")}) AS cvss_score FROM finding f LEFT JOIN best b ON b.dedup_key = f.dedup_key, dflt d),
-banded AS (SELECT *, {cvss.band_sql("cvss_score")} AS band FROM with_score),
+with_score AS (SELECT f.*, coalesce(b.vector, d.vector) AS cvss_vector, coalesce(b.score, d.score) AS cvss_score FROM finding f LEFT JOIN best b ON b.dedup_key = f.dedup_key, (SELECT cv.* FROM dflt JOIN cv ON cv.vector = dflt.vector) d),
+banded AS (SELECT *, {_band("cvss_score")} AS band FROM with_score),
 scored AS (SELECT *, CASE WHEN verdict = 'no' THEN 'low' WHEN verdict = 'yes' THEN band WHEN band = 'critical' THEN 'high' WHEN band = 'high' THEN 'medium' ELSE 'low' END AS risk_level,
            CASE WHEN len(cwe) = 0 THEN 'Uncategorized' WHEN regexp_extract(cwe[1], '\\(''([^'']+)''\\)\\s*$', 1) <> '' THEN regexp_extract(cwe[1], '\\(''([^'']+)''\\)\\s*$', 1) ELSE cwe[1] END AS vuln_type FROM banded)"""
 
@@ -204,7 +220,7 @@ def facet_cube(spark, sf_dir):
     return scored(spark, sf_dir).cube("vuln_type", "risk_level").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {VECTORS} SELECT cwe, vector, printf('%.1f', score) AS score, {cvss.band_sql('score')} AS band FROM vecs")
+@query(f"WITH {VECTORS} SELECT cwe, vector, printf('%.1f', score) AS score, {_band('score')} AS band FROM vecs")
 def cvss_table(spark, sf_dir):
     return cvss.vectors(spark).select("cwe", "vector", F.format_string("%.1f", "score").alias("score"), cvss.band("score").alias("band"))
 

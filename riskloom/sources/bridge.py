@@ -101,3 +101,40 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     by = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return event_nodes(spark, sf_dir).select(F.col("node").alias("caller"), F.lead("node").over(by).alias("callee")).where("callee IS NOT NULL").distinct()
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, text: a class in Java or Python for each part, with a method that may be an entry, a helper that it calls on itself, calls of
+    other classes' methods - in Java on a variable of such a class, which is imported by name, with its package, or not at all - and a sink."""
+    p = F.col("p_partkey")
+    name = lambda kind, n: F.concat(F.lit(kind), n.cast("string"))
+    m, n, other = name("m", p % 97), name("n", p % 89), name("m", p * 7 % 97)
+    entry, t, up = p % 5 == 0, p * 7 % 97, F.floor(p / 2)
+    package = lambda x: F.concat(F.lit("b"), F.floor(x / 2) % 2)
+    java = [
+        F.concat(F.lit("package "), package(p), F.lit(";")),
+        F.concat(F.lit("import "), package(up), F.lit("."), name("C", up), F.lit(";")),
+        F.when(p % 3 == 0, F.lit("import b0.*; \nimport b1.*;")).when(p % 3 == 1, F.concat(F.lit("import "), package(t), F.lit("."), name("C", t), F.lit(";\n"))).otherwise("\n"),
+        F.concat(F.lit("public class "), name("C", p), F.lit(" extends "), name("C", up), F.lit(" {")),
+        F.when(entry, F.concat(F.lit('  @GetMapping("/x'), p, F.lit('")'))).otherwise("  // inner"),
+        F.concat(F.lit("  public String "), m, F.lit("(String a, int b) {")),
+        F.concat(F.lit("    return this."), n, F.lit("(a);")),
+        F.lit("  }"),
+        F.concat(F.lit("  String "), n, F.lit("(String a) {")),
+        F.concat(F.lit("    final "), name("C", t), F.lit(" c = null; c."), other, F.lit("(a, 1);")),
+        F.lit("    return p.parseExpression(a);"),
+        F.lit("  }"),
+        F.lit("}"),
+    ]
+    python = [
+        F.concat(F.lit("class "), name("P", p), F.lit(":")),
+        F.when(entry, F.concat(F.lit('    @app.route("/y'), p, F.lit('")'))).otherwise("    # inner"),
+        F.concat(F.lit("    def "), m, F.lit("(self, a, b):")),
+        F.concat(F.lit("        return self."), n, F.lit("(a)")),
+        F.concat(F.lit("    def "), n, F.lit("(self, a):")),
+        F.concat(F.lit("        other."), other, F.lit("(a, 1)")),
+        F.lit('        return db.execute("select " + a)'),
+    ]
+    text = F.when(p % 2 == 0, F.concat_ws("\n", *java)).otherwise(F.concat_ws("\n", *python))
+    path = F.when(p % 2 == 0, F.concat(F.lit("shop/C"), p, F.lit(".java"))).otherwise(F.concat(F.lit("web/p"), p, F.lit(".py")))
+    return table(spark, sf_dir, "part").select(path.alias("path"), text.alias("text"))

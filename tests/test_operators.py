@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import analytics, candidates, context, frontends, graph, ingest, references, reports, rules, typed, validators, verify
+from riskloom.operators import analytics, candidates, context, frontends, graph, ingest, javatypes, references, reports, rules, typed, validators, verify
 from riskloom.sources import fixtures
 
 
@@ -365,3 +365,56 @@ def test_report_documents(spark, tmp_path):
     reports.write_documents(reports.report_json(df, summary), str(tmp_path / "json"))
     made = json.loads(text("json", "r"))
     assert made["project"] == "r" and made["summary"] == {"total": 2} and [f["dedup_key"] for f in made["findings"]] == ["k1", "k2"]
+
+
+def test_java_types(spark):
+    """A spelled type by its file's own types, single imports, package, on-demand imports; bare, foreign, nested and primitive names."""
+    types = spark.createDataFrame([("a/A", "a", "A", "a.A"), ("a/A", "a", "In", "a.A.In"), ("a/B", "a", "B", "a.B"), ("b/B", "b", "B", "b.B"), ("c/D", "c", "D", "c.D"), ("d/D", "d", "D", "d.D"), ("N", "", "N", "N")], "file string, package string, name string, qualified string")
+    imports = spark.createDataFrame([("a/A", "b", "B", 0), ("a/A", "lib", "List", 1), ("a/B", "d", "*", 1), ("a/B", "c", "*", 0), ("a/A", "x.y", "*", 2)], "file string, package string, name string, seq int")
+    want = {
+        ("a/A", "In"): "a.A.In", ("a/A", "B"): "b.B", ("a/A", "List<Map<String, B>>[]"): "?List", ("a/A", "D"): "~D", ("a/A", "Nowhere"): "?Nowhere", ("a/A", "int"): "", ("a/A", "final @Nullable B..."): "b.B",
+        ("a/B", "D"): "c.D", ("a/B", "A.In"): "a.A.In", ("a/B", "c.D"): "c.D", ("a/B", "java.util.Map.Entry"): "?Entry", ("a/B", "A.Gone"): "?Gone", ("N", "N"): "N", ("N", "B"): "~B", ("a/B", ""): "",
+    }
+    got = javatypes.resolve(spark.createDataFrame(list(want), "file string, text string"), types, imports).collect()
+    assert {(r.file, r.text): r.meaning for r in got} == want and len(got) == len(want)
+
+
+def test_java_receivers(spark):
+    code = """package p.q;
+import lib.Thing;
+class Outer extends Base {
+  private Thing field;
+  static class Inner { void deep() { go(); } }
+  void run(Param<X> given, final Other... more) {
+    Local here = make();
+    var made = new Fresh(1);
+    here.a(); made.b(); given.c(); field.d(); this.field.e(); Util.f(); unknown.g(); LOGGER.h();
+    new Fresh(2).i(); ((Cast) given).j(); here.chain().k(); more.l(); this.m(); n();
+    for (Item item : given) item.o();
+    Later here2 = null;
+  }
+  void other() { here.p(); field.r(); }
+}
+"""
+    rows = frontends.rows_of("p/Outer.java", code)
+    calls = {r["name"]: r for r in rows if r["kind"] == "call"}
+    assert {n: calls[n]["spelled"] for n in "abcdefghijklmnopr"} == {"a": "Local", "b": "Fresh", "c": "Param<X>", "d": "Thing", "e": "Thing", "f": "Util", "g": "", "h": "", "i": "Fresh", "j": "Cast", "k": "", "l": "Other...", "m": "", "n": "", "o": "Item", "p": "", "r": "Thing"}
+    assert calls["n"]["implicit_self"] and calls["go"]["implicit_self"] and not calls["Fresh"]["implicit_self"] and calls["m"]["receiver_is_self"]
+    assert {r["name"]: r["qualified"] for r in rows if r["kind"] in ("type", "method")} == {"Outer": "p.q.Outer", "Inner": "p.q.Outer.Inner", "deep": "p.q.Outer.Inner", "run": "p.q.Outer", "other": "p.q.Outer"}
+    assert [(r["package"], r["name"]) for r in rows if r["kind"] == "import"] == [("lib", "Thing")]
+
+
+def test_java_dispatch(spark):
+    """Same-named classes in two packages, an interface's implementers, overrides through this, library receivers."""
+    files = {
+        "a/Svc.java": "package a;\npublic class Svc { public void work(int x) { } }\n",
+        "b/Svc.java": "package b;\npublic class Svc { public void work(int x) { } }\n",
+        "b/Face.java": "package b;\npublic interface Face { void act(int x); }\n",
+        "b/Impl.java": "package b;\npublic class Impl implements Face { public void act(int x) { this.hook(); } public void hook() { } }\n",
+        "b/Sub.java": "package b;\npublic class Sub extends Impl { public void hook() { } }\n",
+        "c/Main.java": "package c;\nimport b.*;\nimport a.Svc;\npublic class Main {\n  void main() {\n    Svc s = null; s.work(1);\n    Face f = null; f.act(2);\n    java.util.List l = null; l.hook();\n  }\n}\n",
+    }
+    rows = frontends.extract(spark.createDataFrame(sorted(files.items()), "path string, text string")).cache()
+    name = {r.id: f"{r.file}:{r.name}" for r in rows.where("kind = 'method'").collect()}
+    got = {(name[r.caller], name[r.callee]) for r in frontends.call_edges(rows).collect()}
+    assert got == {("c/Main.java:main", "a/Svc.java:work"), ("c/Main.java:main", "b/Impl.java:act"), ("b/Impl.java:act", "b/Impl.java:hook"), ("b/Impl.java:act", "b/Sub.java:hook")}
