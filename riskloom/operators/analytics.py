@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cvss
@@ -55,12 +55,13 @@ def scored(findings: DataFrame) -> DataFrame:
     return df.withColumn("risk_level", X.risk_level(F.col("verdict"), F.col("band")))
 
 
-def facet(df: DataFrame, key: Column, page: int = 5) -> DataFrame:
-    """Counts of a key, and whether a value is on the first page: the most frequent ones, equal counts by value (a top-n of each
-    partition's own, then of those)."""
+def facet(df: DataFrame, key: Column, page: int = 5, more: int = 8) -> DataFrame:
+    """Counts of a key, and whether a value is on the first page, or on it once it is expanded: the most frequent ones, equal counts by value
+    (a top-n of each partition's own, then of those)."""
     counts = df.groupBy(key.alias("value")).agg(F.count("*").alias("n"))
-    first = counts.orderBy(F.desc("n"), F.asc("value")).limit(page).select("value", F.lit(True).alias("shown"))
-    return counts.join(F.broadcast(first), "value", "left").select("value", "n", F.coalesce("shown", F.lit(False)).alias("shown"))
+    first = counts.orderBy(F.desc("n"), F.asc("value")).limit(more).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.asc("value"))))  # so many rows
+    out = counts.join(F.broadcast(first.select("value", "place")), "value", "left")
+    return out.select("value", "n", F.coalesce(F.col("place") <= page, F.lit(False)).alias("shown"), F.col("place").isNotNull().alias("expanded"))
 
 
 def risk_facet(df: DataFrame) -> DataFrame:

@@ -38,6 +38,12 @@ def prompt(template: str, **columns: Column) -> Column:
     return F.concat(*out)
 
 
+def callee_bodies(callees: DataFrame, methods: DataFrame, files: DataFrame) -> DataFrame:
+    """sink, rank, text: the first lines (HOP_MAX) of each callee (sink, rank, method_seq); methods: method_seq, file, start, end; files: file, lines."""
+    where = callees.join(methods.select("method_seq", "file", "start", "end"), "method_seq").join(files.select("file", "lines"), "file")
+    return where.select("sink", "rank", numbered(F.col("lines"), F.col("start"), F.least("end", F.col("start") + HOP_MAX - 1)).alias("text"))
+
+
 def classify_leaves(leaves: DataFrame, main: Column, shown: int = 4) -> DataFrame:
     """Why a start has no entry: unused (nothing calls it), all main, many leaves, or the few that are listed."""
     facts = leaves.withColumn("main", main).groupBy("start").agg(F.count("*").alias("n"), F.bool_and("main").alias("all_main"), F.array_sort(F.collect_set("leaf")).alias("all"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import cut
-from .graph import ancestors
+from .graph import ancestors, enclosing
 from .ordered import last_value, ranked
 
 #: A string literal that may name something.
@@ -106,6 +106,21 @@ def route_prefixes(blocks: DataFrame, rounds: int = 10) -> DataFrame:
     raise RuntimeError("blocks are nested in a circle or too deep")
 
 
+def with_synthetic(methods: DataFrame, entries: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Methods with one for each entry block (file, name, start, end, reason) that is none yet, and calls with the blocks as their callers.
+
+    A block whose file, name and span a method has already makes that method an entry; any other becomes a method of its own (method_seq:
+    minus a hash of it).  Calls of a file within a new method's lines are its calls from then on, of nested ones the innermost's."""
+    at = ["file", "name", "start", "end"]
+    blocks = entries.groupBy(*at).agg(F.min("reason").alias("reason"))
+    known = methods.join(blocks, at, "left").withColumn("entry_reason", F.coalesce("reason", "entry_reason")).withColumn("definitive", F.col("definitive") | F.col("reason").isNotNull()).select(*methods.columns)
+    seq = -F.pmod(F.xxhash64(*at), F.lit(1 << 62)) - 1
+    new = blocks.join(methods.select(*at), at, "left_anti").select(*at, F.col("reason").alias("entry_reason"), F.lit(True).alias("definitive"), seq.alias("method_seq"))
+    inside = enclosing(calls.select(F.col("call_seq").alias("point"), "file", "line"), new.select("file", "start", "end", F.col("method_seq").alias("name"), F.col("method_seq").alias("seq")))
+    moved = calls.join(inside.select(F.col("point").alias("call_seq"), F.col("name").alias("_to")), "call_seq", "left")
+    return known.unionByName(new, allowMissingColumns=True), moved.withColumn("caller_seq", F.coalesce("_to", "caller_seq")).select(*calls.columns)
+
+
 def only_form(rows: DataFrame, keys: list[str], form: str) -> DataFrame:
     """The value that all rows of a key have in a column, null if they differ or some have none."""
     same = (F.min(form) == F.max(form)) & (F.count(form) == F.count("*"))

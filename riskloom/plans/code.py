@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.storage import cut
+from ..operators import analytics as A
 from ..operators import candidates as C
 from ..operators import frontends as E
 from ..operators import graph as G
 from ..operators import references as R
 from ..operators import reports as P
 from ..operators import rules as Rules
+from ..operators import session as N
 from ..operators import typed as T
 from ..operators import verify as L
 from ..sources import bridge as B
-from .queries import FINDINGS, MERGED, SCORED, SCOPED, findings, merged, scored
+from .queries import FINDINGS, MERGED, SCORED, STATS, findings, merged, scored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -291,3 +293,58 @@ def code_trace(spark, sf_dir):
     found = G.trace_to_entries(sinks, edges.select(F.col("from").alias("caller"), F.col("to").alias("callee")), methods.where("entry_reason IS NOT NULL").select("node", "definitive"), 3, paths=False)
     shown = methods.groupBy(F.col("node").alias("entry")).agg(F.min(F.concat_ws(":", "file", "name")).alias("shown"))
     return found.join(shown, "entry").select("sink", F.col("shown").alias("entry"), "depth")
+
+
+# --- sessions, listings ----------------------------------------------------------------------------------------
+
+_FLOW = ["signup", "view", "click", "purchase"]
+
+
+@query("""WITH e AS (SELECT user_id AS scan_id, event_id AS seq, CASE WHEN event_type = 'error' AND event_id % 40 = 0 THEN 'failed' WHEN event_type = 'error' THEN 'paused' ELSE event_type END AS status FROM events),
+b AS (SELECT *, lag(status) OVER (PARTITION BY scan_id ORDER BY seq) AS before FROM e), l AS (SELECT ['signup', 'view', 'click', 'purchase'] AS f)
+SELECT seq, before, status, NOT coalesce(before IN ('done', 'failed', 'cancelled'), false) AND (before IS NULL OR status IN ('paused', 'done', 'failed', 'cancelled')
+  OR (coalesce(list_position(f, status), 0) > 0 AND (coalesce(list_position(f, before), 0) = 0 OR list_position(f, status) >= list_position(f, before)))) AS allowed FROM b, l""")
+def status_transitions(spark, sf_dir):
+    status = F.when((F.col("event_type") == "error") & (F.col("event_id") % 40 == 0), "failed").when(F.col("event_type") == "error", "paused").otherwise(F.col("event_type"))
+    events = B.table(spark, sf_dir, "events").select(F.col("user_id").alias("scan_id"), F.col("event_id").alias("seq"), status.alias("status"))
+    return N.transitions(events, _FLOW).select("seq", "before", "status", "allowed")
+
+
+@query("SELECT page_id FROM pages WHERE length(url) >= 30 AND NOT list_has_any(string_split(url, '/')[1:-2], ['en', 'fr'])")
+def long_paths(spark, sf_dir):
+    return N.long_paths(B.table(spark, sf_dir, "pages"), ["en", "fr"], 30, "url").select("page_id")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, 'u' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.zip' WHEN 1 THEN '.ZIP' ELSE '.tar' END AS path, n_chars * 50000 AS size FROM documents) WHERE lower(path) LIKE '%.zip' AND size <= 209715200")
+def accepted_uploads(spark, sf_dir):
+    d = F.col("doc_id")
+    path = F.concat(F.lit("u"), d, F.when(d % 3 == 0, ".zip").when(d % 3 == 1, ".ZIP").otherwise(".tar"))
+    return B.table(spark, sf_dir, "documents").where(N.accepted_upload(path, F.col("n_chars") * 50000)).select("doc_id")
+
+
+@query(f"""WITH {STATS}, w AS (SELECT greatest(max(length(rule)), 4) AS a, greatest(max(length(hits::VARCHAR)), 4) AS b, greatest(max(length(yes::VARCHAR)), 3) AS c FROM stats)
+SELECT row_number() OVER (ORDER BY hits DESC, rule) AS line, rtrim(rpad(rule, w.a::INT, ' ') || '  ' || lpad(hits::VARCHAR, w.b::INT, ' ') || '  ' || lpad(yes::VARCHAR, w.c::INT, ' ')) AS text FROM stats, w
+UNION ALL SELECT 0, rpad('rule', w.a::INT, ' ') || '  ' || lpad('hits', w.b::INT, ' ') || '  ' || lpad('yes', w.c::INT, ' ') FROM w""")
+def stats_table(spark, sf_dir):
+    return N.text_table(cut(A.rule_stats(findings(spark, sf_dir))), [F.negate("hits"), F.col("rule")], ["rule", "hits", "yes"])
+
+
+@query("""WITH meth AS (SELECT p_partkey AS method_seq, p_brand AS file, 'n' || p_size AS name, p_partkey % 40 + 1 AS s, p_partkey % 40 + 10 AS e, CASE WHEN p_partkey % 7 = 0 THEN 'old' END AS entry_reason, p_partkey % 14 = 0 AS definitive FROM part),
+ent AS (SELECT p_brand AS file, 'n' || p_size AS name, p_partkey % 40 + 1 AS s, p_partkey % 40 + 10 - p_partkey % 2 AS e, min('POST /' || p_partkey) AS reason FROM part WHERE p_partkey % 5 = 0 GROUP BY 1, 2, 3, 4),
+new AS (SELECT * FROM ent ANTI JOIN meth ON meth.file = ent.file AND meth.name = ent.name AND meth.s = ent.s AND meth.e = ent.e),
+call AS (SELECT o_orderkey AS call_seq, 'Brand#' || o_orderkey % 25 + 1 AS file, o_orderkey % 50 AS line, o_custkey AS caller_seq FROM orders),
+best AS (SELECT c.call_seq, min(n.e - n.s) AS w FROM call c JOIN new n ON n.file = c.file AND c.line BETWEEN n.s AND n.e GROUP BY c.call_seq)
+SELECT 'method' AS kind, m.file, m.name, m.s AS a, m.e AS b, coalesce(e.reason, m.entry_reason) AS reason, m.definitive OR e.reason IS NOT NULL AS flag FROM meth m LEFT JOIN ent e ON m.file = e.file AND m.name = e.name AND m.s = e.s AND m.e = e.e
+UNION ALL SELECT 'method', file, name, s, e, reason, true FROM new
+UNION ALL SELECT 'call', c.file, NULL, c.call_seq, c.line, NULL, w IS NOT NULL FROM call c LEFT JOIN best ON best.call_seq = c.call_seq""")
+def synthetic_entries(spark, sf_dir):
+    """Entry blocks that are methods already or become some, and which calls they take over."""
+    p, o = F.col("p_partkey"), F.col("o_orderkey")
+    part = B.table(spark, sf_dir, "part")
+    base = [F.col("p_brand").alias("file"), F.concat(F.lit("n"), "p_size").alias("name"), (p % 40 + 1).alias("start")]
+    methods = part.select(p.alias("method_seq"), *base, (p % 40 + 10).alias("end"), F.when(p % 7 == 0, "old").alias("entry_reason"), (p % 14 == 0).alias("definitive"))
+    entries = part.where("p_partkey % 5 = 0").select(*base, (p % 40 + 10 - p % 2).alias("end"), F.concat(F.lit("POST /"), p).alias("reason"))
+    calls = B.table(spark, sf_dir, "orders").select(o.alias("call_seq"), F.concat(F.lit("Brand#"), o % 25 + 1).alias("file"), (o % 50).alias("line"), F.col("o_custkey").alias("caller_seq"))
+    all_, moved = R.with_synthetic(methods, entries, calls)
+    shown = all_.select(F.lit("method").alias("kind"), "file", "name", F.col("start").alias("a"), F.col("end").alias("b"), F.col("entry_reason").alias("reason"), F.col("definitive").alias("flag"))
+    return shown.unionAll(moved.select(F.lit("call"), "file", F.lit(None).cast("string"), "call_seq", "line", F.lit(None).cast("string"), F.col("caller_seq") < 0))

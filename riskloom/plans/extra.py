@@ -28,7 +28,7 @@ _KINDS = ["int", "long", "char", "string", "Foo", "T", "", "size_t"]
 
 
 @query(f"""WITH t AS (SELECT p_partkey AS id, {_KINDS}[p_partkey % 8 + 1] AS a, {_KINDS}[p_size % 8 + 1] AS p FROM part)
-SELECT id, a = '' OR p = '' OR a = p OR regexp_full_match(p, '[A-Z]\w*') OR (list_contains({R.NUMERIC}, a) AND list_contains({R.NUMERIC}, p)) OR (list_contains({R.STRINGS}, a) AND list_contains({R.STRINGS}, p)) AS fits FROM t""")
+SELECT id, a = '' OR p = '' OR a = p OR regexp_full_match(p, '[A-Z][A-Za-z0-9_]*') OR (list_contains({R.NUMERIC}, a) AND list_contains({R.NUMERIC}, p)) OR (list_contains({R.STRINGS}, a) AND list_contains({R.STRINGS}, p)) AS fits FROM t""")
 def types_fit(spark, sf_dir):
     kinds = F.array(*[F.lit(k) for k in _KINDS])
     t = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.get(kinds, (F.col("p_partkey") % 8).cast("int")).alias("a"), F.get(kinds, (F.col("p_size") % 8).cast("int")).alias("p"))

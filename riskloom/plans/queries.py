@@ -197,7 +197,7 @@ def verdict_summary(spark, sf_dir):
     return A.summary(findings(spark, sf_dir))
 
 
-_FACET = "SELECT value, n, rank <= 5 AS shown FROM (SELECT value, n, row_number() OVER (ORDER BY n DESC, value) AS rank FROM (SELECT {} AS value, count(*) AS n FROM scored GROUP BY 1))"
+_FACET = "SELECT value, n, rank <= 5 AS shown, rank <= 8 AS expanded FROM (SELECT value, n, row_number() OVER (ORDER BY n DESC, value) AS rank FROM (SELECT {} AS value, count(*) AS n FROM scored GROUP BY 1))"
 
 
 @query(f"WITH {SCORED} {_FACET.format('vuln_type')}")

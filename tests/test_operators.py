@@ -1,12 +1,13 @@
 import json
 import os
 import tempfile
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import analytics, candidates, context, frontends, graph, ingest, javatypes, references, reports, rules, typed, validators, verify
+from riskloom.operators import analytics, candidates, context, frontends, graph, ingest, javatypes, references, reports, rules, session, typed, validators, verify
 from riskloom.sources import fixtures
 
 
@@ -418,3 +419,33 @@ def test_java_dispatch(spark):
     name = {r.id: f"{r.file}:{r.name}" for r in rows.where("kind = 'method'").collect()}
     got = {(name[r.caller], name[r.callee]) for r in frontends.call_edges(rows).collect()}
     assert got == {("c/Main.java:main", "a/Svc.java:work"), ("c/Main.java:main", "b/Impl.java:act"), ("b/Impl.java:act", "b/Impl.java:hook"), ("b/Impl.java:act", "b/Sub.java:hook")}
+
+
+def test_run_stages(spark):
+    """Statuses in order, a pause that is waited for, failures, and a cancellation that ends a running job."""
+    said, held = [], [True, True, False]
+    assert session.run_stages(spark, [("scanning", lambda: 1), ("reporting", lambda: 2)], said.append, paused=lambda: held.pop(0) if held else False, poll=0.01) == [1, 2]
+    assert said == ["paused", "scanning", "reporting", "done"]
+    said.clear()
+    with pytest.raises(ZeroDivisionError):
+        session.run_stages(spark, [("scanning", lambda: 1 // 0)], said.append, poll=0.01)
+    assert said == ["scanning", "failed"]
+    said.clear()
+    began = time.time()
+    slow = lambda: spark.range(0, 8, 1, 8).mapInPandas(lambda it: (time.sleep(30) or x for x in it), "id long").count()
+    with pytest.raises(session.Cancelled):
+        session.run_stages(spark, [("scanning", slow), ("reporting", lambda: 2)], said.append, cancelled=lambda: time.time() > began + 2, poll=0.1)
+    assert said == ["scanning", "cancelled"] and time.time() < began + 25
+    assert spark.range(3).count() == 3
+    with pytest.raises(session.Cancelled):
+        session.run_stages(spark, [("scanning", lambda: 1)], said.append, cancelled=lambda: True, poll=0.01)
+
+
+def test_callee_bodies_and_tables(spark):
+    callees = spark.createDataFrame([(1, 1, 7), (1, 2, 8)], "sink int, rank int, method_seq int")
+    methods = spark.createDataFrame([(7, "f", 2, 3), (8, "f", 1, 90)], "method_seq int, file string, start int, end int")
+    files = spark.createDataFrame([("f", [f"l{i}" for i in range(1, 100)])], "file string, lines array<string>")
+    got = {r["rank"]: r.text for r in context.callee_bodies(callees, methods, files).collect()}
+    assert got[1] == "    2 | l2\n    3 | l3" and got[2].count("\n") == 39 and got[2].endswith("   40 | l40")
+    lines = session.text_table(spark.createDataFrame([("a", 5), ("long", 12), (None, None)], "name string, n int"), [F.negate(F.coalesce("n", F.lit(-1)))], ["name", "n"]).orderBy("line").collect()
+    assert [r.text for r in lines] == ["name   n", "long  12", "a      5", ""]
