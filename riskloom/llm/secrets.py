@@ -8,14 +8,14 @@ the base spans, that follows a sensitive word within ``NEAR`` characters.  Its n
 bits a character, to the zstandard size of its surroundings (``AROUND`` characters on both sides), the
 compressor being primed with a dictionary: common identifiers of code, and the words and identifiers that most documents of
 the corpus itself have (``dictionary``: runs of letters, so that no key can get in however often it is copied; counted over
-all documents, ``WORDS`` of them).  Other copies of the run (or of a value of
+all documents, at most ``WORDS`` of them).  Other copies of the run (or of a value of
 ``LEAST`` characters within it, after a =) are taken out of the surroundings first: a secret is no less of one for
 standing there twice.  Words, identifiers and what the surroundings share with it otherwise cost next to nothing;
 random strings cost what they weigh.  Every occurrence of a string found novel is reported, sensitive word or not,
 unless a base span or a longer novel one holds it.
 
 Edge cases: null is an empty text without spans.  Rows are judged one by one, by the one dictionary, so repeated rows and null
-ids are rows like others; of words in equally many documents the first in order is taken; an empty table gives an empty
+ids are rows like others; words in equally many documents are taken or left together; an empty table gives an empty
 result; other columns are ignored unless kept.  Work is linear in a text's length.
 """
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import tune
+from .common import cut, tune
 from .spans import FIELDS, TYPE, ordered
 
 KINDS = ("assign", "access", "hex", "novel")
@@ -67,7 +67,8 @@ DICTIONARY = (
 
 def dictionary(docs: DataFrame, words: int = WORDS) -> str:
     """The fixed identifiers and, behind them, the words that stand in most documents (two at least), the commonest last:
-    what is near the end of a dictionary is cheapest to refer to."""
+    what is near the end of a dictionary is cheapest to refer to.  A histogram of the counts (steps of a sixteenth of a
+    doubling) tells from which count on there are no more than so many words: only those reach the driver."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,8 +87,15 @@ def dictionary(docs: DataFrame, words: int = WORDS) -> str:
         yield counts()
 
     found = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).mapInArrow(K.lean(run), "word string, n long")
-    top = found.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(words).collect()
-    return " ".join([DICTIONARY, *(r["word"] for r in reversed(top))])
+    counts = cut(found.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").withColumn("step", F.floor(F.log2("n") * 16)), "words")
+    least, held = 0, 0
+    for r in sorted(counts.groupBy("step").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
+        held += r["n"]
+        if held > words:
+            least = r["step"] + 1
+            break
+    top = sorted(counts.where(F.col("step") >= least).collect(), key=lambda r: (r["n"], r["word"]))
+    return " ".join([DICTIONARY, *(r["word"] for r in top)])
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
