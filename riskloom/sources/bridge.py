@@ -137,4 +137,6 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     text = F.when(p % 2 == 0, F.concat_ws("\n", *java)).otherwise(F.concat_ws("\n", *python))
     path = F.when(p % 2 == 0, F.concat(F.lit("shop/C"), p, F.lit(".java"))).otherwise(F.concat(F.lit("web/p"), p, F.lit(".py")))
-    return table(spark, sf_dir, "part").select(path.alias("path"), text.alias("text"))
+    # a small table makes many texts, and reading them is work for all tasks
+    parts = table(spark, sf_dir, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return parts.select(path.alias("path"), text.alias("text"))
