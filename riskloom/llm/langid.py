@@ -7,7 +7,9 @@ sample of labelled rows (``SAMPLE`` in all, the same number for each language, c
 more languages than that gives one row for each of the SAMPLE commonest); one tenth of the sample is kept back to fit the
 temperature of the final softmax.
 Prediction is a lookup and a segmented sum per n-gram, for texts of any length.  Beside the score there is its
-``confidence``: where the score stands between that of a guess (one in so many languages, 0) and certainty (1).
+``confidence``: where the score stands between that of a guess (one in so many languages, 0) and certainty (1), times the share
+of the text's letters that at least ``LEAST`` documents of the learning fold have (hashed as n-grams are): one odd text must not
+teach its script to a language.
 
 Learning uses text and non-null lang of documents whose crc32(doc_id as text) modulo 4 is not 2; a null doc_id
 is held out.  ``und`` with score 0 is given to a null text or one without any letter, and where nothing was
@@ -19,7 +21,9 @@ language first in order).  Empty tables give empty results.
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +43,14 @@ UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 #: Features are shares of a text: this brings them near one.
 SCALE = 16.0
+#: Documents of the learning fold that have a letter before it counts as known.
+LEAST = 2
 
 
 def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order: slots of all n-grams of the texts one after the other, and each text's first n-gram (len(texts) + 1)."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    codes = codes_of(texts)
     edges = np.r_[0, np.cumsum(lengths)]
     for order in ORDERS:
         n = len(codes) - order + 1
@@ -65,6 +71,16 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield slots, np.r_[0, np.cumsum(np.maximum(lengths - order + 1, 0))]
 
 
+def codes_of(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+@functools.cache
+def letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.array([LETTER.match(chr(c)) is not None for c in range(sys.maxunicode + 1)])
+
+
 def shares(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Slots of a text and their shares of its n-grams."""
     slots = np.concatenate([s for s, _ in grams([text.lower()])])
@@ -76,11 +92,11 @@ def _learning() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2, F.lit(False))
 
 
-def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents of the learning fold with each slot, and all documents of it."""
+def document_frequency(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Documents of the learning fold with each slot, with a single character of each slot, and all documents of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(SLOTS + 1, dtype=np.int64), 0
+        df, n = np.zeros(2 * SLOTS + 1, dtype=np.int64), 0
         for b in batches:
             for chunk in K.chunks(b):
                 texts = [t.lower() for t in chunk.column(0).to_pylist()]
@@ -88,18 +104,20 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
                 each = list(grams(texts))
                 for i in range(len(texts)):
                     seen = np.zeros(SLOTS, dtype=bool)
-                    for slots, at in each:
+                    for order, (slots, at) in enumerate(each):
                         seen[slots[at[i] : at[i + 1]]] = True
+                        if not order:
+                            df[SLOTS:-1] += seen
                     df[:SLOTS] += seen
-        df[SLOTS] = n
+        df[-1] = n
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], ["slot", "n"])
 
     rows = docs.where(_learning() & F.col("text").isNotNull()).select("text").mapInArrow(K.lean(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    got = rows.toArrow()  # SLOTS + 1 rows at most
-    df = np.zeros(SLOTS + 1, dtype=np.int64)
+    got = rows.toArrow()  # 2 * SLOTS + 1 rows at most
+    df = np.zeros(2 * SLOTS + 1, dtype=np.int64)
     df[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    return df[:SLOTS], int(df[SLOTS])
+    return df[:SLOTS], df[SLOTS:-1], int(df[-1])
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE) -> list[tuple[str, np.ndarray, np.ndarray]]:
@@ -154,16 +172,25 @@ def softmax(s: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """langs, and one row of float32 weights (idf, scale and temperature folded in) for each."""
+    """langs, one row of float32 weights (idf, scale and temperature folded in) for each, and the slots of known characters (all, unless told)."""
 
-    def __init__(self, langs: list[str], weights: np.ndarray):
-        self.langs, self.weights = langs, weights
+    def __init__(self, langs: list[str], weights: np.ndarray, known: np.ndarray | None = None):
+        self.langs, self.weights, self.known = langs, weights, np.ones(SLOTS, dtype=bool) if known is None else known
 
     def confidence(self, score: float) -> float:
         """0 for a guess among the languages, 1 for certainty; with one language there is no other to guess."""
         n = len(self.langs)
         return max(0.0, (n * score - 1) / (n - 1)) if n > 1 else score
 
+    def familiar(self, texts: list[str | None]) -> np.ndarray:
+        """The share of each text's letters that are known."""
+        lower = [(t or "").lower() for t in texts]
+        slots, at = next(grams(lower))
+        is_ = letters()[codes_of(lower)]
+        # sums up to each text's end, as reduceat has none for empty texts
+        upto = lambda x: np.r_[0, np.cumsum(x)][at]
+        return np.diff(upto(is_ & self.known[slots])) / np.maximum(np.diff(upto(is_)), 1)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lower = [(t or "").lower() for t in texts]
         score = np.zeros((len(texts), len(self.langs)))
@@ -184,8 +211,8 @@ def train(docs: DataFrame, rows: int = SAMPLE) -> Model:
     """A model from docs (doc_id, text, lang)."""
     got = sample(docs, rows)
     if not got:
-        return Model([], np.zeros((0, SLOTS), dtype=np.float32))
-    df, n = document_frequency(docs)
+        return Model([], np.zeros((0, SLOTS), dtype=np.float32), np.zeros(SLOTS, dtype=bool))
+    df, single, n = document_frequency(docs)
     idf = np.log((1 + n) / (1 + df)) + 1
     langs = sorted({x[0] for x in got})
     index = {lang: i for i, lang in enumerate(langs)}
@@ -208,7 +235,7 @@ def train(docs: DataFrame, rows: int = SAMPLE) -> Model:
         loss = -(aim * np.log(np.maximum(softmax(logits / t), 1e-12))).sum(axis=1).mean()
         if loss < best - 1e-9:
             best, temperature = loss, t
-    return Model(langs, (w / temperature).astype(np.float32))
+    return Model(langs, (w / temperature).astype(np.float32), single >= LEAST)
 
 
 def language_id(docs: DataFrame, train_on: DataFrame | None = None, keep: tuple[str, ...] = ("doc_id",), rows: int = SAMPLE) -> DataFrame:
@@ -222,8 +249,9 @@ def language_id(docs: DataFrame, train_on: DataFrame | None = None, keep: tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk in K.chunks(b, b.num_columns - 1):
-                lang, score = model.predict(chunk.column(chunk.num_columns - 1).to_pylist())
-                sure = [model.confidence(x) if y != UNKNOWN else 0.0 for x, y in zip(score, lang, strict=True)]
+                texts = chunk.column(chunk.num_columns - 1).to_pylist()
+                lang, score = model.predict(texts)
+                sure = [model.confidence(x) * float(k) if y != UNKNOWN else 0.0 for x, y, k in zip(score, lang, model.familiar(texts), strict=True)]
                 yield pa.RecordBatch.from_arrays([*chunk.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.float64())], [*keep, "held_out", "lang_pred", "score", "confidence"])
 
     return docs.mapInArrow(K.lean(run), out)

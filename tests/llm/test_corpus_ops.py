@@ -455,6 +455,18 @@ def test_language_sample(spark):
         assert len(got) == langs and set(got.values()) == {each}
 
 
+def test_language_familiar_against_plain():
+    """Shares of known letters, whatever the texts beside; signs, digits and blanks don't count."""
+    texts = ["", None, "Abc 12", "漢字 a", "12 !", "漢" * 70_000 + "b", "İé"]
+    known = np.zeros(langid.SLOTS, dtype=bool)
+    known[np.concatenate([next(langid.grams(["abcé1 "]))[0]])] = True
+    want = []
+    for t in texts:
+        own = [c for c in (t or "").lower() if langid.LETTER.match(c)]
+        want.append(sum(bool(known[next(langid.grams([c]))[0][0]]) for c in own) / max(1, len(own)))
+    assert langid.Model(["a"], np.zeros((1, langid.SLOTS)), known).familiar(texts).tolist() == want and want[2] == 1 and want[3] < 1
+
+
 def test_language_grams_against_plain():
     """Prediction's segmented sums against one n-gram at a time, on short and very long texts."""
     r = np.random.default_rng(2)

@@ -29,7 +29,7 @@ def test_pipeline_against_plain(spark):
 
 def test_stages_keep_columns_and_bite(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    more = spark.createDataFrame([(900, "password = abcdef1234567 in the text of that and this", "en", "s", 50), (901, "12 34", "en", "s", 5), (902, None, "en", "s", 0), (903, "Ελληνικά είναι εδώ", "en", "s", 18)], docs.schema)
+    more = spark.createDataFrame([(900, "password = abcdef1234567 in the text of that and this", "en", "s", 50), (901, "12 34", "en", "s", 5), (902, None, "en", "s", 0), (903, "漢字仮名交文", "en", "s", 6), (904, "Ελληνικά είναι εδώ", "en", "s", 18)], docs.schema)
     docs = docs.unionAll(more)
     for c in ("score", "lang_pred", "spans", "redacted", "contaminated", "_row", "row", "component_id", "met", "n", "w"):  # names the operators use
         docs = docs.withColumn(c, F.lit(c))
