@@ -16,7 +16,9 @@ from .pii import pii_scan
 from .quality import quality
 from .secrets import secret_scan
 from .substring_dedup import substring_dedup
+from .token_count import token_count
 from .urlfilter import url_filter
+from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, digest, vector_codes
 from .warc import read_bundles, write_bundles
 
 #: The contract's url rules (host, path, verdict).
@@ -75,6 +77,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vector_codes(_table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
+def op12_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -86,9 +97,28 @@ QUERIES = {
     "op8_pii_scan": op8_pii_scan,
     "op9_url_filter": op9_url_filter,
     "op10_bpe": op10_bpe,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_token_count": op12_token_count,
     "pipeline": corpus_pipeline.run,
 }
 
+
+def _lloyd() -> str:
+    """Rounds of plain assignment to the nearest entry and floored means, one pair of tables a round (DuckDB)."""
+    books = []
+    for r in range(ROUNDS + 1):
+        books.append(
+            f"""a{r} AS MATERIALIZED (SELECT x.r, x.part, arg_min(b.entry, (list_inner_product(b.c, b.c) - 2 * list_inner_product(x.c, b.c), b.entry)) AS entry,
+         min(list_inner_product(b.c, b.c) - 2 * list_inner_product(x.c, b.c)) + any_value(list_inner_product(x.c, x.c)) AS d FROM x JOIN b{r} b ON b.part = x.part GROUP BY x.r, x.part)"""
+        )
+        if r < ROUNDS:
+            books.append(
+                f"""m{r} AS (SELECT part, entry, list(v ORDER BY i) AS c FROM (SELECT part, entry, i, floor(sum(v) / count(*)) AS v FROM (SELECT a.part, a.entry, unnest(x.c) AS v, generate_subscripts(x.c, 1) AS i FROM a{r} a JOIN x ON x.r = a.r AND x.part = a.part) GROUP BY part, entry, i) GROUP BY part, entry),
+b{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN m{r} m ON m.part = b.part AND m.entry = b.entry)"""
+            )
+    return ",\n".join(books)
+
+
 #: A word list of a text, as the contract has it (DuckDB); null has none.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -156,6 +186,16 @@ m AS (SELECT s, max(page_id) AS top FROM q WHERE n >= 1000 GROUP BY s)
 SELECT q.page_id, CAST(q.n AS BIGINT) AS payload_bytes, q.s AS payload_digest,
        CASE WHEN m.top > q.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN m.top > q.page_id THEN m.top END AS refers_to
 FROM q LEFT JOIN m ON m.s = q.s AND q.n >= 1000""",
+    "op11_vector_codes": f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE))) AS v, row_number() OVER (ORDER BY vec_id) AS r
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, p AS part, v[p * (len(v) // {PARTS}) + 1:(p + 1) * (len(v) // {PARTS})] AS c FROM (SELECT r, v, unnest(range({PARTS})) AS p FROM k)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, c FROM x WHERE r <= {ENTRIES}),
+{_lloyd()},
+e AS (SELECT k.vec_id, k.label, string_agg(printf('%02x', CAST(a.entry AS INT)), '' ORDER BY a.part) AS code, CAST(sum(a.d) AS BIGINT) AS error FROM k JOIN a{ROUNDS} a ON a.r = k.r GROUP BY k.r, k.vec_id, k.label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, i)) FROM (SELECT part, entry, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM b{ROUNDS})) AS codebooks_sha256
+FROM e""",
     "op9_url_filter": r"""
 WITH a AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS pos FROM pages),
 b AS (SELECT page_id, CASE WHEN pos > 0 THEN substr(url, pos + 3) ELSE '' END AS rest FROM a),
