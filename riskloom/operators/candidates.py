@@ -121,14 +121,28 @@ def fingerprint(text: Column) -> Column:
     return F.sha2(F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"\s+$", "")), "\n"), 256)
 
 
-def dedup_copies(df: DataFrame, files: DataFrame) -> DataFrame:
-    """Of findings at the same lines of copied files with the same rules the first, and where the others are, in order.
-    files: file, fingerprint; an unknown file only equals itself."""
+def _printed(df: DataFrame, files: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with its source's and sink's fingerprints and its rules in order, and the columns by which copies are equal."""
     for side in ("source", "sink"):
         other = files.select(F.col("file").alias(f"{side}_file"), F.col("fingerprint").alias(f"{side}_print"))
         df = df.join(other, f"{side}_file", "left").withColumn(f"{side}_print", F.coalesce(f"{side}_print", F.concat(F.lit("path:"), F.col(f"{side}_file"))))
-    keys = ["source_print", "source_line", "sink_print", "sink_line", "rules"]
-    kept = [c for c in df.columns if c not in ("seq", "source_print", "sink_print", "source_line", "sink_line")]
-    grouped = df.withColumn("rules", F.array_sort("rule_ids")).groupBy(*keys).agg(F.min_by(F.struct(*kept), "seq").alias("first"), F.min("seq").alias("seq"), F.array_sort(F.collect_list(F.struct("seq", "sink_file"))).alias("all"))
+    return df.withColumn("rules", F.array_sort("rule_ids")), ["source_print", "source_line", "sink_print", "sink_line", "rules"]
+
+
+def _merged_copies(df: DataFrame, files: DataFrame, more: Column) -> DataFrame:
+    kept = [c for c in df.columns if c not in ("seq", "source_line", "sink_line")]
+    df, keys = _printed(df, files)
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*kept), "seq").alias("first"), F.min("seq").alias("seq"), more)
+
+
+def dedup_copies(df: DataFrame, files: DataFrame) -> DataFrame:
+    """Of findings at the same lines of copied files with the same rules the first, and where the others are, in order.
+    files: file, fingerprint; an unknown file only equals itself."""
+    grouped = _merged_copies(df, files, F.array_sort(F.collect_list(F.struct("seq", "sink_file"))).alias("all"))
     later = F.expr("transform(slice(all, 2, greatest(size(all) - 1, 0)), x -> x.sink_file)")
-    return grouped.select("seq", "first.*", "source_line", "sink_line", later.alias("duplicate_locations"))
+    return grouped.select("seq", "first.*", "rules", "source_line", "sink_line", later.alias("duplicate_locations"))
+
+
+def first_of_copies(df: DataFrame, files: DataFrame) -> DataFrame:
+    """As dedup_copies, but for how many there are (``copies``, itself included) instead of where: a group of any size is one small row."""
+    return _merged_copies(df, files, F.count("*").alias("copies")).select("seq", "first.*", "rules", "source_line", "sink_line", "copies")

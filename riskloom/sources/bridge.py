@@ -23,26 +23,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def file_name() -> Column:
-    return F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    """The path a document stands for; what is null is blank in it."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.concat(part("source"), F.lit("/"), part("lang"), F.lit("/d"), part("doc_id"), F.lit(".txt"))
 
 
-def src_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, file, line_no (from 1), line."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", file_name().alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, source, lang, file, line_no (from 1), line of a documents table, static or streaming."""
+    docs = docs.select("doc_id", "source", "lang", file_name().alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return docs.select("doc_id", "source", "lang", "file", (F.col("pos") + 1).alias("line_no"), "line")
 
 
-def raw_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def src_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_of(table(spark, sf_dir, "documents"))
+
+
+def hits_of(lines: DataFrame) -> DataFrame:
     """One row for each rule that a line matches; all rules are tried in one pass over the lines, without a join."""
     struct = lambda r: F.struct(F.lit(r[0]).alias("rule_id"), F.lit(r[1]).alias("severity"), F.array(*[F.lit(c) for c in r[2]]).cast("array<string>").alias("cwe"), F.lit(r[3]).alias("mode"), F.lit(r[4]).alias("confidence"))
     found = F.array(*[F.when(F.col("line").rlike(r[5]), struct(r)) for r in RULES])
-    lines = src_lines(spark, sf_dir)
     return lines.select("*", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("hit")).select("doc_id", "source", "lang", "file", "line_no", "line", "hit.*")
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits_of(src_lines(spark, sf_dir))
+
+
+def candidates_of(hits: DataFrame) -> DataFrame:
     """Normalised hits; ``seq`` orders them as they were found."""
-    hits = raw_hits(spark, sf_dir)
     return hits.select(
         F.struct("doc_id", "line_no", "rule_id").alias("seq"),
         "doc_id",
@@ -60,15 +68,22 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def with_finding(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates_of(raw_hits(spark, sf_dir))
+
+
+def labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
     """df with the finding of its doc_id's label; no label: null, which stands for unverified."""
-    labels = table(spark, sf_dir, "labels")
     reachable = F.when(F.col("toxic") == 1, "yes").when(F.col("quality") == 0, "uncertain").otherwise("no")
     reasoning = F.when(F.col("doc_id") % 17 == 0, "verifier_failed: no reply").otherwise("label")
     found = labels.select("doc_id", F.struct(reachable.alias("reachable"), reasoning.alias("reasoning")).alias("finding"))
     return df.join(found, "doc_id", "left")
 
 
+def with_finding(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(df, table(spark, sf_dir, "labels"))
+
+
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """caller, callee: customer -> order -> lineitem -> part, supplier -> lineitem, nation -> customer and supplier."""
     t = lambda n: table(spark, sf_dir, n)
