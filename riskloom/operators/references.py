@@ -25,6 +25,20 @@ def apply_references(methods: DataFrame, refs: DataFrame, on: list[str], last: b
     return out.withColumn("entry_reason", F.when(takes, F.col("new_reason")).otherwise(F.col("entry_reason"))).drop("new_reason", "was")
 
 
+def apply_last(methods: DataFrame, refs: DataFrame, language: str = "cpp") -> DataFrame:
+    """methods with entry_reason and definitive set by framework references (ref_seq, name, owner or blank, reason): of all that fit a method's
+    name - and, where they name an owner, the short name of its owner - the last by ref_seq, whatever the method was before.  Only
+    methods of one language (column language) are touched.  References are reduced to one a name and owner before they meet the methods."""
+    short = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "^.*::", "")
+    last = refs.groupBy("name", short(F.col("owner")).alias("_owner")).agg(F.max(F.struct("ref_seq", "reason")).alias("_ref"))
+    any_ = last.where("_owner = ''").select("name", F.col("_ref").alias("_any"), F.lit(language).alias("language"))
+    own = last.where("_owner <> ''").select("name", "_owner", F.col("_ref").alias("_own"), F.lit(language).alias("language"))
+    met = methods.withColumn("_owner", short(F.col("owner"))).join(any_, ["name", "language"], "left").join(own, ["name", "_owner", "language"], "left").withColumn("_ref", F.greatest("_any", "_own"))
+    takes = F.col("_ref").isNotNull()
+    out = met.withColumn("entry_reason", F.when(takes, F.col("_ref.reason")).otherwise(F.col("entry_reason"))).withColumn("definitive", F.col("definitive") | takes)
+    return out.select(*methods.columns)
+
+
 def link_by_suffix(statements: DataFrame, owners: DataFrame) -> DataFrame:
     """statement, owner: owners equal to a statement's dotted namespace or to a suffix of it.  The namespace's suffixes (one a dot) are
     joined by equality; nothing is compared by pattern."""
