@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import functools
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
@@ -49,47 +50,125 @@ def waits(attempts: int, base: float = BASE_WAIT, most: float = MOST_WAIT) -> li
     return [0.0, *(min(most, base * 2.0**i) for i in range(attempts - 1))]
 
 
-def ask(requests_: DataFrame, provider: Callable[[], Callable[[str], str]], concurrency: int = 5, attempts: int = ATTEMPTS, base_wait: float = BASE_WAIT, wave: int = 1000) -> DataFrame:
-    """requests_ with a reply column.  provider makes a chat function in each task.
+OUTCOMES = ("replied", "refused", "unparsed", "exhausted", "not asked")
 
-    A call that loses its connection, or is answered with a status of TRANSIENT (the exception's ``status``), is tried again after a wait
-    (its ``retry_after``, if it has one); any other error leaves a null reply at once.  A call that fails to the last attempt halts
-    everything: its task asks no more, and of the requests, which are asked in waves of ``wave`` rows, no later wave is begun."""
+
+def ask_each(
+    requests_: DataFrame, provider: Callable[[], Callable[[str], str]], concurrency: int = 5, attempts: int = ATTEMPTS, base_wait: float = BASE_WAIT, wave: int = 200,
+    parse: Callable[[str], object] | None = None, hint: str = "Reply with JSON only.",
+) -> DataFrame:
+    """requests_ (column prompt) with ``reply`` and ``said``, one of OUTCOMES, in one job however many requests there are.
+
+    provider makes a chat function in each task; concurrency calls are in flight at a time, dealt over tasks and threads.  A call that loses
+    its connection, or is answered with a status of TRANSIENT (the exception's ``status``), is tried again after a wait (its
+    ``retry_after``, if it has one); any other error leaves a null reply at once (refused).  A reply that parse can't take (ValueError) is asked
+    for once more, with the hint behind the prompt, and is null if that fails too (unparsed).
+
+    **Halt.**  A call that fails to its last attempt (exhausted) halts everything: its task asks no more, and tasks tell each other, at a barrier
+    after every ``wave`` requests of all together, so that no task fails a second call and all others stop at the next barrier.  What is
+    left has a null reply (not asked).  An exchange takes up to a second, a call several.  A lost executor starts the stage anew.  An empty table asks nothing."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests_.schema.fields)
-    tasks = max(1, min(concurrency, 15))
+    tasks = max(1, min(concurrency, requests_.sparkSession.sparkContext.defaultParallelism))
+    threads, step = -(-concurrency // tasks), max(1, wave // tasks)
 
     def run(batches: Iterator) -> Iterator:
-        chat, halted = provider(), False
-        for pdf in batches:
-            replies, stopped = [], []
-            for text in pdf["prompt"]:
-                reply, after = None, None
-                for wait in [] if halted else waits(attempts, base_wait):
-                    time.sleep(min(MOST_WAIT, wait if after is None else after))
-                    try:
-                        reply = chat(text)
-                        break
-                    except Exception as e:
-                        status, after = getattr(e, "status", None), getattr(e, "retry_after", None)
-                        if not isinstance(e, ConnectionError | TimeoutError) and status not in TRANSIENT:
-                            break
-                else:
-                    halted = True
-                replies.append(reply)
-                stopped.append(halted)
-            yield pdf.assign(reply=replies, _halted=stopped)
-
-    asked = cut(requests_.withColumn("_wave", F.floor(F.monotonically_increasing_id() % (1 << 33) / max(1, wave // tasks))), "requests")
-    out, halted = [], False
-    for i in range(int((asked.agg(F.max("_wave")).collect()[0][0] or 0)) + 1):
-        some = asked.where(F.col("_wave") == i).drop("_wave")
-        if halted:
-            out.append(some.withColumn("reply", F.lit(None).cast("string")))
-            continue
-        done = cut(some.repartition(tasks).mapInPandas(run, f"{schema}, reply string, _halted boolean"), "replies")
-        halted = not done.where("_halted").isEmpty()
-        out.append(done.drop("_halted"))
-    return functools.reduce(DataFrame.unionAll, out)
+        from pyspark import BarrierTaskContext
+
+        together, chat, halted = BarrierTaskContext.get(), provider(), threading.Event()
+
+        def once(text: str) -> tuple[str | None, str]:
+            after = None
+            for wait in waits(attempts, base_wait):
+                time.sleep(min(MOST_WAIT, wait if after is None else after))
+                if halted.is_set():
+                    return None, "not asked"
+                try:
+                    return chat(text), "replied"
+                except Exception as e:
+                    status, after = getattr(e, "status", None), getattr(e, "retry_after", None)
+                    if not isinstance(e, ConnectionError | TimeoutError) and status not in TRANSIENT:
+                        return None, "refused"
+            halted.set()
+            return None, "exhausted"
+
+        def whole(text: str) -> tuple[str | None, str]:
+            for sent in (text, f"{text}\n\n{hint}"):
+                reply, said = once(sent)
+                if said != "replied" or parse is None:
+                    return reply, said
+                try:
+                    parse(reply)
+                    return reply, said
+                except ValueError:
+                    continue
+            return None, "unparsed"
+
+        stopped = False  # all tasks learn of a halt in one and the same exchange, which is their last
+
+        def tell(word: str) -> bool:
+            """True while some task has more and none has halted."""
+            nonlocal stopped
+            if stopped:
+                return False
+            said = together.allGather(f"{word} {halted.is_set()}")
+            if any(x.endswith("True") for x in said):
+                stopped = True
+                halted.set()
+            return not stopped and any(x.startswith("more") for x in said)
+
+        with ThreadPoolExecutor(threads) as pool:
+            for pdf in batches:
+                for at in range(0, len(pdf), step):
+                    some = pdf.iloc[at : at + step]
+                    done = list(pool.map(whole, some["prompt"]))
+                    tell("more")
+                    yield some.assign(reply=[r for r, _ in done], said=[x for _, x in done])
+        while tell("end"):
+            pass
+
+    # written at once: what has been asked is never asked again by a second reading of the result
+    return cut(requests_.repartition(tasks).mapInPandas(run, f"{schema}, reply string, said string", barrier=True), "replies")
+
+
+def ask(requests_: DataFrame, provider: Callable[[], Callable[[str], str]], concurrency: int = 5, attempts: int = ATTEMPTS, base_wait: float = BASE_WAIT, wave: int = 200) -> DataFrame:
+    """As ask_each, without saying what became of each request."""
+    return ask_each(requests_, provider, concurrency, attempts, base_wait, wave).drop("said")
+
+
+CACHE = "key string, reply string, part string"
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """key, reply of the cache at path, which is created where it is not there."""
+    spark.createDataFrame([], CACHE).write.partitionBy("part").mode("append").parquet(path)
+    return spark.read.schema(CACHE).parquet(path)
+
+
+def merge_cache(spark: SparkSession, path: str, replies: DataFrame) -> int:
+    """Adds replies (key, reply) that the cache does not hold yet, and returns how many.
+
+    The cache is a table of files by the first two digits of the key.  What is new is settled in the shared folder first (of several replies to one
+    key the smallest), then added by one append, which Spark commits as a whole: a run that dies before leaves the cache as it was, and one
+    that is repeated finds nothing new.  Null keys and null replies are not kept.  Keys that are there are never changed."""
+    known = read_cache(spark, path).select("key")
+    new = replies.where("key IS NOT NULL AND reply IS NOT NULL").groupBy("key").agg(F.min("reply").alias("reply")).join(known, "key", "left_anti")
+    new = cut(new.withColumn("part", F.substring("key", 1, 2)), "merge")
+    added = new.count()
+    if added:
+        new.repartition("part").write.partitionBy("part").mode("append").parquet(path)
+    return added
+
+
+def ask_cached(requests_: DataFrame, path: str, provider: Callable[[], Callable[[str], str]], **how) -> tuple[DataFrame, dict]:
+    """requests_ (key, prompt) with ``reply``, from the cache at path where it has it; the rest is asked, once for each key, and written through.  Beside
+    the rows: how many keys were asked, and how many calls had each outcome.  The key is that of the prompt, never of a hint that was added."""
+    spark = requests_.sparkSession
+    open_ = misses(requests_.groupBy("key").agg(F.min("prompt").alias("prompt")), read_cache(spark, path))
+    asked = ask_each(open_, provider, **how)
+    merge_cache(spark, path, asked.select("key", "reply"))
+    told = {"asked": 0, **dict.fromkeys(OUTCOMES, 0)} | {r.said: r["n"] for r in asked.groupBy("said").agg(F.count("*").alias("n")).collect()}
+    told["asked"] = sum(told[x] for x in OUTCOMES)
+    return requests_.join(read_cache(spark, path).select("key", "reply"), "key", "left"), told
 
 
 PROSE = ["reasoning", "exploit_scenario", "remediation"]

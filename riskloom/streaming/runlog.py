@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.ordered import last_value, ranked
 
@@ -74,6 +75,62 @@ def whole_lines(stream: DataFrame) -> DataFrame:
     return stream.groupBy("writer").applyInPandasWithState(run, "writer string, line string", "pending string", "append", "NoTimeout")
 
 
+def retained_each(lines: DataFrame, order: list[str], n: int = RETAINED) -> DataFrame:
+    """lines (log, and what they carry) numbered from 1 in each log as ``seq``, and of those the last n of each log: what retain_stream holds after the
+    same lines.  Numbers come from ranges with a carry, so a log of any size is spread over tasks."""
+    placed = ranked(lines, ["log"], [F.col(c) for c in order], "seq")
+    last = placed.groupBy(F.col("log").alias("_log")).agg(F.max("seq").alias("_last"))
+    return placed.join(last, F.col("log").eqNullSafe(F.col("_log"))).where(F.col("seq") > F.col("_last") - n).drop("_log", "_last")
+
+
+class _Ring(StatefulProcessor):
+    """A log's last lines in state, keyed by their number, and the number of the next one."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.next = handle.getValueState("next", "seq long")
+        self.ring = handle.getMapState("ring", "seq long", "at long, text string, scan_id string")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        import pandas as pd
+
+        new = pd.concat(list(rows)).sort_values("at", kind="stable")
+        first = self.next.get()[0] if self.next.exists() else 1
+        after = first + len(new)
+        # lines that would be pushed out by others of their own batch never enter the ring
+        for seq in range(max(1, first - self.n), min(first, after - self.n)):
+            self.ring.removeKey((seq,))
+        keep = new.tail(self.n)
+        for seq, (at, text, scan) in enumerate(zip(keep["at"], keep["text"], keep["scan_id"], strict=True), after - len(keep)):
+            self.ring.updateValue((seq,), (int(at), text, scan))
+        self.next.update((after,))
+        yield pd.DataFrame({"log": [key[0]] * len(new), "seq": range(first, after), "at": new["at"].tolist(), "text": new["text"].tolist(), "scan_id": new["scan_id"].tolist()})
+
+    def close(self) -> None:
+        pass
+
+
+def retain_stream(stream: DataFrame, n: int = RETAINED) -> DataFrame:
+    """Streaming: lines (log, at, text, scan_id) numbered in each log by arrival, within a micro-batch by at: log, seq, at, text, scan_id.
+
+    State holds the last n lines of each log and its next number; older ones are evicted, and numbering goes on past them and over restarts from
+    the checkpoint.  What is retained is read from there (``retained_state``).  The state store must be RocksDB (STORE).  A micro-batch's lines of
+    one log pass one task: bound them by the source's options.  A null log is a log of its own."""
+    return stream.groupBy("log").transformWithStateInPandas(statefulProcessor=_Ring(n), outputStructType="log string, seq long, at long, text string, scan_id string", outputMode="Append", timeMode="None")
+
+
+#: The state store that retain_stream needs: setting and value.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def retained_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """log, seq, at, text, scan_id: the lines that the state of a stopped retain_stream holds."""
+    ring = spark.read.format("statestore").option("stateVarName", "ring").load(checkpoint)
+    return ring.select("key.log", F.col("user_map_key.seq").alias("seq"), "user_map_value.at", "user_map_value.text", "user_map_value.scan_id")
+
+
 def tag_by_scan(lines: DataFrame, scans: DataFrame) -> DataFrame:
     """Each line (ts) with the scan begun last before it, if it lies in that scan's interval [start, end): an as-of join by a running last
     value over both tables, which is spread over ranges of time."""

@@ -6,12 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from riskloom.plans import code, extra, more
+from riskloom.plans import code, cpp, extra, jobs, more, prompts, state
 from riskloom.plans import queries as own
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = {**own.QUERIES, **more.QUERIES, **extra.QUERIES, **code.QUERIES}
-ORACLES = {**own.ORACLES, **more.ORACLES, **extra.ORACLES, **code.ORACLES}
+PLANS = (own, more, extra, code, jobs, prompts, cpp, state)
+QUERIES = {k: v for p in PLANS for k, v in p.QUERIES.items()}
+ORACLES = {k: v for p in PLANS for k, v in p.ORACLES.items()}
 
 
 def norm(v):

@@ -45,3 +45,33 @@ def test_tag_by_scan(spark):
 
 def test_deadline():
     assert runlog.deadline(100, 101, False) == 120 and runlog.deadline(100, 101, True) == 109 and runlog.deadline(100, 118, True) == 120
+
+
+def test_retention_goes_on_over_a_restart(spark, tmp_path):
+    at, mark, out = (str(tmp_path / x) for x in ("in", "mark", "out"))
+    kind = "log string, at long, text string, scan_id string"
+    before, sent = spark.conf.get(runlog.STORE[0]), []
+    spark.conf.set(*runlog.STORE)
+
+    def send(rows):
+        sent.extend(rows)
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").json(at)
+
+    def go():
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).json(at)
+        q = runlog.retain_stream(stream, 5).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sorted((r.log, r.seq, r.text or "") for r in spark.read.parquet(out).collect())
+
+    try:
+        send([("a", i, f"a{i}", "s1") for i in (3, 1, 2)] + [("b", 1, "b1", None)])
+        assert go() == [("a", 1, "a1"), ("a", 2, "a2"), ("a", 3, "a3"), ("b", 1, "b1")]
+        send([("a", i, f"a{i}", "s2") for i in range(4, 8)])
+        send([("a", i, f"a{i}", "s2") for i in range(8, 20)] + [("b", 2, "b2", "x"), ("b", 3, None, "x")])
+        assert go() == [("a", i, f"a{i}") for i in range(1, 20)] + [("b", 1, "b1"), ("b", 2, "b2"), ("b", 3, "")]
+        held = sorted((r.log, r.seq, r.at, r.scan_id or "") for r in runlog.retained_state(spark, mark).collect())
+        assert held == [("a", i, i, "s2") for i in range(15, 20)] + [("b", 1, 1, ""), ("b", 2, 2, "x"), ("b", 3, 3, "x")]
+        twin = runlog.retained_each(spark.createDataFrame(sent, kind), ["at"], 5)
+        assert sorted((r.log, r.seq, r.at, r.scan_id or "") for r in twin.collect()) == held
+    finally:
+        spark.conf.set(runlog.STORE[0], before)
