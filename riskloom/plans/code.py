@@ -44,15 +44,15 @@ def _short(x: str) -> str:
     return rf"regexp_replace(trim(regexp_replace({x}, '\b(const|volatile|signed|unsigned|struct|class|enum)\b|[*&\s]+', ' ', 'g')), '^.*::', '')"
 
 
-_TYPED = f"""m AS (SELECT p_partkey AS method_seq, 'n' || p_partkey % 97 AS name, CASE WHEN p_partkey % 13 = 0 THEN -1 ELSE p_partkey % 3 END AS arity, p_brand AS file, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'T' || p_size END AS owner,
+_TYPED = f"""m AS (SELECT p_partkey AS method_seq, 'n' || p_partkey // 2 AS name, CASE WHEN p_partkey % 13 = 0 THEN -1 ELSE p_partkey % 3 END AS arity, p_brand AS file, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'T' || p_size END AS owner,
   CASE WHEN p_partkey % 11 = 0 OR p_partkey % 17 = 0 THEN '' ELSE 'pk' || p_size % 3 || '.T' || p_size END AS qualified,
   CASE p_partkey % 3 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN [{_KINDS}[p_partkey % 8 + 1]] ELSE [{_KINDS}[p_partkey % 8 + 1], {_KINDS}[p_size % 8 + 1]] END AS params,
   CASE WHEN p_partkey % 7 = 0 THEN 'GET /' || p_partkey END AS entry_reason, p_partkey % 14 = 0 AS definitive, p_size % 5 = 0 AS is_sink FROM part),
-c AS (SELECT o_orderkey AS call_seq, 'n' || o_custkey % 97 AS callee, o_orderkey % 3 AS arity, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END AS caller_seq, 'Brand#' || o_orderkey % 25 + 1 AS file, o_orderkey % 10 < 2 AS self, o_orderkey % 10 IN (2, 3) AS implicit,
+c AS (SELECT o_orderkey AS call_seq, 'n' || o_custkey * 2 // 3 + o_orderkey % 3 AS callee, o_orderkey % 3 AS arity, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END AS caller_seq, 'Brand#' || o_orderkey % 25 + 1 AS file, o_orderkey % 10 < 2 AS self, o_orderkey % 10 IN (2, 3) AS implicit,
   CASE o_orderkey % 10 WHEN 4 THEN '?Runnable' WHEN 5 THEN '~T' || o_custkey % 50 + 1 WHEN 6 THEN 'pk' || (o_custkey % 50 + 1) % 3 || '.T' || o_custkey % 50 + 1 WHEN 7 THEN 'pk' || (o_custkey % 25 + 1) % 3 || '.T' || o_custkey % 25 + 1 ELSE '' END AS target_qualified,
   CASE WHEN o_orderkey % 10 = 8 THEN 'const std::T' || o_custkey % 50 + 1 || ' &' ELSE '' END AS target_owner,
   CASE o_orderkey % 3 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN [{_KINDS}[o_orderkey % 8 + 1]] ELSE [{_KINDS}[o_orderkey % 8 + 1], {_KINDS}[o_custkey % 8 + 1]] END AS args FROM orders),
-up AS (SELECT k, k // 2 AS u FROM range(2, 51) t(k)),
+up AS (SELECT DISTINCT p_size AS k, p_size // 2 AS u FROM part WHERE p_size >= 2),
 e AS (SELECT 'T' || k AS type, 'T' || u AS ancestor FROM up UNION ALL SELECT 'pk' || k % 3 || '.T' || k, 'pk' || u % 3 || '.T' || u FROM up UNION ALL SELECT 'pk' || k % 3 || '.T' || k, '?Runnable' FROM up WHERE k % 7 = 0),
 anc(type, ancestor) AS (SELECT type, ancestor FROM e UNION SELECT anc.type, e.ancestor FROM anc JOIN e ON e.type = anc.ancestor),
 kin AS (SELECT type AS a, ancestor AS b FROM anc UNION SELECT ancestor, type FROM anc),
@@ -74,7 +74,7 @@ def _typed_tables(spark, sf_dir):
     qualified = lambda x: F.concat(F.lit("pk"), x % 3, F.lit(".T"), x)
     none = F.array().cast("array<string>")
     methods = B.table(spark, sf_dir, "part").select(
-        p.alias("method_seq"), F.concat(F.lit("n"), p % 97).alias("name"), F.when(p % 13 == 0, -1).otherwise(p % 3).alias("arity"), F.col("p_brand").alias("file"),
+        p.alias("method_seq"), F.concat(F.lit("n"), F.floor(p / 2)).alias("name"), F.when(p % 13 == 0, -1).otherwise(p % 3).alias("arity"), F.col("p_brand").alias("file"),
         F.when(p % 11 == 0, "").otherwise(F.concat(F.lit("T"), size)).alias("owner"), F.when((p % 11 == 0) | (p % 17 == 0), "").otherwise(qualified(size)).alias("qualified"),
         F.when(p % 3 == 0, none).when(p % 3 == 1, F.array(_kind(p))).otherwise(F.array(_kind(p), _kind(size))).alias("parameter_types"),
         F.when(p % 7 == 0, F.concat(F.lit("GET /"), p)).alias("entry_reason"), (p % 14 == 0).alias("definitive"), (size % 5 == 0).alias("is_sink"),
@@ -82,14 +82,15 @@ def _typed_tables(spark, sf_dir):
     way, near = o % 10, k % 50 + 1
     target = F.when(way == 4, "?Runnable").when(way == 5, F.concat(F.lit("~T"), near)).when(way == 6, qualified(near)).when(way == 7, qualified(k % 25 + 1)).otherwise("")
     calls = B.table(spark, sf_dir, "orders").select(
-        o.alias("call_seq"), F.concat(F.lit("n"), k % 97).alias("callee"), (o % 3).alias("arity"), F.when(o % 11 != 0, k).alias("caller_seq"), F.concat(F.lit("Brand#"), o % 25 + 1).alias("file"),
+        o.alias("call_seq"), F.concat(F.lit("n"), F.floor(k * 2 / 3) + o % 3).alias("callee"), (o % 3).alias("arity"), F.when(o % 11 != 0, k).alias("caller_seq"), F.concat(F.lit("Brand#"), o % 25 + 1).alias("file"),
         (way < 2).alias("receiver_is_self"), way.isin(2, 3).alias("implicit_self"), target.alias("target_qualified"), F.when(way == 8, F.concat(F.lit("const std::T"), near, F.lit(" &"))).otherwise("").alias("target_owner"),
         F.when(o % 3 == 0, none).when(o % 3 == 1, F.array(_kind(o))).otherwise(F.array(_kind(o), _kind(k))).alias("argument_types"),
     )
-    up = spark.range(2, 51).select(F.col("id").alias("k"), F.floor(F.col("id") / 2).alias("u"))
+    up = B.table(spark, sf_dir, "part").where("p_size >= 2").select(F.col("p_size").alias("k"), F.floor(F.col("p_size") / 2).alias("u")).distinct()
     bare = up.select(F.concat(F.lit("T"), "k").alias("type"), F.concat(F.lit("T"), "u").alias("parent"))
     full = up.select(qualified(F.col("k")).alias("type"), qualified(F.col("u")).alias("parent")).unionAll(up.where("k % 7 = 0").select(qualified(F.col("k")), F.lit("?Runnable")))
-    return methods, calls, G.ancestors(bare), G.ancestors(full)
+    above = G.ancestors(bare.unionAll(full))  # names of the two kinds differ, and one closure serves both
+    return methods, calls, above.where("type LIKE 'T%'"), above.where("type LIKE 'pk%'")
 
 
 @query(f"WITH RECURSIVE {_TYPED} SELECT method_seq, call_seq, caller_seq FROM typed")
@@ -102,8 +103,8 @@ k AS (SELECT method_seq, concat_ws('|', file, owner, name, arity, array_to_strin
 ent AS (SELECT k.node, bool_or(m.definitive) AS definitive FROM m JOIN k ON k.method_seq = m.method_seq WHERE m.entry_reason IS NOT NULL GROUP BY k.node),
 ed AS (SELECT DISTINCT a.node AS caller, b.node AS callee FROM typed t JOIN k a ON a.method_seq = t.caller_seq JOIN k b ON b.method_seq = t.method_seq),
 st AS (SELECT DISTINCT m.method_seq AS sink, k.node, ent.definitive FROM m JOIN k ON k.method_seq = m.method_seq LEFT JOIN ent ON ent.node = k.node WHERE m.is_sink),
-r(sink, node, depth) AS (SELECT sink, node, 0 FROM st UNION SELECT r.sink, ed.caller, r.depth + 1 FROM r JOIN ed ON ed.callee = r.node LEFT JOIN ent ON ent.node = r.node
-  WHERE r.depth < 5 AND (ent.node IS NULL OR (r.depth = 0 AND NOT ent.definitive))),
+r(sink, node, depth) USING KEY (sink, node) AS (SELECT sink, node, 0 FROM st UNION SELECT r.sink, ed.caller, min(r.depth) + 1 FROM r JOIN ed ON ed.callee = r.node LEFT JOIN ent ON ent.node = r.node
+  WHERE r.depth < 20 AND (ent.node IS NULL OR (r.depth = 0 AND NOT ent.definitive)) AND NOT EXISTS (SELECT 1 FROM recurring.r v WHERE v.sink = r.sink AND v.node = ed.caller) GROUP BY r.sink, ed.caller),
 best AS (SELECT sink, node, min(depth) AS depth FROM r GROUP BY sink, node),
 found AS (SELECT b.sink, b.node AS entry, b.depth FROM best b JOIN ent ON ent.node = b.node WHERE b.depth > 0 OR ent.definitive)
 SELECT sink, entry, depth FROM found UNION ALL SELECT s.sink, s.node, 0 FROM st s WHERE NOT s.definitive AND s.sink NOT IN (SELECT sink FROM found)""")
@@ -115,7 +116,7 @@ def trace_typed(spark, sf_dir):
     named = methods.select("method_seq", "node")
     edges = edges.join(named.withColumnRenamed("node", "callee"), "method_seq").join(named.select(F.col("method_seq").alias("caller_seq"), F.col("node").alias("caller")), "caller_seq")
     sinks = methods.where("is_sink").select(F.col("method_seq").alias("sink"), "node")
-    return G.trace_to_entries(sinks, edges.select("caller", "callee"), methods.where("entry_reason IS NOT NULL").select("node", "definitive"), 5, paths=False)
+    return G.trace_to_entries(sinks, edges.select("caller", "callee"), methods.where("entry_reason IS NOT NULL").select("node", "definitive"), paths=False)
 
 
 # --- declarations ----------------------------------------------------------------------------------------------
@@ -274,11 +275,12 @@ def code_rules(spark, sf_dir):
 up(p, a) AS (SELECT p, p // 2 FROM p WHERE java UNION SELECT up.p, q.p // 2 FROM up JOIN p q ON q.p = up.a AND q.java),
 ed AS (SELECT a.p || 'm' AS caller, b.p || 'n' AS callee FROM p a JOIN p b ON a.p % 89 = b.p % 89 AND a.java = b.java WHERE a.p = b.p OR (a.java AND (EXISTS (SELECT 1 FROM up WHERE up.p = a.p AND up.a = b.p) OR EXISTS (SELECT 1 FROM up WHERE up.p = b.p AND up.a = a.p)))
   UNION SELECT a.p || 'n', b.p || 'm' FROM p a JOIN p b ON a.p * 7 % 97 = b.p % 97 WHERE NOT a.java OR NOT b.java OR a.p * 7 % 97 = b.p OR EXISTS (SELECT 1 FROM up WHERE up.p = b.p AND up.a = a.p * 7 % 97)),
-r(sink, node, depth) AS (SELECT p, p || 'n', 0 FROM p UNION SELECT r.sink, ed.caller, r.depth + 1 FROM r JOIN ed ON ed.callee = r.node WHERE r.depth < 3 AND r.node NOT IN (SELECT p || 'm' FROM p WHERE p % 5 = 0)),
+r(sink, node, depth) USING KEY (sink, node) AS (SELECT p, p || 'n', 0 FROM p UNION SELECT r.sink, ed.caller, min(r.depth) + 1 FROM r JOIN ed ON ed.callee = r.node
+  WHERE r.depth < 20 AND r.node NOT IN (SELECT p || 'm' FROM p WHERE p % 5 = 0) AND NOT EXISTS (SELECT 1 FROM recurring.r v WHERE v.sink = r.sink AND v.node = ed.caller) GROUP BY r.sink, ed.caller),
 best AS (SELECT sink, node, min(depth) AS depth FROM r GROUP BY sink, node)
 SELECT s.file AS sink, e.file || ':' || e.name AS entry, b.depth FROM best b JOIN p s ON s.p = b.sink JOIN cm e ON e.p || e.kind = b.node AND e.entry_reason IS NOT NULL""")
 def code_trace(spark, sf_dir):
-    """Rule hits with the entries that reach the methods around them, three calls away at most; methods that agree in file, owner, name,
+    """Rule hits with the entries that reach the methods around them; methods that agree in file, owner, name,
     arity and parameter types are one node."""
     files = B.source_files(spark, sf_dir)
     rows = cut(E.extract(files), "rows")
@@ -290,7 +292,7 @@ def code_trace(spark, sf_dir):
     sinks = G.enclosing(points, spans).where("name IS NOT NULL").select(F.col("point.file").alias("sink"), F.col("name").alias("node"))
     named = methods.select("id", "node")
     edges = E.call_edges(rows).join(named.select(F.col("id").alias("caller"), F.col("node").alias("from")), "caller").join(named.select(F.col("id").alias("callee"), F.col("node").alias("to")), "callee")
-    found = G.trace_to_entries(sinks, edges.select(F.col("from").alias("caller"), F.col("to").alias("callee")), methods.where("entry_reason IS NOT NULL").select("node", "definitive"), 3, paths=False)
+    found = G.trace_to_entries(sinks, edges.select(F.col("from").alias("caller"), F.col("to").alias("callee")), methods.where("entry_reason IS NOT NULL").select("node", "definitive"), paths=False)
     shown = methods.groupBy(F.col("node").alias("entry")).agg(F.min(F.concat_ws(":", "file", "name")).alias("shown"))
     return found.join(shown, "entry").select("sink", F.col("shown").alias("entry"), "depth")
 
