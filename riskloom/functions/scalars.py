@@ -104,10 +104,6 @@ def retry_delay(attempt: Column, after: Column | None = None, base: float = 2.0,
     return F.least(ladder if after is None else F.coalesce(after, ladder), F.lit(cap))
 
 
-def transient(status: Column) -> Column:
-    return status.isin(429, 500, 502, 503, 504, 529)
-
-
 def without_fences(reply: Column) -> Column:
     """A model's reply without code fences and their json tag."""
     inner = F.regexp_replace(strip(reply), r"^```(?:json)?\s*|\s*```$", "")

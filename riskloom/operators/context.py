@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import numbered
@@ -46,9 +46,11 @@ def callee_bodies(callees: DataFrame, methods: DataFrame, files: DataFrame) -> D
 
 def classify_leaves(leaves: DataFrame, main: Column, shown: int = 4) -> DataFrame:
     """Why a start has no entry: unused (nothing calls it), all main, many leaves, or the few that are listed."""
-    facts = leaves.withColumn("main", main).groupBy("start").agg(F.count("*").alias("n"), F.bool_and("main").alias("all_main"), F.array_sort(F.collect_set("leaf")).alias("all"))
-    kind = F.when((F.col("n") == 1) & (F.get("all", F.lit(0)) == F.col("start")), "unused").when(F.col("all_main"), "all main").when(F.col("n") > shown, "many").otherwise("listed")
-    return facts.select("start", "n", kind.alias("class"), F.array_join(F.slice("all", 1, shown), ",").alias("shown"))
+    facts = leaves.withColumn("main", main).groupBy("start").agg(F.count("*").alias("n"), F.bool_and("main").alias("all_main"), F.min("leaf").alias("least"))
+    nth = F.row_number().over(Window.partitionBy("start").orderBy("leaf"))  # a top-n: what is not shown is never gathered
+    some = leaves.select("start", "leaf", nth.alias("nth")).where(F.col("nth") <= shown).groupBy("start").agg(F.array_sort(F.collect_list("leaf")).alias("some"))
+    kind = F.when((F.col("n") == 1) & (F.col("least") == F.col("start")), "unused").when(F.col("all_main"), "all main").when(F.col("n") > shown, "many").otherwise("listed")
+    return facts.join(some, "start").select("start", "n", kind.alias("class"), F.array_join("some", ",").alias("shown"))
 
 
 def path_text(hops: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+import operator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import cut
@@ -161,8 +164,12 @@ def callback_calls(calls: DataFrame, methods: DataFrame, edges: DataFrame) -> Da
 
 def reflective_files(names: DataFrame, literals: DataFrame, shown: int = 2) -> DataFrame:
     """name, files, more: files with a string literal of a method's name, the first ones and how many follow."""
-    all_ = literals.withColumnRenamed("literal", "name").groupBy("name").agg(F.array_sort(F.collect_set("file")).alias("all"))
-    return names.join(all_, "name", "left").select("name", F.array_join(F.slice(F.coalesce("all", F.array().cast("array<string>")), 1, shown), ",").alias("files"), F.greatest(F.coalesce(F.size("all"), F.lit(0)) - shown, F.lit(0)).alias("more"))
+    each = literals.select(F.col("literal").alias("name"), "file").distinct()
+    first = each.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("file"))).where(F.col("_n") <= shown)  # a top-n of each task's own, then of those
+    some = first.groupBy("name").agg(F.array_sort(F.collect_list("file")).alias("some"))
+    count = each.groupBy("name").agg(F.count("file").alias("n"))
+    met = names.join(count, "name", "left").join(some, "name", "left")
+    return met.select("name", F.coalesce(F.array_join("some", ","), F.lit("")).alias("files"), F.greatest(F.coalesce("n", F.lit(0)).cast("int") - shown, F.lit(0)).alias("more"))
 
 
 def implicit_members(calls: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -171,6 +178,18 @@ def implicit_members(calls: DataFrame, signatures: DataFrame) -> DataFrame:
     return calls.join(own, ["owner", "callee", "arity"], "left").withColumn("target_owner", F.when(F.col("_own"), F.col("owner")).otherwise(F.col("target_owner"))).drop("_own")
 
 
-def delete_cascade(parents: DataFrame, gone: DataFrame, children: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Parents and children left once some parents are gone."""
-    return parents.join(gone.select(key), key, "left_anti"), children.join(gone.select(key), key, "left_anti")
+def delete_cascade(tables: list[tuple[DataFrame, list[str], list[str]]], gone: DataFrame) -> list[DataFrame]:
+    """What is left of each table once the rows of the first whose key is in gone are deleted, with all that refers to them, directly or not.
+
+    tables: (rows, key columns, columns that refer to the key of the table before; none for the first), parents first.  Keys that go are
+    handed down a level at a time, each level met by its foreign key, so a parent with a third of all children is one row of that join's
+    small side.  A null reference belongs to nobody and stays, as does a child of a parent that was never there; a null key is never referred to."""
+    left = []
+    for i, (rows, key, refers) in enumerate(tables):
+        on = key if i == 0 else refers
+        names = [f"_g{k}" for k in range(len(on))]
+        dead = gone.select(*[F.col(c).alias(n) for c, n in zip(gone.columns, names, strict=True)]).distinct()
+        same = functools.reduce(operator.and_, [F.col(c) == F.col(n) for c, n in zip(on, names, strict=True)])
+        left.append(rows.join(dead, same, "left_anti"))
+        gone = rows.join(dead, same, "left_semi").select(*key).dropna()
+    return left

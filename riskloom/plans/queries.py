@@ -253,19 +253,22 @@ hit AS (SELECT b.label_id, f.verdict, row_number() OVER (PARTITION BY b.label_id
 matched AS (SELECT b.label_id, b.line, b.expected, h.verdict FROM lab2 b LEFT JOIN hit h ON h.label_id = b.label_id AND h.n = 1)"""
 
 
-def _labels(spark, sf_dir):
-    df = B.with_finding(C.drop_out_of_scope(B.candidates(spark, sf_dir), B.OUT_OF_SCOPE), spark, sf_dir).where("finding IS NOT NULL")
+def _judged(spark, sf_dir):
+    """Findings with their verdict, and labels made of the same candidates, which are found once."""
+    scoped = cut(C.drop_out_of_scope(B.candidates(spark, sf_dir), B.OUT_OF_SCOPE), "candidates")
+    return B.with_finding(C.dedup(scoped), spark, sf_dir).withColumn("verdict", X.verdict()), _labels(B.with_finding(scoped, spark, sf_dir).where("finding IS NOT NULL"))
+
+
+def _labels(df):
     shift = F.col("doc_id") % 4 - F.when(F.col("doc_id") % 8 > 3, 2 * (F.col("doc_id") % 4)).otherwise(0)
     return df.select((F.col("doc_id") * 1000000 + F.col("sink_line") * 100 + F.length("rule_id")).alias("label_id"), F.col("sink_file").alias("file"), (F.col("sink_line") + shift).alias("line"), F.col("finding.reachable").alias("expected"))
 
 
 @query(f"WITH {_LABELS} SELECT label_id, line, expected, verdict FROM matched")
 def eval_match(spark, sf_dir):
-    found = findings(spark, sf_dir).withColumn("verdict", X.verdict())
-    return A.match_labels(found, _labels(spark, sf_dir)).select("label_id", "line", "expected", "verdict")
+    return A.match_labels(*_judged(spark, sf_dir)).select("label_id", "line", "expected", "verdict")
 
 
 @query(f"WITH {_LABELS} SELECT count(*) AS total, count(verdict) AS matched, count(*) FILTER (WHERE verdict = expected) AS agree, printf('%.1f', CASE WHEN count(verdict) > 0 THEN round(100.0 * count(*) FILTER (WHERE verdict = expected) / count(verdict), 1) ELSE 0 END) AS pct FROM matched")
 def eval_agreement(spark, sf_dir):
-    found = findings(spark, sf_dir).withColumn("verdict", X.verdict())
-    return A.agreement(A.match_labels(found, _labels(spark, sf_dir))).withColumn("pct", F.format_string("%.1f", "pct"))
+    return A.agreement(A.match_labels(*_judged(spark, sf_dir))).withColumn("pct", F.format_string("%.1f", "pct"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.storage import cut, shared_dir
+from ..operators import references as R
 from ..operators import verify as L
 from ..sources import bridge as B
 from ..streaming import runlog
@@ -42,3 +43,15 @@ SELECT log, event_id, seq FROM n WHERE seq > last - {runlog.RETAINED}""")
 def retained_log(spark, sf_dir):
     lines = B.table(spark, sf_dir, "events").select(F.col("event_type").alias("log"), "ts", "event_id")
     return runlog.retained_each(lines, ["ts", "event_id"]).select("log", "event_id", "seq")
+
+
+@query("""WITH gone AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 7 = 0), dead AS (SELECT o_orderkey AS k FROM orders WHERE o_custkey IN (SELECT k FROM gone))
+SELECT 'customer' AS kind, c_custkey AS a, NULL AS b FROM customer WHERE c_custkey NOT IN (SELECT k FROM gone) UNION ALL SELECT 'order', o_orderkey, NULL FROM orders WHERE o_orderkey NOT IN (SELECT k FROM dead)
+UNION ALL SELECT 'line', l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT k FROM dead)""")
+def delete_cascade(spark, sf_dir):
+    t = lambda n: B.table(spark, sf_dir, n)
+    customer, orders = t("customer").select("c_custkey"), t("orders").select("o_orderkey", "o_custkey")
+    tables = [(customer, ["c_custkey"], []), (orders, ["o_orderkey"], ["o_custkey"]), (t("lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], ["l_orderkey"])]
+    c, o, l_ = R.delete_cascade(tables, customer.where("c_custkey % 7 = 0"))
+    none = F.lit(None).cast("int")
+    return c.select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("a"), none.alias("b")).unionAll(o.select(F.lit("order"), "o_orderkey", none)).unionAll(l_.select(F.lit("line"), "l_orderkey", "l_linenumber"))

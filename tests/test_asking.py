@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import verify
+from riskloom.operators import references, verify
 
 
 def requests(spark, n):
@@ -87,3 +87,12 @@ def test_cache_merge_keeps_what_is_there(spark, tmp_path):
     assert put(("aa1", "other"), ("cc3", "y")) == 1 and put(("aa1", "other"), ("cc3", "y")) == 0
     assert sorted((r.key, r.reply, r.part) for r in verify.read_cache(spark, at).collect()) == [("aa1", "b", "aa"), ("b", "short", "b"), ("cc3", "y", "cc")]
     assert verify.merge_cache(spark, at, spark.createDataFrame([], "key string, reply string")) == 0
+
+
+def test_cascade_over_three_tables(spark):
+    a = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    b = spark.createDataFrame([(10, 1), (20, 2), (30, None), (40, 99), (None, 1)], "k int, up int")
+    c = spark.createDataFrame([(1, 10, "x"), (2, 20, "x"), (3, None, "x"), (4, 30, "x")], "n int, up int, k string")
+    left = references.delete_cascade([(a, ["k"], []), (b, ["k"], ["up"]), (c, ["n"], ["up"])], spark.createDataFrame([(1,), (1,), (7,)], "anything int"))
+    assert [sorted(map(str, df.collect())) for df in left] == [sorted(map(str, x)) for x in (a.where("k = 2 OR k IS NULL").collect(), b.where("k IN (20, 30, 40)").collect(), c.where("n > 1").collect())]
+    assert [df.count() for df in references.delete_cascade([(a, ["k"], []), (b, ["k"], ["up"])], a.limit(0))] == [3, 5]
