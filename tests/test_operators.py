@@ -449,3 +449,13 @@ def test_callee_bodies_and_tables(spark):
     assert got[1] == "    2 | l2\n    3 | l3" and got[2].count("\n") == 39 and got[2].endswith("   40 | l40")
     lines = session.text_table(spark.createDataFrame([("a", 5), ("long", 12), (None, None)], "name string, n int"), [F.negate(F.coalesce("n", F.lit(-1)))], ["name", "n"]).orderBy("line").collect()
     assert [r.text for r in lines] == ["name   n", "long  12", "a      5", ""]
+
+
+def test_many_calls_of_one_method_are_small_rows(spark):
+    n = 10_000
+    text = "class D {\n void f(HttpServletRequest request) {\n  String q = request.getParameter(\"q\");\n" + "".join(f"  v{i} = q; st.execute(v{i});\n" for i in range(n)) + " }\n}\n"
+    sites = list(rules._sites("D.java", text))
+    assert len(sites) > n and sum(len(str(v)) for r in sites for v in r.values() if v is not None) < 50 * 2**20 / 4
+    assert [r["unit"] for r in sites if r["callee"] is None] == [0] and sum(len(r["text"] or "") for r in sites) < len(text)
+    late = 'class E {\n void f(HttpServletRequest request) {\n  st.execute(request.getParameter("a"));\n  a = request.getHeader("h"); st.execute(b + a);\n  a = clean(st.execute(a));\n  st.execute(a);\n }\n}\n'
+    assert [r["tainted"] for r in rules._sites("E.java", late) if r["callee"] == "execute"] == [True, True, True, False]
