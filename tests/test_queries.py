@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from riskloom.plans import code, cpp, extra, jobs, more, prompts, state
+from riskloom.plans import code, cpp, extra, jobs, more, nested, prompts, state
 from riskloom.plans import queries as own
 
 DATA = "/root/testdata/sf0.001"
-PLANS = (own, more, extra, code, jobs, prompts, cpp, state)
+PLANS = (own, more, extra, code, jobs, prompts, cpp, state, nested)
 QUERIES = {k: v for p in PLANS for k, v in p.QUERIES.items()}
 ORACLES = {k: v for p in PLANS for k, v in p.ORACLES.items()}
 
