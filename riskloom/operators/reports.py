@@ -98,13 +98,40 @@ def html_cards(scored: DataFrame) -> DataFrame:
     return numbered(scored).select("report_id", _section().alias("section"), F.col("n").alias("place"), F.lit(0).alias("part"), card.alias("text"))
 
 
+#: Values of the file column that are shown before the rest is asked for.
+FACET_PAGE = 5
+
+
+def html_facets(scored: DataFrame, page: int = FACET_PAGE) -> DataFrame:
+    """report_id, section (0), place, part, text: tiles with what was decided, and one column of buttons each for weakness type, file and risk.
+
+    A column begins with all findings; values follow by how many findings have them, most first, then by name - risks in their fixed order,
+    those that occur.  Files beyond the first page wait behind a button that says how many they are.  Values are counted before they are ranked,
+    and ranks come from ranges with a carry, so a report of any number of files is no single task.  Null values count as blank ones."""
+    risk = F.array_position(F.array(*[F.lit(r) for r in RISKS]), F.col("value")).cast("long")
+    kinds = F.array(*[F.struct(F.lit(i).cast("long").alias("place"), F.lit(name).alias("name"), F.coalesce(F.col(c), F.lit("")).alias("value")) for i, (name, c) in enumerate((("type", "vuln_type"), ("file", "sink_file"), ("severity", "risk_level")), 1)])
+    counts = scored.select("report_id", F.inline(kinds)).groupBy("report_id", "place", "name", "value").agg(F.count("*").alias("n"))
+    placed = ranked(counts, ["report_id", "place"], [F.when(F.col("name") == "severity", risk).otherwise(-F.col("n")), F.col("value")], "nth")
+    label = F.when(F.col("name") == "file", X.basename(F.col("value"))).otherwise(F.col("value"))
+    late = (F.col("name") == "file") & (F.col("nth") > page)
+    button = F.concat(F.lit('<button class="facet'), F.when(late, " late").otherwise(""), F.lit('" data-facet="'), "name", F.lit('" data-value="'), escaped(F.col("value")), F.lit('">'), escaped(label), F.lit(" ("), "n", F.lit(")</button>"))
+    items = placed.select("report_id", F.lit(0).alias("section"), "place", F.col("nth").cast("int").alias("part"), button.alias("text"))
+    ends = placed.groupBy("report_id", "place", "name").agg(F.sum("n").alias("n"), F.max("nth").cast("int").alias("last"))
+    more = F.when((F.col("name") == "file") & (F.col("last") > page), F.concat(F.lit('<button class="show-late">+'), F.col("last") - page, F.lit("</button>"))).otherwise("")
+    open_ = F.concat(F.lit('<div class="facets" data-facet="'), "name", F.lit('"><button class="facet" data-value="">all ('), "n", F.lit(")</button>"))
+    edges = ends.select("report_id", F.lit(0).alias("section"), "place", F.inline(F.array(F.struct(F.lit(0).alias("part"), open_.alias("text")), F.struct((F.col("last") + 1).alias("part"), F.concat(more, F.lit("</div>")).alias("text")))))
+    decided = scored.groupBy("report_id").agg(F.count("*").alias("total"), F.count_if(F.col("verdict") == "yes").alias("reachable"), F.count_if(F.col("verdict") == "no").alias("safe")).withColumn("review", F.col("total") - F.col("reachable") - F.col("safe"))
+    tiles = F.array(*[F.struct(F.lit(i).alias("part"), F.concat(F.lit(f'<div class="stat {c}">'), c, F.lit("</div>")).alias("text")) for i, c in enumerate(("total", "reachable", "safe", "review"), 1)])
+    return decided.select("report_id", F.lit(0).alias("section"), F.lit(0).cast("long").alias("place"), F.inline(tiles)).unionByName(edges).unionByName(items)
+
+
 def html(scored: DataFrame, title: str = "Findings") -> DataFrame:
-    """Lines of a whole page for each report: head, the cards by risk, and the end."""
-    style = "body{font-family:sans-serif;margin:2em}details{border:1px solid #ccc;margin:.4em;padding:.4em}.critical{border-left:6px solid #900}.high{border-left:6px solid #d33}.medium{border-left:6px solid #d90}.low{border-left:6px solid #888}"
+    """Lines of a whole page for each report: head, tiles and facet columns, the cards by risk, and the end."""
+    style = "body{font-family:sans-serif;margin:2em}details{border:1px solid #ccc;margin:.4em;padding:.4em}.critical{border-left:6px solid #900}.high{border-left:6px solid #d33}.medium{border-left:6px solid #d90}.low{border-left:6px solid #888}.facets{display:inline-block;vertical-align:top}.facet{display:block}.late{display:none}"
     reports = scored.select("report_id").distinct()
     start = F.concat(F.lit(f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title><style>{style}</style></head><body><h1>'), escaped(F.col("report_id")), F.lit("</h1>"))
     edge = lambda section, text: reports.select("report_id", F.lit(section).alias("section"), F.lit(0).cast("long").alias("place"), F.lit(0).alias("part"), text.alias("text"))
-    return edge(0, start).unionAll(html_cards(scored)).unionAll(edge(len(RISKS) + 1, F.lit("</body></html>")))
+    return edge(0, start).unionByName(html_facets(scored)).unionAll(html_cards(scored)).unionAll(edge(len(RISKS) + 1, F.lit("</body></html>")))
 
 
 def report_json(scored: DataFrame, summary: DataFrame) -> DataFrame:

@@ -253,6 +253,19 @@ def report_cards(spark, sf_dir):
     return P.html_cards(_reported(spark, sf_dir)).select("report_id", "section", "place", "text")
 
 
+@query(f"""WITH {SCORED}, f AS (SELECT report_id, place, name, value, count(*) AS n FROM (SELECT report_id, 1 AS place, 'type' AS name, vuln_type AS value FROM scored UNION ALL SELECT report_id, 2, 'file', sink_file FROM scored UNION ALL SELECT report_id, 3, 'severity', risk_level FROM scored) GROUP BY ALL),
+g AS (SELECT *, row_number() OVER (PARTITION BY report_id, place ORDER BY CASE WHEN place = 3 THEN list_position(['critical', 'high', 'medium', 'low'], value) ELSE -n END, value) AS nth FROM f),
+h AS (SELECT report_id, place, name, sum(n) AS n, max(nth) AS last FROM g GROUP BY ALL),
+s AS (SELECT report_id, count(*) AS total, count(*) FILTER (WHERE verdict = 'yes') AS reachable, count(*) FILTER (WHERE verdict = 'no') AS safe, count(*) FILTER (WHERE verdict NOT IN ('yes', 'no')) AS review FROM scored GROUP BY report_id)
+SELECT report_id, 0 AS section, place, nth AS part, '<button class="facet' || CASE WHEN place = 2 AND nth > 5 THEN ' late' ELSE '' END || '" data-facet="' || name || '" data-value="' || {_ESC.format("value")} || '">' || {_ESC.format("CASE WHEN place = 2 THEN string_split(value, '/')[-1] ELSE value END")} || ' (' || n || ')</button>' AS text FROM g
+UNION ALL SELECT report_id, 0, place, 0, '<div class="facets" data-facet="' || name || '"><button class="facet" data-value="">all (' || n || ')</button>' FROM h
+UNION ALL SELECT report_id, 0, place, last + 1, CASE WHEN place = 2 AND last > 5 THEN '<button class="show-late">+' || last - 5 || '</button>' ELSE '' END || '</div>' FROM h
+UNION ALL SELECT report_id, 0, 0, v.i, '<div class="stat ' || v.c || '">' || CASE v.i WHEN 1 THEN total WHEN 2 THEN reachable WHEN 3 THEN safe ELSE review END || '</div>' FROM s, (VALUES (1, 'total'), (2, 'reachable'), (3, 'safe'), (4, 'review')) v(i, c)""")
+def report_facets(spark, sf_dir):
+    """Tiles and facet columns of each report's page."""
+    return P.html_facets(scored(spark, sf_dir)).select("report_id", "section", "place", "part", "text")
+
+
 # --- source code: what the front ends find in texts made of the parts, against the parts themselves ------------------
 
 _CODE = """p AS (SELECT p_partkey AS p, p_partkey % 2 = 0 AS java, CASE WHEN p_partkey % 2 = 0 THEN 'shop/C' || p_partkey || '.java' ELSE 'web/p' || p_partkey || '.py' END AS file FROM part),
