@@ -9,7 +9,7 @@ from ..functions.storage import cut
 from .discovery import ends
 from .references import reflective_files
 
-#: How many ends, and how many files with the name as a literal, are named; how many callers a search sees at the utmost.
+# How many ends, and how many files with the name as a literal, are named; how many callers a search sees at the utmost.
 ENDS, FILES, SEEN = 4, 2, 200
 OUTCOMES = ("no method", "startup", "overrides", "ends", "internal", "callback", "unused")
 
