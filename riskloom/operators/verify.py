@@ -65,7 +65,7 @@ def ask_each(
     for once more, with the hint behind the prompt, and is null if that fails too (unparsed).
 
     **Halt.**  A call that fails to its last attempt (exhausted) halts everything: its task asks no more, and tasks tell each other, at a barrier
-    after every ``wave`` requests of all together, so that no task fails a second call and all others stop at the next barrier.  What is
+    after every ``wave`` requests of all together, so that no more calls fail than are in flight at a time, and all others stop at the next barrier.  What is
     left has a null reply (not asked).  An exchange takes up to a second, a call several.  A lost executor starts the stage anew.  An empty table asks nothing."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests_.schema.fields)
     tasks = max(1, min(concurrency, requests_.sparkSession.sparkContext.defaultParallelism))
