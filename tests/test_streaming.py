@@ -29,6 +29,12 @@ def test_stream_aggregates(spark, tmp_path):
     assert len(run(runlog.without_repeats(stream), "append", "once", spark)) == 1
 
 
+def test_sessions_of_half_seconds(spark):
+    beats = [("a", "2024-01-01 00:00:00", 1), ("a", "2024-01-01 00:00:02.5", 2), ("b", "2024-01-01 00:00:00", 3), ("b", "2024-01-01 00:00:00.5", 4), ("c", "2024-01-01 00:00:00", 5), ("c", "2024-01-01 00:00:03.5", 6)]
+    got = runlog.sessions(spark.createDataFrame(beats, "page string, ts string, seq int"), 20)
+    assert {(r.page, r.beats, r.seconds) for r in got.collect()} == {("a", 2, 2), ("b", 2, 0), ("c", 2, 4)}
+
+
 def test_log(spark):
     log = spark.createDataFrame([(i, i % 3, f"t{i}") for i in range(1, 11)], "seq int, scan_id int, text string")
     assert [r.seq for r in runlog.since(log, 5, 1).orderBy("seq").collect()] == [7, 10]
