@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import cut
+from ..functions.storage import Seen, cut
 
 #: Beyond so many steps the input is no program; an error is better than a wrong answer.  Edges followed in one step.
 MOST, HOPS = 100_000, 3
@@ -31,18 +31,22 @@ def result(function: str) -> Column:
 def spread(facts: DataFrame, edges: DataFrame) -> DataFrame:
     """node, form: facts (node, form) and all they reach over edges (src, dst).  A node has as many facts as there are forms, two at most;
     only a step's new facts are joined and written, HOPS edges further at a time, and loops end it."""
-    edges = cut(edges.select(F.col("src").alias("node"), "dst").where("node <> dst").distinct(), "edges")
-    new = cut(facts.select("node", "form").distinct(), "facts")
-    known = new
+    keys = ["node", "form"]
+    edges = cut(edges.select(F.col("src").alias("node"), "dst").where("node <> dst").distinct(), "edges", ["node"])
+    new = cut(facts.select(*keys).distinct(), "facts", keys)
+    known, seen = new, Seen(keys)
+    seen.add(new, new.count())
     for _ in range(MOST):
         hop, step = new, None
         for _ in range(HOPS):
             hop = hop.join(edges, "node").select(F.col("dst").alias("node"), "form").distinct()
             step = hop if step is None else step.unionAll(hop)
-        new = cut(step.distinct().join(known, ["node", "form"], "left_anti"), "facts")
-        if new.isEmpty():
+        new = cut(seen.without(step.distinct()), "facts", keys)
+        n = new.count()
+        if not n:
             return known
         known = known.unionAll(new)
+        seen.add(new, n)
     raise RuntimeError("facts did not settle")
 
 

@@ -459,3 +459,12 @@ def test_many_calls_of_one_method_are_small_rows(spark):
     assert [r["unit"] for r in sites if r["callee"] is None] == [0] and sum(len(r["text"] or "") for r in sites) < len(text)
     late = 'class E {\n void f(HttpServletRequest request) {\n  st.execute(request.getParameter("a"));\n  a = request.getHeader("h"); st.execute(b + a);\n  a = clean(st.execute(a));\n  st.execute(a);\n }\n}\n'
     assert [r["tainted"] for r in rules._sites("E.java", late) if r["callee"] == "execute"] == [True, True, True, False]
+
+
+def test_visible_macros_of_a_ring(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ancestors", None)
+    monkeypatch.setattr(references, "ancestors", None, raising=False)  # pairs of files that reach each other are never made
+    inc = spark.createDataFrame([(f"f{i}", f"f{(i + 1) % 12}") for i in range(12)] + [("g", "f3"), (None, "f1")], "file string, included string")
+    mac = spark.createDataFrame([("f0", "M"), ("f7", "N"), ("f7", None), ("h", "M")], "file string, name string")
+    want = {(f, n) for f in [f"f{i}" for i in range(12)] + ["g"] for n in ("M", "N", None)} | {("h", "M")}
+    assert {(r.file, r.name) for r in references.visible_macros(inc, mac).collect()} == want
