@@ -134,7 +134,7 @@ leaf AS (SELECT start, node FROM r WHERE node NOT IN (SELECT callee FROM edges))
 
 def _leaves(spark, sf_dir) -> DataFrame:
     starts = B.table(spark, sf_dir, "part").select(F.concat(F.lit("p:"), "p_partkey").alias("node"))
-    return G.leaves(starts, B.trade_edges(spark, sf_dir), 10**9)
+    return G.leaves(starts, B.trade_edges(spark, sf_dir), None)
 
 
 @query(f"{_LEAF} SELECT start, node AS leaf FROM leaf")

@@ -468,3 +468,11 @@ def test_visible_macros_of_a_ring(spark, monkeypatch):
     mac = spark.createDataFrame([("f0", "M"), ("f7", "N"), ("f7", None), ("h", "M")], "file string, name string")
     want = {(f, n) for f in [f"f{i}" for i in range(12)] + ["g"] for n in ("M", "N", None)} | {("h", "M")}
     assert {(r.file, r.name) for r in references.visible_macros(inc, mac).collect()} == want
+
+
+def test_leaves_without_cap(spark):
+    chain = [(f"c{i + 1}", f"c{i}") for i in range(20)]  # c20 is on top
+    pairs = [*chain, ("c3", "s"), ("x", "s"), ("s", "s"), ("o1", "o2"), ("o2", "o1"), ("o1", "t"), ("y", "t"), ("o2", "u")]
+    start = spark.createDataFrame([("s",), ("t",), ("u",), ("x",), ("c0",), ("o1",)], "node string")
+    got = {(r.start, r.leaf) for r in graph.leaves(start, edges(spark, pairs), cap=None).collect()}
+    assert got == {("s", "c20"), ("s", "x"), ("t", "y"), ("x", "x"), ("c0", "c20")}  # circles without another caller have no leaf
