@@ -103,7 +103,7 @@ best AS (SELECT sink, node, min(depth) AS depth FROM r GROUP BY sink, node)"""
 def trace_fk(spark, sf_dir):
     sinks = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sink"), F.concat(F.lit("p:"), "p_partkey").alias("node"))
     entries = B.table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c:"), "c_custkey").alias("node"))
-    return G.trace_to_entries(sinks, B.trade_edges(spark, sf_dir), entries, 3, paths=False)
+    return G.trace_to_entries(sinks, B.trade_edges(spark, sf_dir), entries, 3, paths=False, ahead=True)
 
 
 _EVENTS = """nodes AS (SELECT user_id, event_type, ts, event_id, user_id || '#' || event_type || '#' || hour(ts) AS node FROM events),

@@ -476,3 +476,12 @@ def test_leaves_without_cap(spark):
     start = spark.createDataFrame([("s",), ("t",), ("u",), ("x",), ("c0",), ("o1",)], "node string")
     got = {(r.start, r.leaf) for r in graph.leaves(start, edges(spark, pairs), cap=None).collect()}
     assert got == {("s", "c20"), ("s", "x"), ("t", "y"), ("x", "x"), ("c0", "c20")}  # circles without another caller have no leaf
+
+
+def test_search_of_what_entries_reach(spark):
+    pairs = [(f"n{i * 7 % 40}", f"n{i * 3 % 41}") for i in range(60)] + [("e", "n4"), ("n5", "e")]
+    sinks = spark.createDataFrame([(i, f"n{i}") for i in range(0, 40, 2)] + [(99, "e"), (98, "far")], "sink int, node string")
+    entries = spark.createDataFrame([("n1", True), ("n8", False), ("e", True), ("far", False)], "node string, definitive boolean")
+    for depth in (1, 3, 20):
+        whole, some = ({tuple(r) for r in graph.trace_to_entries(sinks, edges(spark, pairs), entries, depth, paths=False, ahead=a).collect()} for a in (False, True))
+        assert whole == some and len(whole) > 2
