@@ -485,3 +485,18 @@ def test_search_of_what_entries_reach(spark):
     for depth in (1, 3, 20):
         whole, some = ({tuple(r) for r in graph.trace_to_entries(sinks, edges(spark, pairs), entries, depth, paths=False, ahead=a).collect()} for a in (False, True))
         assert whole == some and len(whole) > 2
+
+
+def test_counts_before_joins(spark):
+    """Calls meet counts of methods, and points at one place ask for their span once."""
+    m = spark.createDataFrame([(i, f"f{i % 3}", "n", 1, "int") for i in range(9)] + [(20, "f9", "k", 0, "int")], "method_seq int, file string, name string, arity int, return_type string")
+    c = spark.createDataFrame([(1, "f9", 9, 5, "n", 1, 3), (1, "f9", 9, 6, "k", 0, 4), (1, "f0", 9, 7, "n", 1, 4)], "sink int, sink_file string, sink_line int, call_seq int, callee string, arity int, line int")
+    df = graph.unique_callees(c, m)
+    assert [(r.method_seq, r.call_seq, r["rank"]) for r in df.collect()] == [(20, 6, 1)]
+    joins = df._jdf.queryExecution().optimizedPlan().toString().split("Join ")
+    assert "count(1)" in joins[-1]
+    points = spark.createDataFrame([(i, "f", 5) for i in range(4)], "point int, file string, line int")
+    spans = spark.createDataFrame([("f", 1, 9, "a", 1), ("f", 4, 6, "b", 2)], "file string, start int, end int, name string, seq int")
+    df = graph.enclosing(points, spans)
+    assert [r.name for r in df.collect()] == ["b"] * 4
+    assert "Aggregate [file" in df._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[-1]
