@@ -48,3 +48,10 @@ def test_contract(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
     assert set(QUERIES) <= set(entry_module.queries())
+
+
+def test_typed_names_are_common(spark):
+    """trace_typed searches over names that many methods share, whatever the table's size."""
+    methods, calls, *_ = code._typed_tables(spark, "/root/testdata/sf0.01", common=True)
+    assert methods.select("name").distinct().count() == 97 == calls.select("callee").distinct().count()
+    assert "p_partkey % 97 AS name" in ORACLES["trace_typed"]
