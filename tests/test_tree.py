@@ -27,3 +27,10 @@ def test_planning_opens_nothing(tmp_path, monkeypatch):
     reader = tree.TreeReader({"path": str(tmp_path), "bytespertask": "100000"})
     monkeypatch.setattr("builtins.open", None)
     assert [p.names for p in reader.partitions()] == [[("x.java", 10)]]
+
+
+def test_texts_are_parsed_once(spark):
+    """What a query reads of the front ends lies in a table: no plan of it parses the texts again."""
+    from riskloom.plans import code
+
+    assert "MapInPandas" not in code.code_index(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
