@@ -2,6 +2,7 @@
 
 import os
 
+from riskloom.operators import frontends
 from riskloom.sources import tree
 
 
@@ -34,3 +35,13 @@ def test_texts_are_parsed_once(spark):
     from riskloom.plans import code
 
     assert "MapInPandas" not in code.code_index(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_methods_without_calls():
+    """Declarations are the same where calls are not asked for, however they are nested."""
+    python = "class A:\n    def m(self, x):\n        try:\n            f(x)\n        except E:\n            def g(y):\n                return h(y)\n        match x:\n            case 1:\n                async def k(): pass\n        return lambda z: z\n"
+    java = "package a;\nclass C { int m(int a) { return n(a); } class D { void o() {} } }"
+    for path, text in (("a.py", python), ("C.java", java), ("a.go", "func f(a int) {\n g(a)\n}\n")):
+        whole, some = frontends.rows_of(path, text), frontends.rows_of(path, text, calls=False)
+        assert [r for r in whole if r["kind"] == "method"] == [r for r in some if r["kind"] == "method"] != []
+        assert any(r["kind"] == "call" for r in whole) and not any(r["kind"] == "call" for r in some)
