@@ -50,6 +50,7 @@ def waits(attempts: int, base: float = BASE_WAIT, most: float = MOST_WAIT) -> li
     return [0.0, *(min(most, base * 2.0**i) for i in range(attempts - 1))]
 
 
+EXCHANGE = 1.0  # seconds between two exchanges of tasks
 OUTCOMES = ("replied", "refused", "unparsed", "exhausted", "not asked")
 
 
@@ -64,9 +65,10 @@ def ask_each(
     ``retry_after``, if it has one); any other error leaves a null reply at once (refused).  A reply that parse can't take (ValueError) is asked
     for once more, with the hint behind the prompt, and is null if that fails too (unparsed).
 
-    **Halt.**  A call that fails to its last attempt (exhausted) halts everything: its task asks no more, and tasks tell each other, at a barrier
-    after every ``wave`` requests of all together, so that no more calls fail than are in flight at a time, and all others stop at the next barrier.  What is
-    left has a null reply (not asked).  An exchange takes up to a second, a call several.  A lost executor starts the stage anew.  An empty table asks nothing."""
+    **Halt.**  A call that fails to its last attempt (exhausted) halts everything: its task asks no more, so no more calls fail than are in flight at a
+    time, and tasks tell each other at barriers, one about every second, while their calls go on: no request waits for an exchange, however many waves of
+    ``wave`` requests there are.  All others stop with the call they are in when they learn of it.  What is left has a null reply (not asked).  A lost
+    executor starts the stage anew.  An empty table asks nothing."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests_.schema.fields)
     tasks = max(1, min(concurrency, requests_.sparkSession.sparkContext.defaultParallelism))
     threads, step = -(-concurrency // tasks), max(1, wave // tasks)
@@ -103,28 +105,32 @@ def ask_each(
                     continue
             return None, "unparsed"
 
-        stopped = False  # all tasks learn of a halt in one and the same exchange, which is their last
-
-        def tell(word: str) -> bool:
-            """True while some task has more and none has halted."""
-            nonlocal stopped
-            if stopped:
-                return False
-            said = together.allGather(f"{word} {halted.is_set()}")
-            if any(x.endswith("True") for x in said):
-                stopped = True
+        ended = threading.Event()
+
+        def tell() -> None:
+            """Exchanges beside the calls, until no task has more or one has halted: all tasks learn of that in one and the same exchange, their last."""
+            while True:
+                said = together.allGather(f"{'end' if ended.is_set() else 'more'} {halted.is_set()}")
+                if any(x.endswith("True") for x in said):
+                    return halted.set()
+                if all(x.startswith("end") for x in said):
+                    return None
+                ended.wait(EXCHANGE)
+
+        with ThreadPoolExecutor(1) as beside, ThreadPoolExecutor(threads) as pool:
+            told = beside.submit(tell)
+            try:
+                for pdf in batches:
+                    for at in range(0, len(pdf), step):
+                        some = pdf.iloc[at : at + step]
+                        done = list(pool.map(whole, some["prompt"]))
+                        yield some.assign(reply=[r for r, _ in done], said=[x for _, x in done])
+            except BaseException:
                 halted.set()
-            return not stopped and any(x.startswith("more") for x in said)
-
-        with ThreadPoolExecutor(threads) as pool:
-            for pdf in batches:
-                for at in range(0, len(pdf), step):
-                    some = pdf.iloc[at : at + step]
-                    done = list(pool.map(whole, some["prompt"]))
-                    tell("more")
-                    yield some.assign(reply=[r for r, _ in done], said=[x for _, x in done])
-        while tell("end"):
-            pass
+                raise
+            finally:
+                ended.set()
+            told.result()
 
     # written at once: what has been asked is never asked again by a second reading of the result
     return cut(requests_.repartition(tasks).mapInPandas(run, f"{schema}, reply string, said string", barrier=True), "replies")

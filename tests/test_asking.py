@@ -2,11 +2,13 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import references, verify
+from riskloom.sources import bridge
 
 
 def requests(spark, n):
@@ -96,3 +98,28 @@ def test_cascade_over_three_tables(spark):
     left = references.delete_cascade([(a, ["k"], []), (b, ["k"], ["up"]), (c, ["n"], ["up"])], spark.createDataFrame([(1,), (1,), (7,)], "anything int"))
     assert [sorted(map(str, df.collect())) for df in left] == [sorted(map(str, x)) for x in (a.where("k = 2 OR k IS NULL").collect(), b.where("k IN (20, 30, 40)").collect(), c.where("n > 1").collect())]
     assert [df.count() for df in references.delete_cascade([(a, ["k"], []), (b, ["k"], ["up"])], a.limit(0))] == [3, 5]
+
+
+def test_exchanges_go_on_beside_the_calls(spark, tmp_path):
+    """No wave waits for an exchange, and one long wave still learns of a halt."""
+    begin = time.time()
+    got = verify.ask_each(requests(spark, 400), lambda: lambda text: text, 2, wave=4).collect()
+    assert len(got) == 400 and {r.said for r in got} == {"replied"} and time.time() - begin < 45  # 200 exchanges take longer
+
+    def answer(text):
+        if text == "q7":
+            raise TimeoutError
+        time.sleep(0.25)
+        return text
+
+    provider, calls = logged(str(tmp_path), answer)
+    got = verify.ask_each(requests(spark, 160), provider, 4, attempts=1, base_wait=0.0, wave=100_000).collect()
+    assert len(got) == 160 and [r.said for r in got].count("exhausted") == 1 and len(calls()) < 110
+
+
+def test_needed_text_of_rules(spark):
+    """What is looked for first is in every match of the rule's expression."""
+    lines = ["a@b.c", "no mail", "x | y", "x|y", 'token = "' + "0a" * 20 + '"', "token = 0", "", None]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id int, line string").selectExpr("doc_id", "'s' source", "'l' lang", "'f' file", "1 line_no", "line")
+    assert {(r.doc_id, r.rule_id) for r in bridge.hits_of(df).collect()} == {(0, "email"), (2, "pipe-row"), (4, "secret-token")}
+    assert set(bridge.NEEDED) <= {r[0] for r in bridge.RULES}
