@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.functions import storage
 from riskloom.operators import analytics, candidates, context, frontends, graph, ingest, javatypes, references, reports, rules, session, typed, validators, verify
 from riskloom.sources import fixtures
 
@@ -500,3 +501,23 @@ def test_counts_before_joins(spark):
     df = graph.enclosing(points, spans)
     assert [r.name for r in df.collect()] == ["b"] * 4
     assert "Aggregate [file" in df._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[-1]
+
+
+def test_what_was_met_is_not_sorted(spark):
+    """New rows are held by tasks and what was met streams by, as it lies."""
+    seen = storage.Seen(["a", "b"])
+    for i in range(3):
+        seen.add(storage.cut(spark.range(i * 10, i * 10 + 10).selectExpr("id AS a", "'x' AS b"), by=["a", "b"]), 10)
+    rows = spark.range(25, 35).selectExpr("id AS a", "'x' AS b", "id * 2 AS c").unionAll(spark.sql("SELECT CAST(NULL AS BIGINT), 'x', 1L"))
+    new = seen.without(rows)
+    assert {(r.a, r.c) for r in new.collect()} == {(None, 1), *((a, 2 * a) for a in range(30, 35))} and new.columns == rows.columns
+    plan = new._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 3 and "SortMergeJoin" not in plan
+
+
+def test_search_asks_edges_for_entries(spark):
+    """An entry is not searched beyond, a hinted one is where it is the sink's own; an entry of two rows is proven if one is."""
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("e", "a"), ("a", "e"), ("f", "e")], "caller string, callee string")
+    entries = spark.createDataFrame([("c", False), ("c", True), ("d", True), ("f", False), ("a", False)], "node string, definitive boolean")
+    got = graph.trace_to_entries(spark.createDataFrame([(1, "a"), (2, "c"), (3, "z")], "sink int, node string"), edges, entries)
+    assert {(r.sink, r.entry, r.depth, tuple(r.path)) for r in got.collect()} == {(1, "c", 2, ("a", "b", "c")), (1, "f", 2, ("a", "e", "f")), (2, "c", 0, ("c",))}
