@@ -146,3 +146,13 @@ def test_contexts_of_awkward_candidates(spark):
     assert got[4] == f"## Source: h\n{show(300, 390)}\n\n## Sink: h\n{show(300, 390)}\n\n## Calls from entries\nThe sink is inside an entry."
     assert got[5].startswith(f"## Source: a\n{show(10, 21)}\n      | ... 0 lines omitted ...\n{show(22, 40)}\n\n## Sink: a\n") and "serve() in h\n" in got[5].split("## Called on the way")[1]
     assert P.prompt_context(df.limit(0), *args).count() == 0
+
+
+def test_texts_are_split_once_for_their_counts(spark, monkeypatch):
+    """What asks how many lines a file has reads it from a table."""
+    from riskloom.plans import prompts
+
+    plans, cut = {}, prompts.cut
+    monkeypatch.setattr(prompts, "cut", lambda df, name="graph", by=None: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and cut(df, name, by))
+    prompts._code(spark, "/root/testdata/sf0.001")
+    assert "split(" in plans["counts"] and "split(" not in plans["methods"] + plans["calls"]
