@@ -188,6 +188,22 @@ def test_jaccard_versions(spark, turn):
         jaccard_join(table(spark, [(2**63 - 2, one), (2**63 - 2, two)]))
 
 
+def test_components_plans_stay_small(spark, monkeypatch):
+    """What a round hands from one contraction to the next is written once: no plan holds it again and again in its branches."""
+    from riskloom.llm import components as module
+
+    joins, cut = [], module.cut
+
+    def counted(df, name, *rest):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return cut(df, name, *rest)
+
+    monkeypatch.setattr(module, "cut", counted)
+    rows = module.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")).collect()
+    assert sorted(tuple(x) for x in rows) == [(i, 0) for i in range(41)]
+    assert max(joins) <= 6, joins
+
+
 def test_components(spark, monkeypatch):
     """Hubs are split off, at any bound, and every node finds the smallest of its component."""
     r = random.Random(2)
