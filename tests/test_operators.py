@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import tempfile
 import time
 import zipfile
@@ -521,3 +522,24 @@ def test_search_asks_edges_for_entries(spark):
     entries = spark.createDataFrame([("c", False), ("c", True), ("d", True), ("f", False), ("a", False)], "node string, definitive boolean")
     got = graph.trace_to_entries(spark.createDataFrame([(1, "a"), (2, "c"), (3, "z")], "sink int, node string"), edges, entries)
     assert {(r.sink, r.entry, r.depth, tuple(r.path)) for r in got.collect()} == {(1, "c", 2, ("a", "b", "c")), (1, "f", 2, ("a", "e", "f")), (2, "c", 0, ("c",))}
+
+
+def test_trace_shared(spark):
+    """Nodes with the same callers are searched once: results as of the plain search, few pairs however many sinks."""
+    r = random.Random(5)
+    some = [(f"n{r.randrange(30)}", f"n{r.randrange(30)}") for _ in range(45)]
+    wide = [(f"a{i}", f"b{j}") for i in range(12) for j in range(12)] + [(f"b{i}", f"s{i}") for i in range(12)] + [("top", f"a{i}") for i in range(12)]
+    sinks = spark.createDataFrame([(f"S{i}", f"n{i}") for i in range(30)] + [("T", "n1"), ("T", "n2"), ("T", "n3")] + [(f"W{i}", f"s{i}") for i in range(12)], "sink string, node string")
+    entries = spark.createDataFrame([("n1", True), ("n5", False), ("n8", False), ("n9", True), ("top", True), ("n3", False), ("a3", True)], "node string, definitive boolean")
+    for pairs in (some + wide, some):
+        e = spark.createDataFrame(pairs, "caller string, callee string")
+        for depth in (2, 20):
+            want = sorted(tuple(x) for x in graph.trace_to_entries(sinks, e, entries, depth, paths=False).collect())
+            assert sorted(tuple(x) for x in graph.trace_shared(sinks, e, entries, depth).collect()) == want
+    searched, plain = [], graph.trace_to_entries
+    try:
+        graph.trace_to_entries = lambda s, *a, **k: (searched.append(s.count()), plain(s, *a, **k))[1]
+        graph.trace_shared(sinks.where("sink LIKE 'W%'"), spark.createDataFrame(wide, "caller string, callee string"), entries)
+    finally:
+        graph.trace_to_entries = plain
+    assert searched == [1]
