@@ -105,6 +105,46 @@ def test_forms_far_and_by_precedence(spark):
     assert forms(spark) == {}
 
 
+def moved(spark, after=-1):
+    """Rows written to shuffles by stages beyond ``after``, and the last stage."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    stages = [stages.apply(i) for i in range(stages.size())]
+    return sum(s.shuffleWriteRecords() for s in stages if s.stageId() > after), max((s.stageId() for s in stages), default=-1)
+
+
+def test_forms_move_statements_once(spark):
+    """However far facts go along copies, a copy moves once and its variables once more."""
+    copies = [(f"f{i}", f"s{j + 1:02}", f"s{j:02}") for i in range(40) for j in range(30)] + [("f0", "z", "z"), ("f0", "y", None), ("f0", None, None), (None, "s00", "z")]
+    given = {"copies": copies, "news": [(f"f{i}", "s00", "array") for i in range(40)] + [("k", "z", "scalar"), ("k", "y", "array")], "files": [("f0", "a.cpp"), ("k", "a.cpp")]}
+    _, last = moved(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = forms(spark, **given)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    n, _ = moved(spark, last)
+    assert got == {k: v for k, v in plain_forms(**given).items() if None not in k} and len(got) == 40 * 31 + 4 and got["f0", "z"] == "scalar" and got["f0", "y"] == "array"
+    assert n < 3 * len(copies)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_classes_and_tables_dealt_alike(spark):
+    r = random.Random(3)
+    pairs = {tuple(sorted((f"v|f{h}|{r.randrange(40):02}", f"v|f{h}|{r.randrange(40):02}"))) for h in range(5) for _ in range(30)} | {("v|operator||a", "v|operator||b")}
+    pairs = [(a, b) for a, b in pairs if a != b]
+    one = {x: x for p in pairs for x in p}
+    for _ in pairs:
+        for a, b in pairs:
+            one[a] = one[b] = min(one[a], one[b])
+    df = M.dealt(spark.createDataFrame(pairs, "a string, b string"), "a")
+    assert sorted((x.node, x.one) for x in M.classes(df).collect()) == sorted(one.items())
+    rows = [[(f"r|f{i}", form) for i in range(14)] for form in ("array", "scalar")]
+    tables = [M.cut(M.dealt(spark.createDataFrame(x, "node string, form string")), "facts", ["home"], lies=True) for x in rows]
+    assert sorted((x.node, x.form) for x in M.settled(tables[0].unionAll(tables[1])).collect()) == sorted((n, "conflict") for n, _ in rows[0])
+
+
 def test_include_edges_against_plain(spark):
     r = random.Random(2)
     files = ["main.cpp", "a/x.h", "a/b/x.h", "a/b/y.h", "b/x.h", "x.h", "c d/é.h"]
