@@ -16,6 +16,7 @@ left out, where the rows lie; only a step's new facts, and what crosses from one
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,14 +58,14 @@ def classes(pairs: DataFrame) -> DataFrame:
     raise RuntimeError("classes did not settle")
 
 
-def spread(facts: DataFrame, edges: DataFrame, shut: DataFrame | None = None) -> DataFrame:
+def spread(facts: DataFrame, edges: DataFrame, shut: DataFrame | None = None, deal: Callable[[DataFrame], DataFrame] = dealt) -> DataFrame:
     """home, node, form: facts (node, form) and all they reach over edges (home, node, dst; dealt by home), but for nodes in shut (home, node; dealt
-    by home), which take nothing.  A node has as many facts as there are forms, two at most; only a step's new facts are joined and written, HOPS
-    edges further at a time, and loops end it."""
+    by home), which take nothing.  A node has as many facts as there are forms; only a step's new facts are joined and written, HOPS
+    edges further at a time, and loops end it.  deal: puts ``home`` to rows (node, form) and deals them by it, as the edges were dealt."""
     keys = ["home", "node", "form"]
 
     def met(df):
-        df = dealt(df).select(*keys).distinct()
+        df = deal(df).select(*keys).distinct()
         return df if shut is None else df.join(shut.select("home", "node"), ["home", "node"], "left_anti")
 
     new = cut(met(facts.where("node IS NOT NULL AND form IS NOT NULL")), "facts", ["home"], lies=True)
@@ -75,7 +76,7 @@ def spread(facts: DataFrame, edges: DataFrame, shut: DataFrame | None = None) ->
         for _ in range(HOPS):
             hop = met(hop.join(edges, ["home", "node"]).select(F.col("dst").alias("node"), "form"))
             step = hop if step is None else step.unionAll(hop)
-        new = cut(seen.without(dealt(step).select(*keys).distinct()), "facts", ["home"], lies=True)
+        new = cut(seen.without(deal(step).select(*keys).distinct()), "facts", ["home"], lies=True)
         n = new.count()
         if not n:
             return known

@@ -174,6 +174,16 @@ def test_included_macros_in_circles(spark):
     assert got == {(f, n) for f in ("a.h", "b.h", "sub/c.h") for n in "AC"} | {("d.h", "D"), ("e.h", "E"), ("gone.h", "G")}
 
 
+def test_included_macros_of_odd_files(spark):
+    """Macros go through files whose names hold the sign that parts other nodes, and a null file keeps its own."""
+    files = ["a|b.h", "a|c.h", "|", *[f"d{i}.h" for i in range(40)]]
+    includes = [("a|b.h", "a|c.h"), ("a|c.h", "|"), ("|", "a|b.h")] + [(f"d{i}.h", "a|b.h") for i in range(40)]
+    macros = [("|", f"M|{i}") for i in range(5)] + [("d3.h", "M|0"), (None, "N"), ("d4.h", None)]
+    df = I.included_macros(spark.createDataFrame(includes, "file string, included string"), spark.createDataFrame([(f,) for f in files], "file string"), spark.createDataFrame(macros, "file string, name string"))
+    got = sorted(((x.file, x.name) for x in df.collect()), key=str)
+    assert got == sorted([(f, f"M|{i}") for f in files for i in range(5)] + [(None, "N"), ("d4.h", None)], key=str)
+
+
 def test_last_reference_wins_in_one_language(spark):
     methods = spark.createDataFrame([(1, "f", "N::A", "cpp", None, False), (2, "f", "B", "cpp", "old", True), (3, "f", "", "cpp", None, False), (4, "f", "A", "java", None, False), (5, "g", None, "cpp", "kept", False)], "method_seq long, name string, owner string, language string, entry_reason string, definitive boolean")
     refs = spark.createDataFrame([(1, "f", "A", "r1"), (5, "f", "x::A", "r5"), (3, "f", "", "r3"), (2, "f", None, "r2"), (9, "h", "", "r9"), (4, "f", "Z", "r4")], "ref_seq long, name string, owner string, reason string")
