@@ -472,6 +472,14 @@ def test_visible_macros_of_a_ring(spark, monkeypatch):
     assert {(r.file, r.name) for r in references.visible_macros(inc, mac).collect()} == want
 
 
+def test_visible_macros_of_a_popular_header(spark):
+    """Each file that includes it has its name once, whatever the includes that are repeated, null or of itself."""
+    n = 200
+    inc = spark.createDataFrame([(f"f{i}", "hub") for i in range(n)] * 2 + [(f"g{i}", f"f{i}") for i in range(n)] + [("hub", "hub"), ("hub", None), (None, "hub")], "file string, included string")
+    mac = spark.createDataFrame([("hub", "M"), ("hub", "M"), ("f7", "M")], "file string, name string")
+    assert sorted((r.file, r.name) for r in references.visible_macros(inc, mac).collect()) == sorted((f, "M") for f in ["hub", *(f"{x}{i}" for x in "fg" for i in range(n))])
+
+
 def test_leaves_without_cap(spark):
     chain = [(f"c{i + 1}", f"c{i}") for i in range(20)]  # c20 is on top
     pairs = [*chain, ("c3", "s"), ("x", "s"), ("s", "s"), ("o1", "o2"), ("o2", "o1"), ("o1", "t"), ("y", "t"), ("o2", "u")]
