@@ -123,3 +123,26 @@ def test_needed_text_of_rules(spark):
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id int, line string").selectExpr("doc_id", "'s' source", "'l' lang", "'f' file", "1 line_no", "line")
     assert {(r.doc_id, r.rule_id) for r in bridge.hits_of(df).collect()} == {(0, "email"), (2, "pipe-row"), (4, "secret-token")}
     assert set(bridge.NEEDED) <= {r[0] for r in bridge.RULES}
+
+
+def test_stub_asks_only_what_the_cache_lacks(spark, monkeypatch):
+    """verify_stub: requests, a cache for a third of them, a model for the rest with a second try, and what it says written through."""
+    from riskloom.plans import more
+
+    asked, caches, real, read = [], [], verify.ask_each, verify.read_cache
+    monkeypatch.setattr(verify, "ask_each", lambda df, *a, **how: asked.append(({r.key for r in df.collect()}, how)) or real(df, *a, **how))
+    monkeypatch.setattr(verify, "read_cache", lambda s, path: caches.append(path) or read(s, path))
+    sf_dir = "/root/testdata/sf0.001"
+    got = {r.dedup_key: (r.reachable, r.confidence) for r in more.verify_stub(spark, sf_dir).collect()}
+    keys = {r.dedup_key: r.key for r in verify.requests(more.merged(spark, sf_dir), "stub").collect()}
+    third = {d for d, k in keys.items() if int(k[:8], 16) % 3 == 0}
+    assert got == {d: ("yes" if int(d[-1], 16) % 2 else "no", 90 if d in third else 70) for d in keys} and 0 < len(third) < len(keys)
+    assert [x for x, _ in asked] == [{keys[d] for d in set(keys) - third}] and asked[0][1]["parse"] is verify.json_object
+    assert len(set(caches)) == 1 and {r.key for r in read(spark, caches[0]).collect()} == set(keys.values())
+
+
+def test_json_object_of_a_reply():
+    assert verify.json_object(' ```json\n{"a": 1}\n``` ') == verify.json_object('{"a": 1}') == verify.json_object('```{"a": 1}```') == {"a": 1}
+    for reply in ("no json", "", None, "[1]", "3", '{"a": 1'):
+        with pytest.raises(ValueError):
+            verify.json_object(reply)
