@@ -156,3 +156,21 @@ def test_texts_are_split_once_for_their_counts(spark, monkeypatch):
     monkeypatch.setattr(prompts, "cut", lambda df, name="graph", by=None: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and cut(df, name, by))
     prompts._code(spark, "/root/testdata/sf0.001")
     assert "split(" in plans["counts"] and "split(" not in plans["methods"] + plans["calls"]
+
+
+def test_notes_follow_callers_as_far_as_they_go(spark):
+    """All ends of more than 200 callers are found, and what a far end decides is decided."""
+    from riskloom.plans import prompts
+
+    one = lambda n, **more: tuple(({"node": n, "file": f"{n}.x", "owner": "", "name": n, "supertypes": [], "anonymous": False, "overrides": False} | more).values())
+    wide = [(f"w{i:03}", "w", 1000 + i) for i in range(300)] + [("main", f"w{i:03}", 2000 + i) for i in range(300)]
+    fan = [(f"e{i:03}", "f", 3000 + i) for i in range(300)] + [("far", "e007", 4000)]
+    methods = [one("c"), one("c1"), one("c2", name="main"), one("main"), one("w"), one("f"), one("far", overrides=True, supertypes=["T"])] + [one(f"{x}{i:03}") for x in "we" for i in range(300)]
+    tables = [spark.createDataFrame([(1, "c"), (2, "w"), (3, "f")], "sink long, node string"), spark.createDataFrame(methods, METHODS), spark.createDataFrame([("c1", "c", 1), ("c2", "c1", 2), *wide, *fan], "caller string, callee string, seq long"), spark.createDataFrame([], "literal string, file string")]
+    assert {r.sink: (r.outcome, r.note) for r in unreachable_notes(*tables).collect()} == {
+        1: ("startup", "Runs at startup only; all callers begin at main() in c2.x."),
+        2: ("startup", "Runs at startup only; all callers begin at main() in main.x."),
+        3: ("overrides", "No entry within reach; callers begin at e000() in e000.x; e001() in e001.x; e002() in e002.x; e003() in e003.x (+296 more). Overridden types: T."),
+    }
+    assert {r.sink: r.outcome for r in unreachable_notes(*tables, cap=200).collect()} == {1: "startup", 2: "internal", 3: "internal"}
+    assert "200" not in prompts.ORACLES["unreachable_notes"].split("w(start")[1] and "q.n < 200" in prompts.ORACLES["prompt_context"]
