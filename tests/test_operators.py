@@ -551,3 +551,37 @@ def test_trace_shared(spark):
     finally:
         graph.trace_to_entries = plain
     assert searched == [1]
+
+
+def test_shapes_of_calls_are_the_edges(spark):
+    """Edges through what calls have in common are those of callers, from rows as many as calls and methods and not their pairs."""
+    r = random.Random(8)
+    owners = ["", "A", "B", "C", "D"]
+    method = lambda i: (i, f"f{i % 3}", f"n{r.randrange(3)}", r.choice([-1, 0, 1]), o := r.choice(owners), f"p.{o}" if o and r.random() < 0.7 else "", r.choice([[], ["int"], ["std::string"], ["a", "b", "c", "d", "int"]]))
+    call = lambda i: (1000 + i, f"n{r.randrange(3)}", r.choice([0, 1]), r.randrange(60), f"f{r.randrange(3)}", r.random() < 0.3, r.random() < 0.3, r.choice(["", "", "const B &"]), r.choice(["", "", "?R", "~B", "p.C", "p.D"]), r.choice([None, [], ["long"], ["char"], ["a", "b", "c", "d", "x"]]))
+    kind = "method_seq int, file string, name string, arity int, owner string, qualified string, parameter_types array<string>"
+    asks = "call_seq int, callee string, arity int, caller_seq int, file string, receiver_is_self boolean, implicit_self boolean, target_owner string, target_qualified string, argument_types array<string>"
+    up = spark.createDataFrame([("B", "A"), ("C", "B"), ("C", "A")], "type string, ancestor string")
+    full = spark.createDataFrame([("p.B", "p.A"), ("p.C", "p.B"), ("p.C", "p.A"), ("p.D", "?R")], "type string, ancestor string")
+    tables = (spark.createDataFrame([method(i) for i in range(60)], kind), spark.createDataFrame([call(i) for i in range(300)], asks), up, full)
+    every = [tuple(x) for x in typed.callers(*tables).select("method_seq", "call_seq", "caller_seq").collect()]
+    want = {(m, k) for m, _, k in every}
+    assert len(every) == len(set(every)) and len(want) > 200
+    asked, met = typed.shapes(*tables)
+    assert {(x.method_seq, x.caller_seq) for x in asked.join(met, "shape").collect()} == want
+    many = (spark.createDataFrame([(i, "f", "run", 0, "", "", []) for i in range(200)], kind), spark.createDataFrame([(i, "run", 0, i, "f", False, False, "", "", []) for i in range(200)], asks), up, full)
+    asked, met = typed.shapes(*many)
+    assert asked.count() + met.count() == 400
+
+
+def test_trace_through_shapes(spark):
+    """Sinks over callers of shapes and what shapes reach, as over the pairs of both."""
+    r = random.Random(11)
+    asks = [(f"n{r.randrange(40)}", f"s{r.randrange(14)}") for _ in range(40)]
+    meets = [(f"s{r.randrange(14)}", f"n{r.randrange(40)}") for _ in range(40)] + [("s99", "n1")]
+    edges, through = spark.createDataFrame(asks, "caller string, callee string"), spark.createDataFrame(meets, "shape string, node string")
+    sinks = spark.createDataFrame([(f"S{i}", f"n{i}") for i in range(40)] + [("T", "n2"), ("T", "n4")], "sink string, node string")
+    entries = spark.createDataFrame([("n1", True), ("n5", False), ("n8", False), ("n9", True)], "node string, definitive boolean")
+    pairs = spark.createDataFrame([(c, n) for c, s in asks for t, n in meets if s == t], "caller string, callee string")
+    want = sorted(tuple(x) for x in graph.trace_to_entries(sinks, pairs, entries, 20, paths=False).collect())
+    assert sorted(tuple(x) for x in graph.trace_shared(sinks, edges, entries, 20, through=through).collect()) == want and len(want) > 40
