@@ -567,6 +567,7 @@ def test_shapes_of_calls_are_the_edges(spark):
     every = [tuple(x) for x in typed.callers(*tables).select("method_seq", "call_seq", "caller_seq").collect()]
     want = {(m, k) for m, _, k in every}
     assert len(every) == len(set(every)) and len(want) > 200
+    assert {(x.method_seq, x.caller_seq) for x in typed.callers(*tables, once=False).collect()} == want
     asked, met = typed.shapes(*tables)
     assert {(x.method_seq, x.caller_seq) for x in asked.join(met, "shape").collect()} == want
     many = (spark.createDataFrame([(i, "f", "run", 0, "", "", []) for i in range(200)], kind), spark.createDataFrame([(i, "run", 0, i, "f", False, False, "", "", []) for i in range(200)], asks), up, full)
@@ -585,3 +586,20 @@ def test_trace_through_shapes(spark):
     pairs = spark.createDataFrame([(c, n) for c, s in asks for t, n in meets if s == t], "caller string, callee string")
     want = sorted(tuple(x) for x in graph.trace_to_entries(sinks, pairs, entries, 20, paths=False).collect())
     assert sorted(tuple(x) for x in graph.trace_shared(sinks, edges, entries, 20, through=through).collect()) == want and len(want) > 40
+
+
+def test_trace_dense(spark, monkeypatch):
+    """A row for many sinks: results as of the plain search, with several blocks, sinks at several nodes, and the last bit of a word."""
+    r = random.Random(13)
+    monkeypatch.setattr(graph, "WORDS", 1)
+    edges = spark.createDataFrame([(r.randrange(50), r.randrange(50)) for _ in range(90)] + [(5, 5)], "caller long, callee long")
+    sinks = spark.createDataFrame([(i, r.randrange(50)) for i in range(200)] + [(300, 1), (300, 2), (300, 3), (301, 999)], "sink long, node long")
+    entries = spark.createDataFrame([(1, True), (5, False), (8, False), (9, True), (1, False), (20, False)], "node long, definitive boolean")
+    want = sorted(tuple(x) for x in graph.trace_to_entries(sinks, edges, entries, 5, paths=False).collect())
+    assert sorted(tuple(x) for x in graph.trace_dense(sinks, edges, entries, 5).select("sink", "entry", "depth").collect()) == want and want
+    monkeypatch.setattr(graph, "WORDS", 8)
+    rows, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name="graph", *a, **k: (lambda t: (rows.append(t.count()) if name == "level" else None, t)[1])(cut(df, name, *a, **k)))
+    full = spark.createDataFrame([(i, j) for i in range(30) for j in range(30)], "caller long, callee long")
+    got = graph.trace_dense(spark.createDataFrame([(i, i % 30) for i in range(400)], "sink long, node long"), full, entries.where("node = 1"))
+    assert got.count() == 400 and sum(rows) <= 60  # of 400 sinks at 30 nodes
